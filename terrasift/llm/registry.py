@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe_count import op7_count_tokens
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op6_rendezvous_sharding
+from .simhash import op8_simhash_near_duplicates
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op7_count_tokens": op7_count_tokens,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
 }
 ORACLES = {"op1_mix_sources": OP1_SQL}
