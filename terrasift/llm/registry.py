@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .bpe_count import op7_count_tokens
+from .decontam import op9_decontaminate
+from .langid import op10_language_id
 from .mixing import OP1_SQL, op1_mix_sources
+from .pq_dedup import op2_embedding_near_duplicates
 from .sharding import op6_rendezvous_sharding
 from .simhash import op8_simhash_near_duplicates
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_embedding_near_duplicates": op2_embedding_near_duplicates,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
     "op7_count_tokens": op7_count_tokens,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_mix_sources": OP1_SQL}
