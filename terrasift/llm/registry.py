@@ -6,6 +6,7 @@ from .bpe_count import op7_count_tokens
 from .decontam import op9_decontaminate
 from .html_consensus import op5_main_text
 from .langid import op10_language_id
+from .line_dedup import op4_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .pii_crf import op3_pii_spans
 from .pq_dedup import op2_embedding_near_duplicates
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_near_duplicates": op2_embedding_near_duplicates,
     "op3_pii_spans": op3_pii_spans,
+    "op4_line_dedup": op4_line_dedup,
     "op5_main_text": op5_main_text,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
     "op7_count_tokens": op7_count_tokens,
