@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plus, table
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -119,8 +119,8 @@ def token_count(text: Column, path: str) -> Column:
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, text: str = "text") -> DataFrame:
     """docs plus n_bytes, n_tokens and over_limit (n_tokens > limit). Null text is empty: no bytes, no tokens. One task
     holds one batch of texts at a time; nothing is shuffled."""
-    counted = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_tokens", token_count(F.col(text), path))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = plus(docs, n_bytes=F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), n_tokens=token_count(F.col(text), path))
+    return plus(counted, over_limit=F.col("n_tokens") > limit)
 
 
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plus(df: DataFrame, **new: Column) -> DataFrame:
+    """df with new columns at the end; an input column of such a name gives way."""
+    kept = [df[c] for c in df.columns if c not in new]
+    return df.select(*kept, *[column.alias(name) for name, column in new.items()])
+
+
 def hash32(*parts: Column | str) -> Column:
     """First 32 bits of an md5 of the parts as text: the same in every SQL engine. Null counts as a mark of its own."""
     text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\u0000")) for p in parts])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 Q = 8
 #: Edits allowed, as a share of the benchmark item's characters.
@@ -203,9 +203,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key has no benchmark item in it; rows of a null key stay if no null-key row is hit."""
-    hit = find_contamination(docs, benchmark, key).select(F.col(key).alias("_hit")).distinct()
-    return docs.join(hit, docs[key].eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of docs whose key has no benchmark item in it; rows of a null key stay if no null-key row is hit. The hit keys are
+    written first, so that Spark knows their size and broadcasts them below its limit only."""
+    hit = materialize(find_contamination(docs, benchmark, key).select(F.col(key).alias("__hit")).distinct(), "hits")
+    return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, plus, table
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,7 +208,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """All columns of pages (none called host_path or text) plus text and n_chars.
+    """All columns of pages plus text and n_chars.
 
     Pages vote for the generalised path (tags with class words, numbers left out) of their best containers; each host's winner is
     used on all its pages, and a page without it falls back on its own best container. Null or empty html gives "" and 0;
@@ -216,14 +216,14 @@ def extract_main_text(pages: DataFrame, page: str = "html", url: str = "url") ->
     the shared folder, so that Spark broadcasts them below its own size limit and joins by shuffle beyond."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     winners = materialize(host_paths(pages.select(host.alias("host"), F.col(page).alias("page"))), "host_paths")
-    winners = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    winners = winners.select(F.col("host").alias("__winner"), F.col("path").alias("__path"))
 
     @F.pandas_udf("string")
     def text(html_: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([extract(h, p) for h, p in zip(html_, path, strict=True)], dtype=object)
 
-    out = pages.withColumn("_h", host).join(winners, F.col("_h") == F.col("_host"), "left").withColumn("text", text(F.col(page), F.col("_path")))
-    return out.select(*pages.columns, "text").withColumn("n_chars", F.length("text").cast("long"))
+    out = plus(plus(pages, __host=host).join(winners, F.col("__host") == F.col("__winner"), "left"), text=text(F.col(page), F.col("__path")))
+    return plus(out.drop("__host", "__winner", "__path"), n_chars=F.length("text").cast("long"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

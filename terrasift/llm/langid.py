@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plus, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -124,8 +124,17 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     is not learned from and not held out. lang, source and the key are no inputs of a prediction, so equal texts get equal
     results. Without any labelled document all is und with score 0. Very long texts are scored in overlapping chunks, whole."""
     model = fit(docs.where(_fold(key) != 2).select(F.col(key).alias("doc_id"), "text", "lang"))
-    out = docs.withColumn("held_out", F.coalesce(_fold(key) == 2, F.lit(False))).withColumn("_p", predicted(docs.sparkSession, F.col("text"), model))
-    return out.select(*docs.columns, "held_out", "_p.lang_pred", "_p.score")
+    held_out = F.coalesce(_fold(key) == 2, F.lit(False))
+    out = plus(docs, held_out=held_out, __found=predicted(docs.sparkSession, F.col("text"), model))
+    return plus(out, lang_pred=F.col("__found.lang_pred"), score=F.col("__found.score")).drop("__found")
+
+
+def accepted(docs: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, columns as they are, whose language is determined with a score of `least` at least. Learns from all labelled
+    rows of docs, sampled as in fit(); no label, no language: nothing stays."""
+    model = fit(docs.select(F.col(key).alias("doc_id"), "text", "lang"))
+    found = plus(docs, __found=predicted(docs.sparkSession, F.col("text"), model))
+    return found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least)).select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,12 +85,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, all columns kept. Rows with an equal id and source that are
     taken differently often are told apart by their size only, so ids should be unique within a source."""
-    taken = mix(docs, id_col=id_col, **how).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "copies")
-    taken = taken.groupBy("_id", "_src", "_size").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_words", words_count(F.col("text")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
-    times = F.ceil(F.col("_sum") / F.col("_rows")).cast("int")
-    return keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    taken = mix(docs, id_col=id_col, **how).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), "copies")
+    taken = taken.groupBy("__id", "__src", "__size").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    keyed = docs.withColumn("__words", words_count(F.col("text")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
+    times = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
+    return keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plus, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none.
@@ -294,8 +294,9 @@ def find_pii(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     field adds: tokens that repeat or resemble a base span's in the same document, with neighbours of the same kind. A document
     without a base span gets none. Positions are code points, ends exclusive. Null text is empty. Nothing is shuffled."""
     model = fit(docs.select(key, "text").where("text is not null"), key)
-    found = docs.withColumn("_p", pii_column(docs.sparkSession, F.col("text"), model))
-    return found.select(*docs.columns, "_p.*")
+    found = plus(docs, __found=pii_column(docs.sparkSession, F.col("text"), model))
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    return plus(found, **{name: F.col(f"__found.{name}") for name in names}).drop("__found")
 
 
 def redact(text: str, spans: str) -> str:
