@@ -284,7 +284,7 @@ _STD = ["uid", "source", "layer", "name", "status", "coordinate_valid", "is_buil
 @query(
     "er_standard_records",
     f"""SELECT uid, source, layer, name, status, lat BETWEEN 18 AND 72 AND lon BETWEEN -180 AND -60 AS coordinate_valid, source IN ('registry', 'layer') OR lower(trim(status)) = 'operating' AS is_built
-FROM ({CURATED_SQL} UNION ALL {REGISTRY_SQL} UNION ALL SELECT 'building_' || p_partkey, 'layer', CASE WHEN p_partkey % 2 = 0 THEN 'building' ELSE 'campus' END, p_name, '', -88.0, CASE WHEN p_partkey % 10 = 0 THEN 0.0 ELSE 41.0 END, p_partkey FROM part)""",
+FROM (SELECT * EXCLUDE (operator, ord) FROM ({CURATED_SQL} UNION ALL {REGISTRY_SQL}) UNION ALL SELECT 'building_' || p_partkey, 'layer', CASE WHEN p_partkey % 2 = 0 THEN 'building' ELSE 'campus' END, p_name, '', -88.0, CASE WHEN p_partkey % 10 = 0 THEN 0.0 ELSE 41.0 END FROM part)""",
 )
 def standard_records(t: Tables) -> DataFrame:
     """Three sources in one schema with derived columns."""
