@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,10 +184,6 @@ def url_host(url: Column) -> Column:
 
 def ascii_fold(value: Column) -> Column:
     """NFKD without what is not ASCII; Arrow batches, for Spark has no built-in."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())

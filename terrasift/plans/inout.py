@@ -1 +1,98 @@
-"""Queries of this family."""
+"""Sources and sinks over the star tables; files go to the folder that all executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import geojson, manifest, texts, xlsx
+from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
+
+
+def _scratch(t: Tables) -> str:
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="terrasift-")
+        t.spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/io-{uuid.uuid4().hex}"
+
+
+@query("io_csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_roundtrip(t: Tables) -> DataFrame:
+    """CSV written without nested columns and read under a schema."""
+    path = _scratch(t)
+    texts.write_csv(t.nation.withColumn("geometry", F.struct("n_nationkey")), path)
+    return texts.read_csv(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("io_parquet_scan", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def parquet_scan(t: Tables) -> DataFrame:
+    """Parquet read, written and counted."""
+    path = _scratch(t)
+    t.events.select("event_id").write.parquet(path)
+    counts = [t.orders.agg(F.lit("orders").alias("name"), F.count(F.lit(1)).alias("n")), t.spark.read.parquet(path).agg(F.lit("events").alias("name"), F.count(F.lit(1)).alias("n"))]
+    return counts[0].union(counts[1])
+
+
+@query("io_json_manifest", "SELECT s_nationkey AS agency_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS document_no, s_name AS name, s_suppkey AS size FROM supplier")
+def json_manifest(t: Tables) -> DataFrame:
+    """Manifests as JSON files, read by pattern and taken apart."""
+    path = _scratch(t)
+    order = F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("size"), F.col("s_name").alias("name"))))
+    t.supplier.groupBy(F.col("s_nationkey").alias("agency_id")).agg(order.alias("documents")).write.json(path)
+    read = t.spark.read.schema("agency_id int, documents array<struct<size:long,name:string>>").json(f"{path}/*.json")
+    return manifest.documents_of(read).select("agency_id", F.col("document_no").cast("int").alias("document_no"), "name", "size")
+
+
+@query("io_geojson_features", f"SELECT s_suppkey, s_name, {r_sql(lon_sql('s_suppkey'), 6)} AS lon, {r_sql(lat_sql('s_suppkey'), 6)} AS lat FROM supplier")
+def geojson_features(t: Tables) -> DataFrame:
+    """Point features written as JSON and parsed from a collection (S02 K02 G-C)."""
+    from ..functions.numeric import rounded
+
+    key = F.col("s_suppkey")
+    features = t.supplier.select(geojson.point_feature(lon(key), lat(key), F.struct("s_suppkey", "s_name")).alias("f"), (key % 5).alias("part"))
+    collections = features.groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("doc"))
+    parsed = geojson.parse_features(collections, "doc", "s_suppkey long, s_name string")
+    return parsed.select("s_suppkey", "s_name", rounded(F.col("point.x"), 6).alias("lon"), rounded(F.col("point.y"), 6).alias("lat"))
+
+
+@query("io_staleness_todo", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'changed' END AS reason FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 4 = 1")
+def staleness_todo(t: Tables) -> DataFrame:
+    """Extracts that are missing or of another release or bounds."""
+    want = t.nation.select("n_nationkey", F.concat(F.lit("r2|"), "n_name").alias("state"))
+    held = t.nation.where("n_nationkey % 3 <> 0").select("n_nationkey", F.concat(F.when(F.col("n_nationkey") % 4 == 1, "r1|").otherwise("r2|"), F.col("n_name")).alias("state"))
+    return manifest.todo(want, held, "n_nationkey", "state").select("n_nationkey", "reason")
+
+
+@query("io_orphans", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+def orphans(t: Tables) -> DataFrame:
+    """Held extracts that nobody asks for."""
+    return manifest.orphans(t.nation.where("n_regionkey <> 2"), t.nation.select("n_nationkey"), "n_nationkey")
+
+
+@query("io_sparse_rows", "SELECT CAST(r_regionkey + 2 AS BIGINT) AS row, CAST(r_regionkey AS VARCHAR) AS id, CASE WHEN r_regionkey % 2 = 0 THEN r_name END AS name FROM region WHERE r_regionkey <> 3")
+def sparse_rows(t: Tables) -> DataFrame:
+    """Cells under a header; empty ones null, rows without a first cell out."""
+    row = (F.col("r_regionkey") + 2).cast("long")
+    ids = t.region.select(row.alias("row"), F.lit(0).alias("col"), F.when(F.col("r_regionkey") != 3, F.col("r_regionkey").cast("string")).otherwise("").alias("value"))
+    names = t.region.select(row.alias("row"), F.lit(1).alias("col"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise(" ").alias("value"))
+    return xlsx.header_rows(ids.union(names), ["id", "name"]).select("row", "id", "name")
+
+
+@query("io_formula_errors", "SELECT p_partkey FROM part WHERE p_partkey % 50 = 0")
+def formula_errors(t: Tables) -> DataFrame:
+    """Rows that show a spreadsheet error."""
+    return texts.formula_errors(t.part.select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, "#DIV/0!").otherwise("fine").alias("cell"))).select("p_partkey")
+
+
+@query("io_page_text", f"SELECT user_id, md5(string_agg('===== PAGE ' || page || ' =====' || chr(10) || body, chr(10) ORDER BY page)) AS digest, {r_sql('avg(c)')} AS mean_confidence FROM (SELECT user_id, day(ts) AS page, string_agg(event_type, chr(10) ORDER BY -(value + 1), event_id) AS body, avg(value) AS c FROM events GROUP BY ALL) GROUP BY user_id")
+def page_text(t: Tables) -> DataFrame:
+    """Observations as page-marked text."""
+    from ..functions.numeric import rounded
+
+    obs = t.events.select("user_id", F.dayofmonth("ts").alias("page"), F.col("event_type").alias("text"), F.col("value").alias("confidence"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"), F.lit(1.0).alias("height"))
+    return texts.page_text(obs, "user_id").select("user_id", F.md5("text").alias("digest"), rounded(F.col("mean_confidence")).alias("mean_confidence"))

@@ -1 +1,91 @@
-"""Queries of this family."""
+"""Retrieval queries over the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.numeric import rounded
+from ..operators import vectors as V
+from .base import Tables, query, r_sql
+
+_COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+@query("emb_cosine_topk", f"SELECT vec_id, rank, {r_sql('s')} AS score FROM (SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS s, row_number() OVER (ORDER BY {_COS.format(a='e.embedding', b='q.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE rank <= 20")
+def cosine_topk(t: Tables) -> DataFrame:
+    """Exact search for one vector."""
+    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = t.embeddings.join(F.broadcast(q)).withColumn("s", V.cosine(F.col("embedding"), F.col("q")))  # one row
+    top = scored.orderBy(F.col("s").desc(), "vec_id").limit(20)
+    return top.select("vec_id", F.row_number().over(Window.orderBy(F.col("s").desc(), "vec_id")).cast("long").alias("rank"), rounded(F.col("s")).alias("score"))
+
+
+_PROTO = "proto AS (SELECT label, list(m ORDER BY i) AS p FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label)"
+
+
+@query("emb_prototype", f"WITH {_PROTO} SELECT e.vec_id, {r_sql(_COS.format(a='e.embedding', b='a.p') + ' * 2 - ' + _COS.format(a='e.embedding', b='b.p'))} AS score FROM embeddings e, (SELECT p FROM proto WHERE label = 1) a, (SELECT p FROM proto WHERE label = 2) b")
+def prototype(t: Tables) -> DataFrame:
+    """Score against twice a positive prototype less a negative one."""
+    proto = V.prototype(t.embeddings, ["label"], "embedding")
+    a, b = proto.where("label = 1").select(F.col("prototype").alias("pa")), proto.where("label = 2").select(F.col("prototype").alias("pb"))
+    both = t.embeddings.join(F.broadcast(a)).join(F.broadcast(b))  # one row each
+    return both.select("vec_id", rounded(V.cosine(F.col("embedding"), F.col("pa")) * 2 - V.cosine(F.col("embedding"), F.col("pb"))).alias("score"))
+
+
+_LOO = f"""{_PROTO}, s AS (SELECT q.label, e.vec_id, e.label AS truth, {_COS.format(a='e.embedding', b='q.p')} AS s FROM embeddings e, proto q WHERE e.vec_id % 10 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s), hit AS (SELECT label, min(rank) FILTER (WHERE label = truth) AS first_hit FROM r GROUP BY label)"""
+
+
+def _first_hits(t: Tables) -> DataFrame:
+    """Per label the rank of its first own vector in a search by its prototype; every tenth vector is a training tile and out."""
+    proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
+    pool = t.embeddings.where("vec_id % 10 <> 0")
+    scored = pool.join(F.broadcast(proto)).select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))  # a row a label, of which there are ten
+    ranked = V.ranked(scored, "q", "vec_id", "s")
+    return ranked.where("q = label").groupBy(F.col("q").alias("label")).agg(F.min("rank").cast("long").alias("first_hit"))
+
+
+@query("emb_recall_at_k", f"WITH {_LOO} SELECT " + ", ".join(f"{r_sql(f'avg(CASE WHEN first_hit <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall_at_{k}" for k in (1, 5, 20)) + f", {r_sql('quantile_cont(first_hit, 0.5)')} AS median_rank FROM hit")
+def recall_at_k(t: Tables) -> DataFrame:
+    """Recall and median rank of first hits."""
+    out = V.recall_at(_first_hits(t), "first_hit", (1, 5, 20))
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("emb_loo", f"WITH {_LOO} SELECT label, first_hit FROM hit")
+def leave_one_out(t: Tables) -> DataFrame:
+    """First hit of each label without its training tiles."""
+    return _first_hits(t)
+
+
+@query("emb_truth_hits", f"WITH {_LOO} SELECT label, count(*) FILTER (WHERE rank <= 50 AND label = truth) AS hits, min(rank) FILTER (WHERE label = truth) AS best FROM r GROUP BY label")
+def truth_hits(t: Tables) -> DataFrame:
+    """Own vectors among the first 50 of each search."""
+    proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
+    scored = t.embeddings.where("vec_id % 10 <> 0").join(F.broadcast(proto)).select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))  # ten labels
+    ranked = V.ranked(scored, "q", "vec_id", "s")
+    return ranked.groupBy(F.col("q").alias("label")).agg(F.count_if((F.col("rank") <= 50) & (F.col("q") == F.col("label"))).alias("hits"), F.min(F.when(F.col("q") == F.col("label"), F.col("rank"))).cast("long").alias("best"))
+
+
+@query("emb_fusion", "WITH a AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier), b AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier), u AS (SELECT key, rank * 2 AS place, 0 AS list FROM a UNION ALL SELECT key, rank * 2 + 1, 1 FROM b) SELECT key, arg_min(list, place) AS list, row_number() OVER (ORDER BY min(place)) AS rank FROM u GROUP BY key")
+def fusion(t: Tables) -> DataFrame:
+    """Two ranked lists dealt one by one."""
+    lists = [t.supplier.select(F.col("s_suppkey").alias("key"), F.row_number().over(Window.orderBy(o, "s_suppkey")).alias("rank")) for o in (F.col("s_acctbal").desc(), F.col("s_acctbal"))]
+    return V.interleaved(*lists).select("key", "list", F.col("rank").cast("long").alias("rank"))
+
+
+@query("emb_whiten")
+def whiten(t: Tables) -> DataFrame:
+    """ZCA-whitened unit vectors (V02); tests hold their covariance against the identity."""
+    return V.whiten(t.embeddings, "embedding", "white").select("vec_id", F.transform("white", lambda x: rounded(x)).alias("white"))
+
+
+@query("emb_dedup")
+def location_dedup(t: Tables) -> DataFrame:
+    """Greedy list in which no two points are within 500 m (V06 W13); tests hold it against a plain loop."""
+    from .base import points
+
+    p = points(t.customer, "c_custkey")
+    listed = p.select((F.col("c_nationkey") % 4).alias("list"), "c_custkey", F.col("point.x").alias("x"), F.col("point.y").alias("y"), F.row_number().over(Window.partitionBy(F.col("c_nationkey") % 4).orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("rank"))
+    return V.greedy_spread(listed, "list", 500.0).select("list", "c_custkey", "rank")
