@@ -153,7 +153,8 @@ class SkipChainCrf:
     @classmethod
     def fit(cls, fields: list[Field], steps: int = 120, rate: float = 0.5) -> SkipChainCrf:
         """Pseudo-likelihood with Gaussian priors: each token's label given its features and the labels of its neighbours. Labels are
-        the base spans'; tokens that touch none are none."""
+        the base spans'; tokens that touch none are none, but one that a skip edge joins to a base span says nothing, for whether it
+        belongs to it is what the field is to find out."""
         n = len(LABELS)
         prior = [np.zeros((FEATURES, n)), CHAIN_PRIOR * np.eye(n), SKIP_PRIOR * np.eye(n)]
         w = [p.copy() for p in prior]
@@ -165,6 +166,12 @@ class SkipChainCrf:
         feature = np.concatenate([np.concatenate([np.array(x, int) for x in f.features]) if len(f) else np.empty(0, int) for f in fields])
         edges = [np.concatenate([np.array(getattr(f, kind), int).reshape(-1, 2) + o for f, o in zip(fields, offsets, strict=False)]) for kind in ("chain", "skip")]
         truth = np.eye(n)[labels]
+        told = np.concatenate([f.label for f in fields])
+        counts = np.ones((len(labels), 1))
+        for a, b in edges[1].tolist():
+            for x, y in ((a, b), (b, a)):
+                if told[x] < 0 and told[y] > 0:
+                    counts[x] = 0
         for _ in range(steps):
             score = np.zeros((len(labels), n))
             np.add.at(score, token, w[0][feature])
@@ -172,7 +179,7 @@ class SkipChainCrf:
                 np.add.at(score, e[:, 0], table_[:, labels[e[:, 1]]].T)
                 np.add.at(score, e[:, 1], table_[labels[e[:, 0]]])
             p = np.exp(score - score.max(1, keepdims=True))
-            error = truth - p / p.sum(1, keepdims=True)
+            error = counts * (truth - p / p.sum(1, keepdims=True))
             grad = np.zeros_like(w[0])
             np.add.at(grad, feature, error[token])
             seen = np.bincount(feature, minlength=FEATURES)[:, None]
