@@ -100,7 +100,7 @@ def near_duplicate_evidence(rows: DataFrame, group: str, key: str, text: str, le
     count = each.groupBy(group, "t").agg(F.count(F.lit(1)).alias("n"))
     ranked = each.join(count, [group, "t"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
     n = F.size("r")
-    prefix = F.slice("r", 1, (n - F.ceil(n * least) + 1).cast("int"))
+    prefix = F.slice("r", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
     heads = ranked.select(group, key, n.alias("n"), F.explode(prefix).alias("p")).select(group, key, "n", F.col("p.t").alias("t"))
     a, b = heads.select(F.col(group).alias("g"), F.col(key).alias("a"), F.col("n").alias("na"), F.col("t").alias("ta")), heads.select(F.col(group).alias("h"), F.col(key).alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"))
     like = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
