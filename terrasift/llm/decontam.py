@@ -19,7 +19,7 @@ EDIT_RATE = 0.1
 BLOCK_CHARS = 16_000_000
 #: Text is looked through in chunks of so many characters, which overlap by more than the longest region.
 CHUNK = 500_000
-_BITMAP_BITS = 22
+_LEADING_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -107,10 +107,19 @@ class BenchmarkIndex:
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        order = np.argsort(gram, kind="stable")
+        # q-grams that many items share say little: an item leaves out its most frequent ones, and needs so many fewer of the rest
+        _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
+        frequency = often[which] if len(gram) else np.empty(0, np.int64)
+        kept = np.ones(len(gram), bool)
+        for k, at in enumerate(np.split(np.arange(len(gram)), np.cumsum([len(g) for g in grams])[:-1])) if grams else ():
+            worst = at[np.argsort(-frequency[at], kind="stable")[: max(0, int(self.need[k]) // 2)]]
+            worst = worst[frequency[worst] > 1]
+            kept[worst] = False
+            self.need[k] -= len(worst)
+        order = np.flatnonzero(kept)[np.argsort(gram[kept], kind="stable")]
         self.gram, self.owner, self.place = gram[order], owner[order].astype(np.int64), place[order].astype(np.int64)
-        self.bitmap = np.zeros(1 << _BITMAP_BITS, bool)
-        self.bitmap[(self.gram >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)] = True
+        # where the q-grams of each leading bits begin
+        self.first = np.searchsorted(self.gram >> np.uint64(64 - _LEADING_BITS), np.arange((1 << _LEADING_BITS) + 1, dtype=np.uint64)).astype(np.int32)
         self.overlap = int((self.length + 4 * self.budget + 2 * Q).max(initial=0)) + 2
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
@@ -133,14 +142,18 @@ class BenchmarkIndex:
         if len(codes) < Q or len(self.gram) == 0:
             return
         grams = _qgrams(codes)
-        where = np.flatnonzero(self.bitmap[(grams >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(self.gram, grams[where]), np.searchsorted(self.gram, grams[where], "right")
-        count = high - low
-        if not (total := int(count.sum())):
+        lead = (grams >> np.uint64(64 - _LEADING_BITS)).astype(np.int32)
+        low = self.first[lead]
+        where = np.flatnonzero(self.first[lead + 1] > low)
+        low, count = low[where], (self.first[lead[where] + 1] - low[where])
+        post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        where = np.repeat(where, count)
+        same = self.gram[post] == grams[where]
+        post, where = post[same], where[same]
+        if len(post) == 0:
             return
-        post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
-        owner, at = self.owner[post], np.repeat(where, count)
-        diagonal = at - self.place[post]
+        owner, place = self.owner[post], self.place[post]
+        diagonal = where - place
         step = self.budget[owner] + 1
         band = np.floor_divide(diagonal, step)
         # bands are two steps wide and overlap by one: diagonals that drift by a step at most share a band
@@ -149,6 +162,9 @@ class BenchmarkIndex:
         k, b = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 30)
         keep = shared >= self.need[k]
         for k, b in zip(k[keep].tolist(), b[keep].tolist(), strict=True):
+            # a frequent q-gram may meet the same place of the item again and again: only different places count
+            if len(np.unique(place[(owner == k) & ((band == b) | (band == b + 1))])) < self.need[k]:
+                continue
             budget = int(self.budget[k])
             start = max(0, b * (budget + 1) - budget)
             end = min(len(codes), (b + 2) * (budget + 1) + int(self.length[k]) + budget)
