@@ -29,8 +29,9 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, left_point:
 def nearest(left: DataFrame, right: DataFrame, key: str, other_key: str, first_radius: float, max_rounds: int = 12) -> DataFrame:
     """The nearest right point of every left point (ties: smallest other_key): other_key and distance_m, null if right is empty.
 
-    Rings of doubling radius; only points that found nothing take part in the next one, and what a round found is final, for any
-    point outside the radius is farther. The last round, for points far from everything, compares with all that is left."""
+    Rings of fourfold radius; only points that found nothing take part in the next one, and what a round found is final, for any
+    point outside the radius is farther. A point farther than the last ring from
+    everything (first_radius * 4 ** 11) stays without a neighbour."""
     spark_right = right.select(F.col(other_key), "other_point")
     open_, found, radius = left.select(key, "point"), None, first_radius
     for _ in range(max_rounds):
@@ -38,10 +39,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other_key: str, first_r
         best = hits.groupBy(key).agg(F.min(F.struct("distance_m", other_key)).alias("_b")).select(key, F.col(f"_b.{other_key}").alias(other_key), F.col("_b.distance_m").alias("distance_m"))
         best = cut(best)
         found = best if found is None else found.union(best)
-        open_ = open_.join(best.select(key), key, "left_anti")
+        open_ = cut(open_.join(best.select(key), key, "left_anti"))
         if open_.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     return left.join(found, key, "left")
 
 
