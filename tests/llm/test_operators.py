@@ -291,6 +291,30 @@ def test_line_dedup_is_brute_force(spark):
     assert sum(len(r.text.split("\n")) if r.text else 0 for r in out) <= len(kept) + len(docs)
 
 
+def test_line_dedup_is_edit_similarity(spark):
+    """Every pair of edit similarity 0.9 links, no fingerprint before it: one edited word, short lines, no spaces."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "lmnrst"]
+    lines = []
+    for n in (2, 3, 5, 8, 10, 20, 40, 100):
+        for _ in range(4):
+            line = " ".join(rng.choice(words, n))
+            lines.append(line)
+            for edits in (1, 1, 2):
+                chars = list(line)
+                for at in rng.integers(0, len(chars), edits):
+                    chars[at] = (chars[at] + "q", "", "x")[int(rng.integers(3))]
+                lines.append("".join(chars))
+    han = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 900, 90))
+    lines += [han, han[:30] + han[31:], han[:50] + "\u4e00" + han[50:], han[:25], han[:12] + han[13:25]]
+    docs = [(i, line) for i, line in enumerate(lines)]
+    norms = [line_norm(x) for x in lines]
+    alike = np.array([[levenshtein(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9 if abs(len(a) - len(b)) <= 0.12 * max(len(a), len(b)) else False for b in norms] for a in norms])
+    label = closure(alike)
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect() if r.text) == sorted({int(np.flatnonzero(label == g)[0]) for g in set(label)})
+
+
 @pytest.mark.parametrize("n", [5, 255, 256, 700, 40_000])
 def test_simhash_of_words_at_every_width(spark, n):
     words = [f"w{i * i % 1009}" for i in range(n)]
