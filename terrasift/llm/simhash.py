@@ -159,16 +159,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHIN
     return prints.join(labels, prints.fp == labels._fp, "left").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, find=near_duplicates, code=fingerprint_column, **how) -> DataFrame:
     """One row of docs for each component, that of the smallest doc_id, all columns. Of rows of one id one stays; rows of null id go if
     their fingerprint has a row with an id, and else one of each fingerprint stays. The ids that go are written first, so that
     Spark broadcasts them below its own size limit and shuffles beyond."""
-    found = near_duplicates(docs, **how)
+    found = find(docs, **how)
     per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     odd = materialize(per_id.where("not stays or n > 1").select(F.col("doc_id").alias("__odd"), "stays"), "odd_ids")
     single = docs.where("doc_id is not null").join(odd, docs.doc_id == odd["__odd"], "left_anti")
     repeated = docs.join(odd.where("stays"), docs.doc_id == odd["__odd"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = plus(docs.where("doc_id is null"), __fp=fingerprint_column(F.col("text"), how.get("shingle", SHINGLE)))
+    nameless = plus(docs.where("doc_id is null"), __fp=code(F.col("text"), *[how[k] for k in ("shingle",) if k in how]))
     alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
     nameless = nameless.join(alone, nameless["__fp"] == alone["__alone"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")
     return single.union(repeated).union(nameless)

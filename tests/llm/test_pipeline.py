@@ -1,5 +1,6 @@
 """The corpus pipeline: every stage on its own input, against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -45,6 +46,42 @@ def test_stages(spark, data):
         docs = out[name]
 
 
+def test_near_dedup_is_brute_force_jaccard(spark):
+    """Planted near copies around similarity 0.8, in chains, beside texts that share a passage only."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(400)}"
+    passage = " ".join(word() for _ in range(30))
+    texts = ["", None, "one two", "One  two"]
+    for g in range(12):
+        text = [word() for _ in range(rng.randrange(40, 160))]
+        texts.append(" ".join(text) + (" " + passage if g % 3 == 0 else ""))
+        for _ in range(6):
+            if rng.random() < 0.3:
+                text = list(text)
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), rng.randrange(1, 1 + max(1, len(copy) // 25))):
+                copy[at] = word()
+            text = copy if rng.random() < 0.4 else text
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(a):
+                if root[a] != root[b] and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+    assert len(set(root)) < len(texts) - 20
+
+
 def _by_id(df):
     groups = defaultdict(list)
     for r in df.collect():
