@@ -12,10 +12,10 @@ from ..operators.survive import first_wins
 from .base import Tables, query, r_sql
 
 
-def _paged() -> Column:
-    """Two pages around a document's first 200 characters."""
+def _paged(body: Column | str = "text") -> Column:
+    """Two pages around a document's text."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("This permit is to operate the source", "CAAPP PERMIT", "Construction permit, revised", "letter")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return F.concat(F.lit("scan\n===== PAGE 1 =====\n"), kind, F.lit("\nSubject :  Unit "), F.col("doc_id"), F.lit(" ; \n===== PAGE 2 =====\n"), F.substring("text", 1, 200))
+    return F.concat(F.lit("scan\n===== PAGE 1 =====\n"), kind, F.lit("\nSubject :  Unit "), F.col("doc_id"), F.lit(" ; \n===== PAGE 2 =====\n"), body)
 
 
 PAGED_SQL = "('scan' || chr(10) || '===== PAGE 1 =====' || chr(10) || (['This permit is to operate the source', 'CAAPP PERMIT', 'Construction permit, revised', 'letter'])[doc_id % 4 + 1] || chr(10) || 'Subject :  Unit ' || doc_id || ' ; ' || chr(10) || '===== PAGE 2 =====' || chr(10) || substr(text, 1, 200))"
@@ -25,7 +25,7 @@ PAGES_SQL = f"(regexp_split_to_array({PAGED_SQL}, '===== PAGE [0-9]+ =====\\n?')
 @query("doc_pages", f"SELECT doc_id, CAST(i AS BIGINT) AS page, length(p[i]) AS chars, md5(p[i]) AS digest FROM (SELECT doc_id, {PAGES_SQL} AS p FROM documents), range(1, 3) r(i) WHERE i <= len(p)")
 def pages(t: Tables) -> DataFrame:
     """Pages between marks, numbered from 1."""
-    p = t.documents.select("doc_id", F.posexplode(T.split_pages(_paged())).alias("i", "body"))
+    p = t.documents.select("doc_id", F.posexplode(T.split_pages(_paged(F.substring("text", 1, 200)))).alias("i", "body"))
     return p.select("doc_id", (F.col("i") + 1).cast("long").alias("page"), F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
 
 

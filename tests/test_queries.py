@@ -47,3 +47,10 @@ def test_entry_and_contract(spark, data):
     assert entry.entry(spark).count() == 25
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_permit_reads_whole_text(spark, tmp_path):
+    """What stands beyond the first 200 characters counts."""
+    spark.createDataFrame([(3, "x " * 300 + "revised permit to operate")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["doc_permit_type"](spark, str(tmp_path)).collect() == [(3, "FESOP / operating permit", "Revised")]
+    assert registry.QUERIES["doc_subject"](spark, str(tmp_path)).collect() == [(3, "Unit 3", 1)]
