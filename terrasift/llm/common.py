@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. A session without one may use a temporary folder if it
+    runs in this process alone; elsewhere executors would write to disks of their own, so that is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terrasift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,6 +37,44 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call in a folder of their own below the shared one, deleted when the call ends; what result() writes stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.tables = spark, os.path.join(shared_dir(spark), f"terrasift-{uuid.uuid4().hex}"), []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def path(self, name: str) -> str:
+        return os.path.join(self.base, f"{name}-{uuid.uuid4().hex[:8]}")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)
+
+    def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """df, grouped by `key`, as a table in the scratch folder that is bucketed by it, so that joins on it move the other side only.
+    It has as many buckets as shuffles have partitions, and so one file each."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    scratch.tables.append(table_name)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch.path(name)).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def plus(df: DataFrame, **new: Column) -> DataFrame:
     """df with new columns at the end; an input column of such a name gives way."""
     kept = [df[c] for c in df.columns if c not in new]
