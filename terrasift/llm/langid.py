@@ -15,17 +15,17 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 UNDETERMINED = "und"
-#: The classifier is fitted on about so many labelled documents at most, those of the lowest hashes of their ids.
+#: The classifier is fitted on about so many labelled documents at most, those of the lowest hashes of their ids: a label's share of them,
+#: but LEAST_DOCS of each if it has as many.
 MAX_TRAIN_DOCS = 20_000
-#: Bounds the model: labels times BUCKETS log-probabilities are broadcast.
-MAX_LABELS = 64
+LEAST_DOCS = 200
 #: Characters that are scored at once.
 CHUNK = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Bucket of every character n-gram of the lower-cased text, repeats included."""
+def ngram_buckets(text: str, starts: int | None = None) -> np.ndarray:
+    """Bucket of every character n-gram of a lower-cased text, repeats included; only of those in its first `starts` places, if that is given."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     found = []
     for order in ORDERS:
@@ -33,17 +33,21 @@ def ngram_buckets(text: str) -> np.ndarray:
             mixed = np.full(len(codes) - order + 1, order, np.uint64)
             for i in range(order):
                 mixed = (mixed + codes[i : len(codes) - order + 1 + i]) * _MULTIPLIERS[i]
-            found.append((mixed >> np.uint64(64 - 15)).astype(np.int32))
+            found.append((mixed[:starts] >> np.uint64(64 - 15)).astype(np.int32))
     return np.concatenate(found) if found else np.empty(0, np.int32)
 
 
 def _chunks(text: str) -> Iterator[str]:
-    overlap = max(ORDERS) - 1
-    if len(text) <= CHUNK:
-        yield text
-        return
+    """The lower-cased text in parts of CHUNK characters and the few that n-grams at their end reach into."""
+    text = text.lower()
     for at in range(0, len(text), CHUNK):
-        yield text[at : at + CHUNK + overlap]
+        yield text[at : at + CHUNK + max(ORDERS) - 1]
+
+
+def text_buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the whole text's n-grams, each once, in parts of a bounded size."""
+    for part in _chunks(text):
+        yield ngram_buckets(part, CHUNK)
 
 
 class Model:
@@ -51,17 +55,16 @@ class Model:
 
     def __init__(self, labels: list[str], docs: np.ndarray, counts: np.ndarray):
         self.labels = labels
-        smooth = counts + SMOOTHING
+        smooth = counts + np.float32(SMOOTHING)
         self.log_prior = np.log(docs / docs.sum()) if len(labels) else np.empty(0)
-        self.log_p = np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32)) if len(labels) else np.empty((BUCKETS, 0), np.float32)
+        self.log_p = np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)).T.astype(np.float32)) if len(labels) else np.empty((BUCKETS, 0), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(label, posterior); ties go to the first label. Null text, text without a letter, or no labels: (und, 0)."""
         if not self.labels or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         score = self.log_prior.copy()
-        for part in _chunks(text):
-            ids = ngram_buckets(part)
+        for ids in text_buckets(text):
             if len(ids) > BUCKETS:  # each row of the matrix once
                 score += np.bincount(ids, minlength=BUCKETS) @ self.log_p.astype(np.float64)
             else:
@@ -71,31 +74,30 @@ class Model:
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, key: str = "doc_id") -> Model:
-    """Fit on rows (key, text, lang); null text or lang is left out. n-grams are counted on the executors, per task and then
-    per (label, bucket); the driver gets labels x BUCKETS sums at most."""
+    """Fit on rows (key, text, lang); null text or lang is left out. Any number of labels: the model has BUCKETS numbers for each. n-grams are
+    counted on the executors, per task and then per (label, bucket); the driver gets labels x BUCKETS sums at most."""
     labelled = labelled.where("text is not null and lang is not null")
-    docs = dict(labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LABELS + 1).collect())
-    if len(docs) > MAX_LABELS:
-        raise ValueError(f"over {MAX_LABELS} labels")
+    docs = dict(labelled.groupBy("lang").count().collect())
     total = sum(docs.values())
     if total > max_docs:
-        share = int(max_docs / total * 2**30)
-        labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < share)
+        share = [(lang, int(min(1.0, max(max_docs / total, min(LEAST_DOCS, max_docs / len(docs)) / n)) * 2**30)) for lang, n in docs.items()]
+        shares = labelled.sparkSession.createDataFrame(share, "__lang string, __share long")
+        labelled = labelled.join(shares, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64(key), F.lit(2**30)) < F.col("__share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.lang, batch.text, strict=True):
-                for part in _chunks(text):
+                for ids in text_buckets(text):
                     sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    sums[lang] += np.bincount(ngram_buckets(part), minlength=BUCKETS)
+                    sums[lang] += np.bincount(ids, minlength=BUCKETS)
         for lang, n in sums.items():
             there = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": there, "n": n[there]})
 
     rows = labelled.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(docs)
-    counts = np.zeros((len(labels), BUCKETS))
+    counts = np.zeros((len(labels), BUCKETS), np.float32)
     counts[rows.lang.map({x: i for i, x in enumerate(labels)}).to_numpy(int), rows.bucket.to_numpy(int)] = rows.n
     return Model(labels, np.array([docs[x] for x in labels], float), counts)
 
@@ -131,8 +133,10 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
     """The rows of docs, columns as they are, whose language is determined with a score of `least` at least. Learns from all labelled
-    rows of docs, sampled as in fit(); no label, no language: nothing stays."""
+    rows of docs, sampled as in fit(). Without any label no language can be told, and every row with a letter stays."""
     model = fit(docs.select(F.col(key).alias("doc_id"), "text", "lang"))
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\\p{L}"))
     found = plus(docs, __found=predicted(docs.sparkSession, F.col("text"), model))
     return found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least)).select(*docs.columns)
 

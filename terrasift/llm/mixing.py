@@ -46,8 +46,9 @@ def _size_bin(size: Column) -> Column:
     return F.when(size < 8, size).otherwise(bits * 8 + F.expr("shiftright(size, cast(length(bin(size)) - 3 as int))")).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """docs (id_col, source, text) -> id_col, source, size, source_size, target, copies: how often each row is taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT, seed: int = SEED, id_col: str = "doc_id", whole: bool = False) -> DataFrame:
+    """docs (id_col, source, text) -> id_col, source, size, source_size, target, copies: how often each row is taken. With `whole` the row itself
+    goes along as struct `row`.
 
     Systematic sampling. Rows of a source stand in an order by size (bins, then hash cells where a bin is large, then size
     and hash); each expects target / source_size copies; the running sum plus one random offset per source crosses as many
@@ -70,27 +71,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     before = Window.partitionBy("_cs").orderBy("_cb", "_ct").rowsBetween(Window.unboundedPreceding, -1)
     counts = sized.groupBy(F.col("source").alias("_cs"), F.col("_bin").alias("_cb"), F.col("_salt").alias("_ct")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("_cs", "_cb", "_ct", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    targets = source_targets(sized.select("source", "size"), weights, share, max_repeat).withColumnRenamed("source", "_ts")
+    slim = sized
+    if whole:  # bins and salts are the slim table's; ties among rows of one id are broken by what they say
+        sized = docs.select(F.col(id_col), F.col("source"), words_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+        sized = sized.withColumn("_bin", _size_bin(F.col("size"))).withColumn("_h", hash32(F.lit(f"order:{seed}"), F.col(id_col)))
+        sized = sized.join(F.broadcast(large), F.col("source").eqNullSafe(F.col("_ls")) & (F.col("_bin") == F.col("_lb")), "left")
+        sized = sized.withColumn("_salt", F.pmod("_h", F.coalesce("_salts", F.lit(1)))).drop("_ls", "_lb", "_salts")
+    targets = source_targets(slim.select("source", "size"), weights, share, max_repeat).withColumnRenamed("source", "_ts")
     cell_facts = counts.join(targets, F.col("_cs").eqNullSafe(F.col("_ts"))).drop("_ts")
-    in_cell = Window.partitionBy("source", "_bin", "_salt").orderBy("size", "_h", id_col)
+    in_cell = Window.partitionBy("source", "_bin", "_salt").orderBy("size", "_h", id_col, *([F.xxhash64("row.text")] if whole else []))
     ranked = sized.withColumn("_rank", F.row_number().over(in_cell))
     out = ranked.join(cell_facts, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_bin") == F.col("_cb")) & (F.col("_salt") == F.col("_ct")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hash32(F.lit(f"offset:{seed}"), F.col("source")) / F.lit(float(2**32))
     upto = F.floor(offset + expected * (F.col("_before") + F.col("_rank")))
     prior = F.floor(offset + expected * (F.col("_before") + F.col("_rank") - 1))
-    return out.select(id_col, "source", "size", "source_size", "target", (upto - prior).cast("long").alias("copies"))
+    copies = F.least(upto - prior, F.lit(math.ceil(max_repeat)))  # a running sum of doubles may be off by one where it is huge
+    return out.select(id_col, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *(["row"] if whole else []))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, all columns kept. Rows with an equal id and source that are
-    taken differently often are told apart by their size only, so ids should be unique within a source."""
-    taken = mix(docs, id_col=id_col, **how).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), "copies")
-    taken = taken.groupBy("__id", "__src", "__size").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.withColumn("__words", words_count(F.col("text")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
-    times = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
-    return keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """The mix itself: every row of docs as often as it is taken, all columns kept. Each row carries its own number of copies, so repeated and
+    null ids change nothing."""
+    taken = mix(docs, id_col=id_col, whole=True, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +130,7 @@ weighted AS (
   SELECT source, source_size, least(lim, (SELECT max(lvl) FROM levels) * weight) AS target FROM levels
 )
 SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(off + rate * pos) - floor(off + rate * (pos - 1))) AS BIGINT) AS taken
+  CAST(size * least(2, floor(off + rate * pos) - floor(off + rate * (pos - 1))) AS BIGINT) AS taken
 FROM (SELECT r.doc_id, r.size, t.source_size, t.target, r.off, r.pos, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
       FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 """

@@ -21,6 +21,7 @@ FEATURES = 1 << 12
 #: The field is fitted on so many documents with a base span at most, those of the lowest hashes of their ids.
 MAX_TRAIN_DOCS = 2_000
 MAX_TRAIN_TOKENS = 200_000
+MAX_FIELD = 1_000
 ROUNDS = 12
 DAMPING = 0.3
 THRESHOLD = 0.5
@@ -44,6 +45,12 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether digits, with any number of zeros ahead, are 255 at most."""
+    digits = digits.lstrip("0") or "0"
+    return len(digits) <= 3 and int(digits) <= 255
+
+
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Spans (start, kind, end) in order of start and kind, and the matches that failed their check."""
     spans, failed = [], []
@@ -62,7 +69,10 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             last = at + 1
         at = text.find("@", after)
     for m in _IP.finditer(text):
-        (spans.append((m.start(), 1, m.end())) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")) else failed.append(m.span()))
+        if all(map(_octet, m[0].split("."))):
+            spans.append((m.start(), 1, m.end()))
+        else:
+            failed.append(m.span())
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -120,12 +130,10 @@ class Field:
                     self.skip.append((j, k))
             last[key] = k
         self.label = np.full(len(words), -1)
-        starts = np.array([s for s, _ in self.spans])
-        ends = np.array([e for _, e in self.spans])
-        for a, b in failed:
-            self.label[(starts < b) & (ends > a)] = 0
-        for a, kind, b in spans:
-            self.label[(starts < b) & (ends > a)] = kind + 1
+        starts, ends = (np.array(x, np.int64) for x in (zip(*self.spans, strict=True) if self.spans else ((), ())))
+        for a, label, b in [(a, 0, b) for a, b in failed] + [(a, kind + 1, b) for a, kind, b in spans]:
+            # tokens are in order and apart: those that a span touches stand together
+            self.label[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = label
 
     def __len__(self) -> int:
         return len(self.spans)
@@ -246,31 +254,35 @@ class SkipChainCrf:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", most: int = MAX_TRAIN_DOCS) -> SkipChainCrf:
-    """Fit on the fields of documents with a base span; only tokens' features and labels reach the driver, a bounded number."""
+    """Fit on the fields of at most `most` documents with a base span, those of the lowest hashes of key and text, and of these on as many as have
+    MAX_TRAIN_TOKENS tokens together; documents of over MAX_FIELD tokens are left out. All are found by one job, which sends the driver tokens'
+    features and labels alone, in an order that does not depend on partitions."""
     likely = docs.where(F.col("text").rlike("@[A-Za-z0-9-]+\\.|[0-9]\\.[0-9]+\\.[0-9]|[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"))
+    likely = likely.select("text", F.xxhash64(key, "text").alias("rank"))
     n = likely.count()
     if n > most:
-        likely = likely.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < int(most / n * 2**30))
+        likely = likely.where(F.pmod("rank", F.lit(2**30)) < int(most / n * 2**30))
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
         for batch in batches:
             rows = []
-            for text in batch.text:
+            for text, rank in zip(batch.text, batch["rank"], strict=True):
                 spans, failed = base_spans(text)
-                if spans and len(field := Field(text, spans, failed)) <= 1000:
-                    rows.append((pickle.dumps(field), len(field)))
-            yield pd.DataFrame(rows, columns=["field", "tokens"])
+                if spans and len(field := Field(text, spans, failed)) <= MAX_FIELD:
+                    rows.append((rank, pickle.dumps(field), len(field)))
+            yield pd.DataFrame(rows, columns=["rank", "field", "tokens"])
 
     import pickle
 
+    found = likely.mapInPandas(fields, "rank long, field binary, tokens int").withColumn("_order", F.pmod("rank", F.lit(2**30))).orderBy("_order", "rank").limit(most)
     held, tokens = [], 0
-    for row in likely.select("text").mapInPandas(fields, "field binary, tokens int").toLocalIterator():
-        held.append(pickle.loads(row.field))
+    for row in found.select("field", "tokens").collect():
         tokens += row.tokens
         if tokens > MAX_TRAIN_TOKENS:
             break
+        held.append(pickle.loads(row.field))
     return SkipChainCrf.fit(held)
 
 

@@ -17,30 +17,42 @@ SHINGLE = 3
 HASH_SEED = 42
 MAX_BITS = 3
 BLOCKS = 4
-#: A fingerprint block that more distinct fingerprints share than this, or than a thousandth of all, is divided again.
-HOT_BLOCK = 2_000
+#: A group of more distinct fingerprints than this is divided again, by blocks of the bits that it doesn't share yet, until so few are left
+#: that it can't be larger.
+HOT_BLOCK = 8_000
+LEAST_BITS = 12
 FANOUT = 16
-#: Fingerprints that walk the index at once.
+#: Fingerprints that set out on a walk through the index at once, and (fingerprint, node) states that a step takes on at once.
 WALK = 20_000
+FRONTIER = 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if it is set in over half the XXH64 hashes of the text's word shingles, repeats included. A-Z are
-    lower-cased, words are split at ASCII white space; a text of fewer words is one shingle, no words give 0."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes of the text's word shingles, repeats included. A-Z are lower-cased, words are split at ASCII white space; a text of
+    fewer words is one shingle, no words give none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(HASH_SEED)), np.uint64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes; none: 0."""
     count = np.zeros(64, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(HASH_SEED)), np.uint64)
     for at in range(0, len(hashes), 1 << 16):
         count += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's shingles; no words give 0."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long; null text has no words."""
 
@@ -77,15 +89,18 @@ class GrayIndex:
             self.levels.append((new, ones, low, high))
             above = mask
 
-    def walk(self, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, place) of all pairs of a place in `first` and a later one of its group that differ in at most `most` bits."""
+    def walk(self, first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, places) of all pairs of a place in `first` and a later one of its group that differ in at most `most` bits, in batches. Never
+        more than FRONTIER states are carried to the next level, the rest wait."""
         codes, groups = self.codes[first], self.groups[first]
         nodes = np.arange(len(self.levels[0][0]))
-        q, node = np.repeat(np.arange(len(first)), len(nodes)), np.tile(nodes, len(first))
-        sum_ = np.zeros(len(q), np.uint8)
-        for depth, (mask, pattern, low, high) in enumerate(self.levels):
-            if depth:
-                q, node, sum_ = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel(), np.repeat(sum_, FANOUT)
+        waiting = [(0, np.repeat(np.arange(len(first)), len(nodes)), np.tile(nodes, len(first)), np.zeros(len(first) * len(nodes), np.uint8))]
+        while waiting:
+            depth, q, node, sum_ = waiting.pop()
+            if len(q) > FRONTIER:
+                waiting += [(depth, q[at : at + FRONTIER], node[at : at + FRONTIER], sum_[at : at + FRONTIER]) for at in range(0, len(q), FRONTIER)]
+                continue
+            mask, pattern, low, high = self.levels[depth]
             width = FANOUT ** (len(self.levels) - 1 - depth)
             there = (node < len(mask)) & ((node + 1) * width - 1 > first[q])
             q, node, sum_ = q[there], node[there], sum_[there]
@@ -94,7 +109,12 @@ class GrayIndex:
             sum_ = sum_ + np.bitwise_count((codes[q] ^ pattern[node]) & mask[node])
             near = sum_ <= most
             q, node, sum_ = q[near], node[near], sum_[near]
-        return first[q], node
+            if depth + 1 == len(self.levels):
+                yield first[q], node
+                continue
+            for at in range(0, len(q), FRONTIER // FANOUT):
+                part = slice(at, at + FRONTIER // FANOUT)
+                waiting.append((depth + 1, np.repeat(q[part], FANOUT), (node[part, None] * FANOUT + np.arange(FANOUT)).ravel(), np.repeat(sum_[part], FANOUT)))
 
 
 def link_groups(codes: np.ndarray, reps: np.ndarray, groups: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,37 +122,51 @@ def link_groups(codes: np.ndarray, reps: np.ndarray, groups: np.ndarray, most: i
     index = GrayIndex(codes, groups)
     forest = LocalForest(len(codes))
     for at in range(0, len(codes), WALK):
-        forest.add(*index.walk(np.arange(at, min(at + WALK, len(codes))), most))
+        for a, b in index.walk(np.arange(at, min(at + WALK, len(codes))), most):
+            forest.add(a, b)
     member, root = forest.links()
     return reps[index.order[member]], reps[index.order[root]]
 
 
-def _parts(code: Column, low: int, width: int, parts: int) -> list[Column]:
-    """The bits low..low+width-1 of a code cut into equal parts."""
-    each = [width * (i + 1) // parts - width * i // parts for i in range(parts)]
-    return [F.shiftrightunsigned(code, low + sum(each[:i])).bitwiseAND(F.lit((1 << each[i]) - 1)) for i in range(parts)]
+def _divided(rows: DataFrame, used: int, most: int) -> DataFrame:
+    """rows (rep, code, key) of groups that share the low `used` bits of code, one row for each of most + 1 blocks of the other bits: of two codes
+    within `most` bits one block is equal. It is turned down next to the used bits, and goes into the key."""
+    rest, blocks = 64 - used, most + 1
+    edges = [rest * i // blocks for i in range(blocks + 1)]
+    low = F.col("code").bitwiseAND(F.lit((1 << used) - 1)) if used else F.lit(0).cast("long")
+    high = F.shiftrightunsigned("code", used) if used else F.col("code")
+    mask = F.lit((1 << rest) - 1 if used else -1)
+    each = []
+    for i in range(blocks):
+        turned = F.shiftrightunsigned(high, edges[i]).bitwiseOR(F.shiftleft(high, rest - edges[i])).bitwiseAND(mask) if edges[i] else high
+        value = turned.bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+        each.append(F.struct((F.shiftleft(turned, used).bitwiseOR(low) if used else turned).alias("code"), F.xxhash64("key", F.lit(i), value).alias("key")))
+    return rows.select("rep", F.explode(F.array(*each)).alias("_s")).select("rep", "_s.code", "_s.key")
 
 
 def fingerprint_links(classes: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """(fp, rep) of distinct fingerprints -> links (a, b) between reps, whose components are those of all pairs within `most` bits.
 
-    Two such fingerprints are equal in one of most + 1 blocks, so each goes to one group for each of its blocks. A group
-    shared by too many is divided once more by the blocks of its other bits, which any pair within it also shares one of.
-    A task sorts and links the groups of its partition; it sends a forest, never all pairs."""
-    blocks = most + 1
-    width = 64 // blocks
-    n = classes.count()
-    limit = max(HOT_BLOCK, n // 1000)
-    # bits rotated so that block 0 is the group's; the rest stay in place above it
-    turned = [F.when(F.lit(i == 0), F.col("fp")).otherwise(F.shiftleft("fp", 64 - width * i).bitwiseOR(F.shiftrightunsigned("fp", width * i))) for i in range(blocks)]
-    rows = classes.select("rep", F.posexplode(F.array(*turned)).alias("block", "code"))
-    rows = rows.withColumn("value", F.col("code").bitwiseAND(F.lit((1 << width) - 1)))
-    hot = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("block", "value", F.lit(True).alias("_hot"))
-    rows = rows.join(F.broadcast(hot), ["block", "value"], "left")  # fewer than 4 n / limit rows
-    finer = F.array(*[F.struct(F.lit(i).alias("part"), p.alias("sub")) for i, p in enumerate(_parts(F.col("code"), width, 64 - width, blocks))])
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub")))
-    rows = rows.withColumn("_s", F.explode(F.when(F.col("_hot"), finer).otherwise(whole)))
-    rows = rows.select("rep", "code", F.xxhash64("block", "value", "_s.part", "_s.sub").alias("key"))
+    Two such fingerprints are equal in one of most + 1 blocks, so each goes to one group for each of its blocks. A group of
+    over HOT_BLOCK is divided by the blocks of its other bits, of which any pair within it also shares one, and so on; groups that share all
+    but LEAST_BITS bits can't be larger than 2^LEAST_BITS. So no task sorts a group whose size grows with the data. A task links
+    the groups of its partition; it sends a forest, never all pairs."""
+    n, used, blocks = classes.count(), 0, most + 1
+    rows, done = classes.select("rep", F.col("fp").alias("code"), F.lit(0).cast("long").alias("key")), []
+    while True:
+        rows, step = _divided(rows, used, most), (64 - used) // blocks
+        used += step
+        hot = None
+        if 64 - used > max(LEAST_BITS, blocks):
+            hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_BLOCK).select("key"), "hot_blocks")
+        if hot is None or hot.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(hot, "key", "left_anti").select("rep", "code", "key"))
+        rows = rows.join(hot, "key", "left_semi").select("rep", "code", "key")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.union(more)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(batches)
