@@ -77,13 +77,15 @@ def clean_space(value: Column) -> Column:
 
 
 def parse_date(value: Column) -> Column:
-    """Date of four written forms; two-digit years from 69 on are of the last century; else null."""
-    text = clean_text(value)
+    """Date of four written forms, with white space collapsed, ends free of ` ;,.` and months in any case; two-digit years from 69 on are of the
+    last century; else null."""
+    text = clean_space(clean_text(value))
+    named = F.initcap(F.lower(text))
     short = F.try_to_timestamp(F.when(text.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), text), F.lit("M/d/yy")).cast("date")
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
     full = F.try_to_timestamp(F.when(text.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), text), F.lit("M/d/yyyy")).cast("date")
-    long_month = F.try_to_timestamp(F.when(text.rlike("^[A-Z][a-z]{3,} [0-9]{1,2}, [0-9]{4}$"), text), F.lit("MMMM d, yyyy")).cast("date")
-    short_month = F.try_to_timestamp(F.when(text.rlike("^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"), text), F.lit("MMM d, yyyy")).cast("date")
+    long_month = F.try_to_timestamp(F.when(named.rlike("^[A-Z][a-z]{3,} [0-9]{1,2}, [0-9]{4}$"), named), F.lit("MMMM d, yyyy")).cast("date")
+    short_month = F.try_to_timestamp(F.when(named.rlike("^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"), named), F.lit("MMM d, yyyy")).cast("date")
     return F.coalesce(full, short, long_month, short_month)
 
 
@@ -93,6 +95,7 @@ def split_pages(text: Column) -> Column:
     return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+# Fixed values below: what permits say, and what kinds, actions and ids are called.
 def permit_type(text: Column) -> Column:
     first = F.upper(F.array_join(F.slice(split_pages(text), 1, 5), "\n"))
     return (

@@ -2,77 +2,30 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PAGE_MARK, evidence_tokens, jaccard
+from ..functions.text import evidence_tokens, jaccard
 from .survive import first_wins
 
-# Number words of equipment counts.
-NUMBERS = {w: n for n, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)}
-_WORD = "|".join(sorted(NUMBERS, key=len, reverse=True))
-_POWER = r"(?P<kw>[0-9][0-9, ]{2,7})\s*kW(?:e)?(?:\s*\(\s*(?P<hp>[0-9, ]{3,8})\s*(?:engine\s*)?HP\s*\))?"
-_UNIT = re.compile(rf"(?:(?P<word>\b(?:{_WORD}))?\s*(?:\(\s*(?P<count>[0-9]{{1,3}})\s*\))?(?P<middle>[^().]{{0,60}}?))?{_POWER}(?P<tail>[^.]{{0,150}}?(?:generator|genset)s?)", re.I | re.S)
-_STANDBY = re.compile("emergency|standby|backup", re.I)
-_IDS = re.compile(r"\bG[- ]?[0-9]+(?:\s*(?:thru|through|to|-)\s*G?[- ]?[0-9]+)?\b", re.I)
-# Controls in the order in which they are looked for.
-CONTROLS = (("Diesel particulate filter", "diesel particulate filter|\\bDPF\\b"), ("Selective catalytic reduction", "selective catalytic reduction|\\bSCR\\b"), ("Oxidation catalyst", "oxidation catalyst"))
-_MAKER = re.compile(r"\b(Caterpillar|Cummins|MTU|Kohler|Generac|Rolls[- ]Royce)\b", re.I)
+# What is plausible.
 BOUNDS = {"quantity": (1, 200), "kw": (100, 10_000), "hp": (100, 20_000)}
 
 
-def _digits(text: str | None) -> int | None:
-    digits = re.sub("[^0-9]", "", text or "")
-    return int(digits) if digits else None
-
-
-def equipment_of(text: str) -> Iterator[tuple]:
-    """(page, quantity, kw, hp, unit_ids, control, maker) of each generator group in the first five pages."""
-    for page, body in enumerate(re.split(PAGE_MARK, text or "")[1:6], 1):
-        body = unicodedata.normalize("NFKD", body).encode("ascii", "ignore").decode()
-        for m in _UNIT.finditer(body):
-            around = body[max(0, m.start() - 100) : m.end() + 100]
-            if not _STANDBY.search(around):
-                continue
-            quantity = _digits(m["count"]) or (NUMBERS[m["word"].lower()] if m["word"] else 1)
-            unit = _IDS.search(body[m.start() : m.end() + 180])
-            control = next((name for name, pattern in CONTROLS if re.search(pattern, around, re.I)), None)
-            maker = _MAKER.search(around)
-            yield page, quantity, _digits(m["kw"]), _digits(m["hp"]), unit[0] if unit else None, control, maker[1] if maker else None
-
-
-def equipment(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Generator groups of each document; lazy and overlapping contexts need Python's re, in Arrow batches."""
-    columns = ["page", "quantity", "kw", "hp", "unit_ids", "control", "maker"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *found) for k, t in zip(batch[key], batch[text], strict=True) for found in equipment_of(t)]
-            frame = pd.DataFrame(rows, columns=[key, *columns])
-            yield frame.astype({c: "Int64" for c in ("page", "quantity", "kw", "hp")})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, page long, quantity long, kw long, hp long, unit_ids string, control string, maker string")
-
-
 def plausible(quantity: Column, kw: Column, hp: Column) -> Column:
     ok = lambda c, name: c.isNull() | c.between(*BOUNDS[name])
     return ok(quantity, "quantity") & ok(kw, "kw") & ok(hp, "hp")
 
 
 def suppress_implicit(rows: DataFrame, doc: str) -> DataFrame:
-    """Drop single units that a group on the same page with the same rating explains, then horsepower-only rows that a rated row explains.
-    rows: doc, page, quantity, kw, hp."""
-    groups = rows.where("quantity > 1").select(F.col(doc).alias("d"), F.col("page").alias("p"), F.col("kw").alias("k"), F.col("hp").alias("h"))
-    same = (F.col(doc) == F.col("d")) & (F.col("page") == F.col("p")) & F.col("kw").eqNullSafe(F.col("k")) & F.col("hp").eqNullSafe(F.col("h")) & (F.col("quantity") == 1)
-    left = rows.join(groups, same, "left_anti")
-    rated = left.where("kw is not null").select(F.col(doc).alias("d"), F.col("page").alias("p"), F.col("quantity").alias("q"), F.col("hp").alias("h"))
-    return left.join(rated, (F.col(doc) == F.col("d")) & (F.col("page") == F.col("p")) & (F.col("quantity") == F.col("q")) & (F.col("hp") == F.col("h")) & F.col("kw").isNull(), "left_anti")
+    """Drop single units whose number isn't stated and that a group on the same page with the same rating explains (its horsepower may be unknown), and
+    horsepower-only rows that any rated row of the page with the same number and horsepower explains. rows: doc, page, quantity, kw, hp, stated."""
+    others = rows.select(F.col(doc).alias("d"), F.col("page").alias("p"), F.col("quantity").alias("q"), F.col("kw").alias("k"), F.col("hp").alias("h")).distinct()
+    page = (F.col(doc) == F.col("d")) & (F.col("page") == F.col("p"))
+    single = page & ~F.col("stated") & (F.col("quantity") == 1) & F.col("kw").eqNullSafe(F.col("k")) & (F.col("hp").isNull() | F.col("hp").eqNullSafe(F.col("h")))
+    left = rows.join(others.where("q > 1"), single, "left_anti")
+    rated = page & F.col("kw").isNull() & (F.col("quantity") == F.col("q")) & F.col("hp").eqNullSafe(F.col("h"))
+    return left.join(others.where("k is not null"), rated, "left_anti")
 
 
 def line_windows(docs: DataFrame, key: str, text: str, before: int = 2, after: int = 3) -> DataFrame:
@@ -84,13 +37,6 @@ def line_windows(docs: DataFrame, key: str, text: str, before: int = 2, after: i
     return lines.select(key, (F.col("i") + 1).alias("line_no"), "line", offset.cast("long").alias("line_offset"), around.alias("window"))
 
 
-def runtime_limits(lines: DataFrame, key: str) -> DataFrame:
-    """Hour limits near a line on hours of operation: the first value is each unit's, the second the total."""
-    hours = F.transform(F.regexp_extract_all("window", F.lit(r"(?i)([0-9,]+)\s*hours?/year"), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("long"))
-    stated = lines.where(F.col("line").rlike(r"(?i)Hours\s+of\s+Operation")).withColumn("hours", hours).where(F.size("hours") > 0)
-    return stated.select(key, "line_no", F.posexplode(F.slice("hours", 1, 2)).alias("i", "value")).select(key, "line_no", F.when(F.col("i") == 0, "Runtime - individual").otherwise("Runtime - aggregate").alias("limit_type"), "value")
-
-
 def near_duplicate_evidence(rows: DataFrame, group: str, key: str, text: str, least: float = 0.72) -> DataFrame:
     """Pairs of a group whose token sets have a Jaccard of at least `least`.
 

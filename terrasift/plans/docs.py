@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numeric import rounded
 from ..operators import docs as D
+from ..operators import equipment as E
 from ..operators.survive import first_wins
 from .base import Tables, query, r_sql
 
@@ -18,14 +19,14 @@ def _paged(body: Column | str = "text") -> Column:
     return F.concat(F.lit("scan\n===== PAGE 1 =====\n"), kind, F.lit("\nSubject :  Unit "), F.col("doc_id"), F.lit(" ; \n===== PAGE 2 =====\n"), body)
 
 
-PAGED_SQL = "('scan' || chr(10) || '===== PAGE 1 =====' || chr(10) || (['This permit is to operate the source', 'CAAPP PERMIT', 'Construction permit, revised', 'letter'])[doc_id % 4 + 1] || chr(10) || 'Subject :  Unit ' || doc_id || ' ; ' || chr(10) || '===== PAGE 2 =====' || chr(10) || substr(text, 1, 200))"
+PAGED_SQL = "('scan' || chr(10) || '===== PAGE 1 =====' || chr(10) || (['This permit is to operate the source', 'CAAPP PERMIT', 'Construction permit, revised', 'letter'])[doc_id % 4 + 1] || chr(10) || 'Subject :  Unit ' || doc_id || ' ; ' || chr(10) || '===== PAGE 2 =====' || chr(10) || text)"
 PAGES_SQL = f"(regexp_split_to_array({PAGED_SQL}, '===== PAGE [0-9]+ =====\\n?'))[2:]"
 
 
 @query("doc_pages", f"SELECT doc_id, CAST(i AS BIGINT) AS page, length(p[i]) AS chars, md5(p[i]) AS digest FROM (SELECT doc_id, {PAGES_SQL} AS p FROM documents), range(1, 3) r(i) WHERE i <= len(p)")
 def pages(t: Tables) -> DataFrame:
     """Pages between marks, numbered from 1."""
-    p = t.documents.select("doc_id", F.posexplode(T.split_pages(_paged(F.substring("text", 1, 200)))).alias("i", "body"))
+    p = t.documents.select("doc_id", F.posexplode(T.split_pages(_paged())).alias("i", "body"))
     return p.select("doc_id", (F.col("i") + 1).cast("long").alias("page"), F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
 
 
@@ -42,25 +43,46 @@ def permit_type(t: Tables) -> DataFrame:
 
 
 def _equipment_text() -> Column:
-    size = F.col("p_size")
-    return F.concat(
-        F.lit("===== PAGE 1 =====\nOne ("), size, F.lit(") diesel engine rated at 2,"), F.lpad((size * 10).cast("string"), 3, "0"),
-        F.lit(" kW (3,200 HP) emergency generators, units G-1 to G-9, each Caterpillar with SCR.\n===== PAGE 2 =====\nHours of Operation\n500 hours/year and 8,760 hours/year"),
-    )
+    """A counted rating in kW, a spelt count, a counted rating in HP, an inventory, and a heading with a rating alone."""
+    size = F.col("p_size").cast("string")
+    shapes = [
+        ("One (", size, ") diesel engine rated at 2,", F.lpad((F.col("p_size") * 10).cast("string"), 3, "0"), " kW (3,200 HP) emergency generators, units G-1 to G-9, each Caterpillar with SCR."),
+        ("Permit for two 1,", (F.col("p_size") + 100).cast("string"), " kW standby generators, Generator #4."),
+        ("The source has (", size, ") 1,500 HP backup gensets with a DPF."),
+        ("A plant consisting of (", size, ") 2,000 kW emergency generators by Cummins Model QSK60, pursuant to rule 9. Elsewhere (7) 900 kW emergency generators."),
+        ("Description of emission units to be operated: 1,250 kW engine of an emergency generator G-", size, ", (3) 800 kW pumps"),
+    ]
+    parts = [F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in shape]) for shape in shapes]
+    return F.concat(F.lit("===== PAGE 1 =====\n"), F.element_at(F.array(*parts), (F.col("p_partkey") % len(parts) + 1).cast("int")))
 
 
-@query("doc_equipment", "SELECT p_partkey, 1 AS page, p_size AS quantity, 2000 + p_size * 10 AS kw, 3200 AS hp, 'G-1 to G-9' AS unit_ids, 'Selective catalytic reduction' AS control, 'Caterpillar' AS maker FROM part")
+@query(
+    "doc_equipment",
+    """SELECT p_partkey, 1 AS page, (CASE p_partkey % 5 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE p_size END)::INT AS quantity,
+  (CASE p_partkey % 5 WHEN 0 THEN 2000 + p_size * 10 WHEN 1 THEN 1100 + p_size WHEN 3 THEN 2000 WHEN 4 THEN 1250 END)::INT AS kw, CASE p_partkey % 5 WHEN 0 THEN 3200 WHEN 2 THEN 1500 END AS hp,
+  CASE p_partkey % 5 WHEN 0 THEN 'G-1 to G-9' WHEN 1 THEN 'Generator #4' WHEN 4 THEN 'G-' || p_size END AS unit_ids,
+  CASE p_partkey % 5 WHEN 0 THEN 'Selective catalytic reduction' WHEN 2 THEN 'Diesel particulate filter' END AS control, CASE p_partkey % 5 WHEN 0 THEN 'Caterpillar' WHEN 3 THEN 'Cummins' END AS maker,
+  CASE p_partkey % 5 WHEN 0 THEN 'Caterpillar with' WHEN 3 THEN 'Cummins Model QSK60' END AS maker_model, p_partkey % 5 <> 4 AS stated, CASE p_partkey % 5 WHEN 3 THEN 'High' ELSE 'Medium' END AS confidence FROM part""",
+)
 def equipment(t: Tables) -> DataFrame:
-    """Generator groups found in text."""
-    rows = D.equipment(t.part.select("p_partkey", _equipment_text().alias("body")), "p_partkey", "body")
-    return rows.where(D.plausible(F.col("quantity"), F.col("kw"), F.col("hp"))).select("p_partkey", *[F.col(c).cast("int").alias(c) for c in ("page", "quantity", "kw", "hp")], "unit_ids", "control", "maker")
+    """Generator groups found in text, in five shapes."""
+    rows = E.equipment(t.part.select("p_partkey", _equipment_text().alias("body")), "p_partkey", "body")
+    return rows.select("p_partkey", *[F.col(c).cast("int").alias(c) for c in ("page", "quantity", "kw", "hp")], "unit_ids", "control", "maker", "maker_model", "stated", "confidence")
 
 
-@query("doc_runtime_limits", "SELECT p_partkey, l AS limit_type, v AS value FROM part, (VALUES ('Runtime - individual', 500::BIGINT), ('Runtime - aggregate', 8760::BIGINT)) x(l, v)")
+@query(
+    "doc_runtime_limits",
+    """SELECT p_partkey, page, l AS limit_type, CASE WHEN page = 3 AND v = 0 THEN 1000 + p_size ELSE v END AS value, u AS unit, a AS averaging_period FROM part,
+(VALUES (2, 'Runtime - individual', 500::BIGINT, 'hours/year per generator', 'Annual'), (2, 'Runtime - aggregate', 8760::BIGINT, 'hours/year total', 'Annual'),
+  (3, 'Diesel fuel consumption', 0::BIGINT, 'gallons/month', 'Monthly'), (3, 'Diesel fuel consumption', 12000::BIGINT, 'gallons/year', 'Annual')) x(page, l, v, u, a)
+WHERE (page = 2 AND (p_partkey % 3 <> 2 OR l = 'Runtime - individual')) OR (page = 3 AND p_partkey % 2 = 0)""",
+)
 def runtime_limits(t: Tables) -> DataFrame:
-    """Hour limits around a line."""
-    lines = D.line_windows(t.part.select("p_partkey", _equipment_text().alias("body")), "p_partkey", "body")
-    return D.runtime_limits(lines, "p_partkey").select("p_partkey", "limit_type", "value")
+    """Hour limits around a line and fuel limits, page by page."""
+    total = F.when(F.col("p_partkey") % 3 == 2, " each").otherwise(" each and 8,760 hours/year in all")
+    fuel = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Total diesel fuel burned shall not exceed 1,"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" gallons/month and 12,000 gallons/year."))).otherwise("No fuel limit, 10 hours/year")
+    body = F.concat(F.lit("===== PAGE 1 =====\n9 hours/year\n===== PAGE 2 =====\nHours of Operation\n500 hours/year"), total, F.lit("\n===== PAGE 3 =====\n"), fuel)
+    return E.permit_limits(t.part.select("p_partkey", body.alias("body")), "p_partkey", "body")
 
 
 @query("doc_group_context", "SELECT p_partkey, '(' || p_size || ') engine, 2,' || lpad(CAST(p_size * 10 AS VARCHAR), 3, '0') || ' kW generator' AS context FROM part")
@@ -85,32 +107,32 @@ def line_window(t: Tables) -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line_offset", F.md5("window").alias("digest"))
 
 
-@query("doc_ids_regex", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || 'AAB' END AS ids, CASE WHEN o_orderkey % 3 = 0 THEN 'Unreviewed' WHEN o_orderkey % 3 = 1 THEN 'Consistent' ELSE 'Possible mismatch' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'A-2024-' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') ELSE 'none' END AS notice FROM orders WHERE o_orderkey < 100000")
+@query("doc_ids_regex", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') || 'AAB' END AS ids, CASE WHEN o_orderkey % 3 = 0 THEN 'Unreviewed' WHEN o_orderkey % 3 = 1 THEN 'Consistent' ELSE 'Possible mismatch' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'A-2024-' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') ELSE 'none' END AS notice FROM orders")
 def ids_regex(t: Tables) -> DataFrame:
-    """Source ids, whether they fit, and notice numbers."""
+    """Source ids, whether they fit, and notice numbers (F20 F21); ids and notices are the low digits of keys of any width."""
     k = F.col("o_orderkey")
-    own = F.concat(F.lpad(k.cast("string"), 6, "0"), F.lit("AAB"))
-    text = F.concat(F.when(k % 3 == 0, "no id").otherwise(F.concat(F.lit("id "), own, F.lit(" and again "), own)), F.when(k % 2 == 0, F.concat(F.lit(" notice A-2024-"), F.lpad(k.cast("string"), 5, "0"))).otherwise(""))
+    own = F.concat(F.lpad((k % 1_000_000).cast("string"), 6, "0"), F.lit("AAB"))
+    text = F.concat(F.when(k % 3 == 0, "no id").otherwise(F.concat(F.lit("id "), own, F.lit(" and again "), own)), F.when(k % 2 == 0, F.concat(F.lit(" notice A-2024-"), F.lpad((k % 100_000).cast("string"), 5, "0"))).otherwise(""))
     ids = T.source_ids(text)
     expected = F.when(k % 3 == 1, own).otherwise("other")
-    return t.orders.where(k < 100_000).select("o_orderkey", F.array_join(ids, "|").alias("ids"), T.identity_status(ids, expected).alias("status"), T.notice_number(text, F.lit("none")).alias("notice"))
+    return t.orders.select("o_orderkey", F.array_join(ids, "|").alias("ids"), T.identity_status(ids, expected).alias("status"), T.notice_number(text, F.lit("none")).alias("notice"))
 
 
 @query("doc_parse_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
 def parse_date(t: Tables) -> DataFrame:
-    """Four written forms."""
+    """Four written forms, with ends and case as scans have them."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    text = F.when(k == 0, F.date_format(d, "M/d/yyyy")).when(k == 1, F.date_format(d, "M/d/yy")).when(k == 2, F.date_format(d, "MMMM d, yyyy")).when(k == 3, F.date_format(d, "MMM d, yyyy")).otherwise("undated")
+    text = F.when(k == 0, F.date_format(d, "M/d/yyyy")).when(k == 1, F.concat(F.lit(" "), F.date_format(d, "M/d/yy"), F.lit(" ;"))).when(k == 2, F.upper(F.date_format(d, "MMMM d, yyyy"))).when(k == 3, F.concat(F.date_format(d, "MMM  d, yyyy"), F.lit("."))).otherwise("undated")
     return t.orders.select("o_orderkey", T.parse_date(text).alias("day"))
 
 
-_IMPL = "r AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, CAST(l_quantity % 3 AS INT) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % 4 * 100 END AS kw, l_suppkey % 2 * 100 AS hp, l_linenumber FROM lineitem)"
+_IMPL = "r AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, CAST(l_quantity % 3 AS INT) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % 4 * 100 END AS kw, CASE WHEN l_suppkey % 5 = 4 THEN NULL ELSE l_suppkey % 2 * 100 END AS hp, l_tax < 0.04 AS stated, l_linenumber FROM lineitem)"
 
 
 @query(
     "doc_implicit_suppression",
-    f"""WITH {_IMPL}, a AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.quantity > 1 AND g.doc = r.doc AND g.page = r.page AND g.kw IS NOT DISTINCT FROM r.kw AND g.hp = r.hp AND r.quantity = 1)),
-b AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a k WHERE k.kw IS NOT NULL AND k.doc = a.doc AND k.page = a.page AND k.quantity = a.quantity AND k.hp = a.hp AND a.kw IS NULL))
+    f"""WITH {_IMPL}, b AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.quantity > 1 AND g.doc = r.doc AND g.page = r.page AND g.kw IS NOT DISTINCT FROM r.kw AND (g.hp IS NOT DISTINCT FROM r.hp OR r.hp IS NULL) AND r.quantity = 1 AND NOT r.stated)
+  AND NOT EXISTS (SELECT 1 FROM r k WHERE k.kw IS NOT NULL AND k.doc = r.doc AND k.page = r.page AND k.quantity = r.quantity AND k.hp IS NOT DISTINCT FROM r.hp AND r.kw IS NULL))
 SELECT doc, CAST(page AS INT) AS page, quantity, CAST(kw AS BIGINT) AS kw, CAST(hp AS BIGINT) AS hp, min(l_linenumber) AS first_line FROM b GROUP BY ALL""",
 )
 def implicit_suppression(t: Tables) -> DataFrame:
@@ -118,9 +140,9 @@ def implicit_suppression(t: Tables) -> DataFrame:
     li = t.lineitem
     rows = li.select(
         F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), (F.col("l_quantity") % 3).cast("int").alias("quantity"),
-        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey") % 4 * 100).alias("kw"), (F.col("l_suppkey") % 2 * 100).alias("hp"), "l_linenumber",
+        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey") % 4 * 100).alias("kw"), F.when(F.col("l_suppkey") % 5 != 4, F.col("l_suppkey") % 2 * 100).alias("hp"), (F.col("l_tax") < 0.04).alias("stated"), "l_linenumber",
     )
-    kept = D.suppress_implicit(rows, "doc")
+    kept = D.suppress_implicit(rows, "doc").drop("stated")
     return first_wins(kept, ["doc", "page", "quantity", "kw", "hp"], ["l_linenumber"]).withColumnRenamed("l_linenumber", "first_line")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrasift.functions import geo as G
 from terrasift.functions import polygon_udf as P
 from terrasift.functions import text as T
-from terrasift.operators import docs, graph, landcover, match, raster, rollup, spatial, survive, vectors
+from terrasift.operators import docs, equipment, graph, landcover, match, raster, rollup, spatial, survive, vectors
 from terrasift.plans import registry
 from terrasift.sources import geojson, html_table, manifest, texts, xlsx
 from terrasift.streaming import ingest
@@ -173,8 +173,33 @@ def test_regions_are_brute_force(spark):
 
 def test_equipment():
     text = "===== PAGE 1 =====\nThree (3) emergency 2,250 kW (3,017 HP) diesel generators G-1 to G-3 by Cummins with a DPF. Elsewhere one 40 kW lamp."
-    assert list(docs.equipment_of(text)) == [(1, 3, 2250, 3017, "G-1 to G-3", "Diesel particulate filter", "Cummins")]
-    assert list(docs.equipment_of("")) == [] and list(docs.equipment_of(None)) == []
+    assert [g[:7] for g in equipment.equipment_of(text)] == [(1, 3, 2250, 3017, "G-1 to G-3", "Diesel particulate filter", "Cummins")]
+    assert equipment.equipment_of("") == [] and equipment.equipment_of(None) == []
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("thirty-two 2,000 kW standby generators", [(32, 2000, None, True, "Medium")]),
+        ("(4) units, 1,340 BHP each, 1,000 kW emergency generators", [(4, 1000, 1340, True, "Medium")]),
+        ("(4) 750-HP emergency gensets", [(4, None, 750, True, "Medium")]),
+        ("(4) 750 HP emergency gensets, that is (4) 500 kW (750 HP) emergency generators", [(4, 500, 750, True, "Medium")]),
+        ("(4) 500 kW (750 HP) emergency generators; a 500 kW engine for an emergency generator", [(4, 500, 750, True, "Medium")]),
+        ("1,250 kW, backup power, generator", [(1, 1250, None, False, "Medium")]),
+        ("(201) 500 kW emergency generators and (3) 50 kW emergency generators" + "." * 110 + "(3) 500 kW generators", [(1, 500, None, False, "Medium")]),
+        ("(2) 600 kW emergency generators. Consisting of (5) 700 kW emergency generators. This permit is subject to (9) 800 kW emergency generators", [(2, 600, None, True, "High"), (5, 700, None, True, "High")]),
+        ("(2) 600 kW emergency generators" + "." * 99 + "Description of emission unit to be operated: (6) 900 kW emergency generators", [(6, 900, None, True, "Medium")]),
+    ],
+)
+def test_equipment_shapes(body, want):
+    got = equipment.equipment_of(f"cover\n===== PAGE 4 =====\n{body}")
+    assert [(g.quantity, g.kw, g.hp, g.stated, g.confidence) for g in got] == want and all(g.page == 1 for g in got)
+
+
+def test_dates_as_scans_have_them(spark):
+    texts = ["5/7/2020", " 05/07/20 ;", "MAY 7, 2020.", "may  7, 2020", "September 30, 1999", "sep 30, 1999", "1/2/69", "13/1/2020", "May 2020", "", None]
+    got = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.parse_date(F.col("t")).alias("d")).collect()]
+    assert [str(d) if d else None for d in got] == ["2020-05-07"] * 4 + ["1999-09-30"] * 2 + ["1969-01-02", None, None, None, None]
 
 
 def test_evidence_pairs_are_brute_force(spark):
