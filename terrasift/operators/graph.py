@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written and read again in the shared checkpoint folder, so that plans don't grow with the rounds."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. A session without one may use a temporary folder if it runs in this process
+    alone; elsewhere executors would write to disks of their own, so that is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terrasift-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/graph-{uuid.uuid4().hex}"
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Written and read again in the shared checkpoint folder, so that plans don't grow with the rounds."""
+    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components, cut
+
 # Scene classes that hide the ground.
 BAD_SCENE_CLASSES = (0, 1, 3, 8, 9, 10, 11)
 
@@ -72,3 +74,19 @@ def label_regions(cells: DataFrame, unit: str, row: str = "row", col: str = "col
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", region long"
     return cells.groupBy(unit).applyInPandas(label, schema)
+
+
+def label_mask(cells: DataFrame, tile: int = 512) -> DataFrame:
+    """8-connected regions of one mask of any extent: region is the smallest row * 2**32 + col in it. Each tile is labelled in a task; labels of cells
+    that touch across tiles are joined by components, so only cells on the edges of tiles are compared between tasks."""
+    tiled = cells.withColumns({"_ty": F.floor(F.col("row") / tile).cast("long"), "_tx": F.floor(F.col("col") / tile).cast("long")})
+    labelled = cut(label_regions(tiled.withColumn("_tile", F.col("_ty") * (1 << 32) + F.col("_tx")), "_tile").drop("_ty", "_tx"))
+    edge = (F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1))
+    border = labelled.where(edge).select("row", "col", "_tile", "region")
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    asked = border.select("_tile", F.col("region").alias("a"), (F.col("row")).alias("r"), F.col("col").alias("c"), steps.alias("s")).select("_tile", "a", (F.col("r") + F.col("s.dy")).alias("r"), (F.col("c") + F.col("s.dx")).alias("c"))
+    there = border.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("_tile").alias("_other"), F.col("region").alias("b"))
+    touching = cut(asked.join(there, ["r", "c"]).where("_tile <> _other").select("a", "b").distinct())
+    nodes = touching.select(F.col("a").alias("node")).union(touching.select("b")).distinct()
+    joined = components(nodes, touching).select(F.col("node").alias("region"), "component")
+    return labelled.join(joined, "region", "left").withColumn("region", F.coalesce("component", "region")).drop("component", "_tile")

@@ -94,10 +94,10 @@ def nn_bands(t: Tables) -> DataFrame:
     return _nearest(t).agg(rounded(F.percentile("distance_m", F.lit(0.5)), 2).alias("median_m"), *[F.count_if(F.col("distance_m") <= m).alias(f"within_{m}") for m in (100, 500, 1000, 5000, 10000)])
 
 
-@query("geo_three_way", f"WITH n AS (SELECT c_custkey, s_suppkey FROM ({CUST}) a JOIN ({SUPP}) b ON {DIST} <= 300), m AS (SELECT c_custkey, p_partkey FROM ({CUST}) a JOIN (SELECT * FROM ({PART}) WHERE p_partkey % 10 = 0) b ON {DIST} <= 300) SELECT c_custkey, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT p_partkey) AS parts FROM n JOIN m USING (c_custkey) GROUP BY ALL")
+@query("geo_three_way", f"WITH n AS (SELECT c_custkey, s_suppkey FROM ({CUST}) a JOIN ({SUPP}) b ON {DIST} <= 300), m AS (SELECT c_custkey, p_partkey FROM ({CUST}) a JOIN ({PART}) b ON {DIST} <= 300) SELECT c_custkey, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT p_partkey) AS parts FROM n JOIN m USING (c_custkey) GROUP BY ALL")
 def three_way(t: Tables) -> DataFrame:
     """Points with a neighbour of both other tables."""
-    parts = points(t.part.where("p_partkey % 10 = 0"), "p_partkey", "other_point", 0.0002, 0.0001).select("p_partkey", "other_point")
+    parts = points(t.part, "p_partkey", "other_point", 0.0002, 0.0001).select("p_partkey", "other_point")
     n = spatial.distance_join(_cust(t), _supp(t), 300.0).groupBy("c_custkey").agg(F.countDistinct("s_suppkey").alias("suppliers"))
     m = spatial.distance_join(_cust(t), parts, 300.0).groupBy("c_custkey").agg(F.countDistinct("p_partkey").alias("parts"))
     return n.join(m, "c_custkey")
@@ -254,10 +254,10 @@ def validity(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", P.ring_is_valid(ring).alias("valid"))
 
 
-@query("geo_dissolve", f"WITH k AS (SELECT * FROM ({_BOX}) WHERE id < 400) SELECT a.id // 2 AS pair, {r_sql(f'(a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_OVER}')} AS area FROM k a JOIN k b ON b.id = a.id + 1 AND a.id % 2 = 0")
+@query("geo_dissolve", f"WITH k AS ({_BOX}) SELECT a.id // 2 AS pair, {r_sql(f'(a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_OVER}')} AS area FROM k a JOIN k b ON b.id = a.id + 1 AND a.id % 2 = 0")
 def dissolve(t: Tables) -> DataFrame:
     """Area of the union of polygons (G-H)."""
-    k = _boxes(t).where("id < 400").groupBy(F.floor(F.col("id") / 2).cast("long").alias("pair")).agg(F.collect_list(F.array(_ring())).alias("polygons")).where(F.size("polygons") == 2)
+    k = _boxes(t).groupBy(F.floor(F.col("id") / 2).cast("long").alias("pair")).agg(F.collect_list(F.array(_ring())).alias("polygons")).where(F.size("polygons") == 2)
     return k.select("pair", rounded(P.dissolved_area(F.col("polygons"))).alias("area"))
 
 

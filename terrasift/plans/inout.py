@@ -7,18 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
 from ..sources import geojson, manifest, texts, xlsx
 from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
 
 
 def _scratch(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="terrasift-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/io-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("io_csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -89,7 +84,7 @@ def formula_errors(t: Tables) -> DataFrame:
     return texts.formula_errors(t.part.select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, "#DIV/0!").otherwise("fine").alias("cell"))).select("p_partkey")
 
 
-@query("io_page_text", f"SELECT user_id, md5(string_agg('===== PAGE ' || page || ' =====' || chr(10) || body, chr(10) ORDER BY page)) AS digest, {r_sql('avg(c)')} AS mean_confidence FROM (SELECT user_id, day(ts) AS page, string_agg(event_type, chr(10) ORDER BY -(value + 1), event_id) AS body, avg(value) AS c FROM events GROUP BY ALL) GROUP BY user_id")
+@query("io_page_text", f"SELECT user_id, md5(string_agg('===== PAGE ' || page || ' =====' || chr(10) || body, chr(10) ORDER BY page)) AS digest, {r_sql('sum(c)::DOUBLE / count(c) / 1000000')} AS mean_confidence FROM (SELECT user_id, day(ts) AS page, string_agg(event_type, chr(10) ORDER BY -(value + 1), event_id) AS body, CAST(floor(sum(CAST(round(value * 1000000) AS BIGINT))::DOUBLE / count(value) + 0.5) AS BIGINT) AS c FROM events GROUP BY ALL) GROUP BY user_id")
 def page_text(t: Tables) -> DataFrame:
     """Observations as page-marked text."""
     from ..functions.numeric import rounded

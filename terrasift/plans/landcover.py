@@ -163,23 +163,24 @@ def scan_filter(t: Tables) -> DataFrame:
     return t.events.where(time & inside & (F.col("value") >= 30) & (F.col("event_type") == "click")).select("event_id", "event_type", "value")
 
 
-_GRID = "SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey < 1600"
+_GRID = "SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, CAST(p_size AS DOUBLE) AS v FROM part"
 
 
 def _grid(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey < 1600").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_size").cast("double").alias("v"))
+    return t.part.select(F.floor(F.col("p_partkey") / 40).cast("long").alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_size").cast("double").alias("v"))
 
 
 @query(
     "pix_warp_grid",
-    f"""WITH g AS ({_GRID}), target AS (SELECT r AS trow, c AS tcol, r * 1.5::DOUBLE + 0.25 AS y, c * 1.25::DOUBLE + 0.5 AS x FROM range(20) a(r), range(24) b(c))
+    f"""WITH g AS ({_GRID}), target AS (SELECT r AS trow, c AS tcol, r * 1.5::DOUBLE + 0.25 AS y, c * 1.25::DOUBLE + 0.5 AS x FROM (SELECT unnest(range((SELECT max(row) FROM g) * 2 // 3 + 1)) AS r) a, range(32) b(c))
 SELECT trow, tcol, n.v AS nearest, {r_sql('a.v * (1 - fx) * (1 - fy) + b.v * fx * (1 - fy) + c.v * (1 - fx) * fy + d.v * fx * fy')} AS bilinear
 FROM (SELECT *, x - floor(x) AS fx, y - floor(y) AS fy, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0, CAST(floor(x + 0.5) AS BIGINT) AS xn, CAST(floor(y + 0.5) AS BIGINT) AS yn FROM target)
 JOIN g n ON n.row = yn AND n.col = xn JOIN g a ON a.row = y0 AND a.col = x0 JOIN g b ON b.row = y0 AND b.col = x0 + 1 JOIN g c ON c.row = y0 + 1 AND c.col = x0 JOIN g d ON d.row = y0 + 1 AND d.col = x0 + 1""",
 )
 def warp_grid(t: Tables) -> DataFrame:
     """A raster on another grid, by nearest neighbour and bilinear weights, as joins on row and column."""
-    target = t.spark.range(20 * 24).select(F.floor(F.col("id") / 24).cast("long").alias("trow"), (F.col("id") % 24).alias("tcol"))
+    rows = t.part.agg(F.floor(F.max("p_partkey") / 40).cast("long")).first()[0] or 0  # the target covers all of the grid
+    target = t.spark.range((rows * 2 // 3 + 1) * 32).select(F.floor(F.col("id") / 32).cast("long").alias("trow"), (F.col("id") % 32).alias("tcol"))
     target = target.withColumn("y", F.col("trow") * 1.5 + 0.25).withColumn("x", F.col("tcol") * 1.25 + 0.5)
     g = _grid(t)
 
@@ -202,15 +203,15 @@ def area_stack(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_brand").alias("unit")).agg(*[F.sum(F.when(F.col("p_size") % 9 == i, 100).otherwise(0)).cast("long").alias(c) for i, c in enumerate(L.CLASSES)])
 
 
-_CELLS = "SELECT c_custkey % 40 AS col, c_custkey // 40 AS row, c_acctbal FROM customer WHERE c_custkey < 1500 AND c_nationkey % 3 = 0"
+_CELLS = "SELECT c_custkey % 40 AS col, c_custkey // 40 AS row, c_acctbal FROM customer WHERE c_nationkey % 3 = 0"
 _REGIONS = f"""WITH RECURSIVE c AS ({_CELLS}), e AS (SELECT a.row * 4294967296 + a.col AS u, b.row * 4294967296 + b.col AS v FROM c a JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1),
 reach AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u), lab AS (SELECT u, min(v) AS region FROM reach GROUP BY u),
 full_ AS (SELECT region, row, col, c_acctbal FROM c JOIN lab ON u = row * 4294967296 + col)"""
 
 
 def _regions(t: Tables) -> DataFrame:
-    cells = t.customer.where("c_custkey < 1500 and c_nationkey % 3 = 0").select(F.lit(0).alias("unit"), F.floor(F.col("c_custkey") / 40).cast("long").alias("row"), (F.col("c_custkey") % 40).alias("col"), "c_acctbal")
-    return R.label_regions(cells, "unit")
+    cells = t.customer.where("c_nationkey % 3 = 0").select(F.floor(F.col("c_custkey") / 40).cast("long").alias("row"), (F.col("c_custkey") % 40).alias("col"), "c_acctbal")
+    return R.label_mask(cells)
 
 
 @query("pix_components", f"{_REGIONS} SELECT CAST(region AS BIGINT) AS region, count(*) AS pixels, count(*) * 100 AS area_m2, min(row) AS top_row, min(col) AS left_col FROM full_ GROUP BY region")
