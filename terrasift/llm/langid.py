@@ -80,9 +80,13 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, key: str = "doc_id"
     docs = dict(labelled.groupBy("lang").count().collect())
     total = sum(docs.values())
     if total > max_docs:
-        share = [(lang, int(min(1.0, max(max_docs / total, min(LEAST_DOCS, max_docs / len(docs)) / n)) * 2**30)) for lang, n in docs.items()]
-        shares = labelled.sparkSession.createDataFrame(share, "__lang string, __share long")
-        labelled = labelled.join(shares, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64(key), F.lit(2**30)) < F.col("__share"))
+        common, least = max_docs / total, min(LEAST_DOCS, max_docs / len(docs))
+        rare = {lang: min(1.0, least / n) for lang, n in docs.items() if least / n > common}
+        share = F.lit(int(common * 2**30))
+        if rare:
+            own = F.create_map(*[F.lit(x) for lang, part in rare.items() for x in (lang, int(part * 2**30))])
+            share = F.coalesce(F.try_element_at(own, F.col("lang")), share)
+        labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
