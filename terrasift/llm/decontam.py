@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-Q = 8
+#: Characters of a q-gram; items that are too short for it at the full rate of edits go by shorter ones.
+Q, SHORT_Q = 8, 5
 #: Edits allowed, as a share of the benchmark item's characters.
 EDIT_RATE = 0.1
 #: Benchmark characters that are broadcast at once; a larger benchmark is taken in as many passes.
@@ -46,18 +47,24 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _qgrams(codes: np.ndarray) -> np.ndarray:
-    """Hash of each q-gram, q = 8, by doubling."""
-    h, base = codes.astype(np.uint64), _BASE
-    for step in (1, 2, 4):
-        h = h[:-step] * np.uint64(base) + h[step:]
-        base = base * base % 2**64
+def _qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of each q-gram."""
+    n = len(codes) - q + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(q):
+        h = (h * np.uint64(_BASE)) + codes[i : i + n]
     return h ^ (h >> np.uint64(29))
 
 
 def edit_budget(length: int, rate: float = EDIT_RATE) -> int:
-    """Edits allowed: the rate's share, as far as the q-gram lemma still asks for one shared q-gram at least."""
-    return max(0, min(int(length * rate), (length - Q) // Q))
+    """Edits allowed: the rate's share of an item's characters, as far as the q-gram lemma asks for one shared q-gram at least, which up to a rate
+    of 0.1 is no limit."""
+    return max(0, min(int(length * rate + 1e-9), (length - SHORT_Q) // SHORT_Q))
+
+
+def _q_of(length: int, budget: int) -> int:
+    """The longer q if some q-gram is left by all edits of the budget, else the shorter."""
+    return Q if length - Q + 1 - Q * budget >= 1 else SHORT_Q
 
 
 def banded_alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
@@ -68,8 +75,8 @@ def banded_alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple
     m, width = len(item), len(region) - len(item) + 1 + 2 * budget
     if width <= 0:
         return None
-    big = np.int64(1) << 40
-    unit = np.int64(1) << 20
+    big = np.int64(1) << 62
+    unit = np.int64(1) << 31  # starts are below it, so regions of up to two thousand million characters fit
     padded = np.full(len(region) + 2 * (budget + 2) + m, -1, np.int64)
     shift = budget + 1
     padded[shift : shift + len(region)] = region
@@ -88,38 +95,23 @@ def banded_alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple
             return None
     j = columns + m
     cells = np.where((j >= 0) & (j <= len(region)), cells, big)
-    best = int(np.argmin(cells >> 20))
-    edits, start = int(cells[best] >> 20), int(cells[best] & (unit - 1))
+    best = int(np.argmin(cells >> 31))
+    edits, start = int(cells[best] >> 31), int(cells[best] & (unit - 1))
     return (edits, start, int(j[best])) if edits <= budget else None
 
 
 class BenchmarkIndex:
-    """The q-grams of a bounded block of benchmark items."""
+    """The q-grams of a bounded block of benchmark items, by q."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE):
         self.items = [(i, t) for i, t in ((i, normalize(t)) for i, t in items) if t]
         self.codes = [_codes(t) for _, t in self.items]
         self.budget = np.array([edit_budget(len(c), rate) for c in self.codes], np.int64)
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.short = [k for k, c in enumerate(self.codes) if len(c) < Q]
-        self.need = self.length - Q + 1 - Q * self.budget
-        grams = [_qgrams(c) if len(c) >= Q else np.empty(0, np.uint64) for c in self.codes]
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        # q-grams that many items share say little: an item leaves out its most frequent ones, and needs so many fewer of the rest
-        _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
-        frequency = often[which] if len(gram) else np.empty(0, np.int64)
-        kept = np.ones(len(gram), bool)
-        for k, at in enumerate(np.split(np.arange(len(gram)), np.cumsum([len(g) for g in grams])[:-1])) if grams else ():
-            worst = at[np.argsort(-frequency[at], kind="stable")[: max(0, int(self.need[k]) // 2)]]
-            worst = worst[frequency[worst] > 1]
-            kept[worst] = False
-            self.need[k] -= len(worst)
-        order = np.flatnonzero(kept)[np.argsort(gram[kept], kind="stable")]
-        self.gram, self.owner, self.place = gram[order], owner[order].astype(np.int64), place[order].astype(np.int64)
-        # where the q-grams of each leading bits begin
-        self.first = np.searchsorted(self.gram >> np.uint64(64 - _LEADING_BITS), np.arange((1 << _LEADING_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        q = np.array([_q_of(n, b) for n, b in zip(self.length.tolist(), self.budget.tolist(), strict=True)], np.int64)
+        self.short = np.flatnonzero(self.length < q).tolist()
+        self.need = self.length - q + 1 - q * self.budget
+        self.grams = {x: Postings(self, x, np.flatnonzero((q == x) & (self.length >= x))) for x in (Q, SHORT_Q)}
         self.overlap = int((self.length + 4 * self.budget + 2 * Q).max(initial=0)) + 2
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
@@ -139,20 +131,13 @@ class BenchmarkIndex:
             if (at := text.find(self.items[k][1])) >= 0:
                 yield k, (0, at, at + int(self.length[k]))
         codes = _codes(text)
-        if len(codes) < Q or len(self.gram) == 0:
-            return
-        grams = _qgrams(codes)
-        lead = (grams >> np.uint64(64 - _LEADING_BITS)).astype(np.int32)
-        low = self.first[lead]
-        where = np.flatnonzero(self.first[lead + 1] > low)
-        low, count = low[where], (self.first[lead[where] + 1] - low[where])
-        post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        where = np.repeat(where, count)
-        same = self.gram[post] == grams[where]
-        post, where = post[same], where[same]
-        if len(post) == 0:
+        for postings in self.grams.values():
+            yield from self._banded(text, codes, *postings.meet(codes))
+
+    def _banded(self, text: str, codes: np.ndarray, where: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """Regions of the items `owner` whose q-grams at `place` stand at `where`."""
+        if len(where) == 0:
             return
-        owner, place = self.owner[post], self.place[post]
         diagonal = where - place
         step = self.budget[owner] + 1
         band = np.floor_divide(diagonal, step)
@@ -177,6 +162,44 @@ class BenchmarkIndex:
         return banded_alignment(self.codes[k], region, int(self.budget[k]))
 
 
+class Postings:
+    """Sorted q-grams of some items, with the item and the place of each."""
+
+    def __init__(self, index: BenchmarkIndex, q: int, chosen: np.ndarray):
+        self.q = q
+        grams = [_qgrams(index.codes[k], q) for k in chosen]
+        owner = np.repeat(chosen, [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        # q-grams that many items share say little: an item leaves out its most frequent ones, and needs so many fewer of the rest
+        _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
+        frequency = often[which] if len(gram) else np.empty(0, np.int64)
+        kept = np.ones(len(gram), bool)
+        for k, at in zip(chosen, np.split(np.arange(len(gram)), np.cumsum([len(g) for g in grams])[:-1]) if grams else (), strict=True):
+            worst = at[np.argsort(-frequency[at], kind="stable")[: max(0, int(index.need[k]) // 2)]]
+            worst = worst[frequency[worst] > 1]
+            kept[worst] = False
+            index.need[k] -= len(worst)
+        order = np.flatnonzero(kept)[np.argsort(gram[kept], kind="stable")]
+        self.gram, self.owner, self.place = gram[order], owner[order].astype(np.int64), place[order].astype(np.int64)
+        # where the q-grams of each leading bits begin
+        self.first = np.searchsorted(self.gram >> np.uint64(64 - _LEADING_BITS), np.arange((1 << _LEADING_BITS) + 1, dtype=np.uint64)).astype(np.int32) if len(order) else None
+
+    def meet(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of every q-gram that both have."""
+        if self.first is None or len(codes) < self.q:
+            return (np.empty(0, np.int64),) * 3
+        grams = _qgrams(codes, self.q)
+        lead = (grams >> np.uint64(64 - _LEADING_BITS)).astype(np.int32)
+        low = self.first[lead]
+        where = np.flatnonzero(self.first[lead + 1] > low)
+        low, count = low[where], (self.first[lead[where] + 1] - low[where])
+        post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.empty(0, np.int64)
+        where = np.repeat(where, count)
+        same = self.gram[post] == grams[where]
+        return where[same], self.owner[post[same]], self.place[post[same]]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of BLOCK_CHARS characters at most, or of one item."""
     held, chars = [], 0
@@ -194,8 +217,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """(key, text) x (item_id, text) -> key, item_id, edits, start, end, item_chars: each pair of which the whole item stands in the
     document within `rate` of its characters in edits, at its best region (fewest edits, then first).
 
-    Case and white space don't count; start and end are code points of the text as it is, end exclusive. Items shorter than 8
-    characters must stand there exactly; empty or null items and texts match nothing. Repeated rows give repeated pairs. The
+    Case and white space don't count; start and end are code points of the text as it is, end exclusive. Items shorter than 10
+    characters allow no edit at a rate of 0.1; empty or null items and texts match nothing. Repeated rows give repeated pairs. The
     benchmark is broadcast in blocks of a bounded size, a pass over the documents for each; the documents aren't shuffled."""
     spark = docs.sparkSession
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, edits int, start long, end long, item_chars int"
