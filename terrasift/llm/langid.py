@@ -140,7 +140,7 @@ def accepted(docs: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFr
     rows of docs, sampled as in fit(). Without any label no language can be told, and every row with a letter stays."""
     model = fit(docs.select(F.col(key).alias("doc_id"), "text", "lang"))
     if not model.labels:
-        return docs.where(F.col("text").rlike(r"\\p{L}"))
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = plus(docs, __found=predicted(docs.sparkSession, F.col("text"), model))
     return found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least)).select(*docs.columns)
 
