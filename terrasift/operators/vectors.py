@@ -107,3 +107,64 @@ def interleaved(*lists: DataFrame) -> DataFrame:
         out = one if out is None else out.union(one)
     best = out.groupBy("key").agg(F.min("place").alias("place"), F.min_by("list", "place").alias("list"))
     return best.withColumn("rank", F.row_number().over(Window.orderBy("place")))
+
+
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 1_000
+
+
+def against(pool: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
+    """Every row of pool with every query: a stated set of queries, broadcast in blocks of a bounded number, a pass over the pool for each."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return pool.join(F.broadcast(queries))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(2 * blocks)))  # twice as many, so that none is much larger than a block
+    out = None
+    for i in range(2 * blocks):
+        part = pool.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def held_out_scores(tiles: DataFrame, label: str, site: str, vector: str) -> DataFrame:
+    """Leave-one-site-out: for each (label, site) the mean of the label's vectors in other sites is held against all tiles but those. tiles with
+    _label, _site and s, the cosine; a label of one site asks nothing."""
+    flat = tiles.select(label, site, F.posexplode(vector).alias("i", "x"))
+    own = flat.groupBy(label, site, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy(F.col(label).alias("_l"), F.col("i").alias("_i")).agg(F.sum("s").alias("ws"), F.sum("n").alias("wn"))
+    rest = own.join(whole, (F.col(label) == F.col("_l")) & (F.col("i") == F.col("_i"))).where("wn > n")
+    queries = rest.groupBy(F.col(label).alias("_label"), F.col(site).alias("_site")).agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("ws") - F.col("s")) / (F.col("wn") - F.col("n"))).alias("x")))).alias("_q"))
+    queries = queries.withColumn("_q", F.transform("_q", lambda e: e["x"]))
+    pool = against(tiles, queries, "_label", "_site").where((F.col(label) != F.col("_label")) | (F.col(site) == F.col("_site")))
+    return pool.withColumn("s", cosine(F.col(vector), F.col("_q"))).drop("_q", vector)
+
+
+def first_hits(scores: DataFrame, query: list[str], key: str, score: str, hit: str) -> DataFrame:
+    """Rank of the first hit of each query, ties by key: how many are better is counted, so that no task sorts a pool."""
+    best = scores.where(hit).groupBy(*[F.col(q).alias(f"_{q}") for q in query]).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"))).alias("_best"))
+    same = [F.col(q) == F.col(f"_{q}") for q in query]
+    better = (F.col(score) > F.col("_best.s")) | ((F.col(score) == F.col("_best.s")) & (-F.col(key) > F.col("_best.k")))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return scores.join(best, on).groupBy(*query).agg((F.count_if(better) + 1).alias("first_hit"))
+
+
+def bootstrap_recall(hits: DataFrame, order: list[str], rank: str, k: int, draws: int) -> DataFrame:
+    """One row low_k, high_k: the 95 percent interval of recall at k over resamples of the queries, drawn by md5 so that reruns agree. One row a query."""
+    listed = hits.withColumn("_k", F.row_number().over(Window.orderBy(*order)) - 1)
+    n = listed.agg(F.count(F.lit(1)).alias("n"))
+    draw = listed.select("_k").crossJoin(n).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit("boot|"), F.col("draw"), F.lit("|"), F.col("_k"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    drawn = draw.select("draw", pick.alias("_pick")).join(listed.select(F.col("_k").alias("_pick"), rank), "_pick")
+    recalls = drawn.groupBy("draw").agg(F.avg((F.col(rank) <= k).cast("double")).alias("recall"))
+    return recalls.agg(F.percentile("recall", F.lit(0.025)).alias(f"low_{k}"), F.percentile("recall", F.lit(0.975)).alias(f"high_{k}"))
+
+
+def binned_auc(scores: DataFrame, query: list[str], score: str, hit: str, bins: int) -> DataFrame:
+    """Area under the curve of each query: the share of (hit, other) pairs in the right order, of pairs in one bin half. Scores are counted in 1 / bins
+    steps first, so a task orders 2 * bins counts and no pool."""
+    counts = scores.groupBy(*query, F.floor(F.col(score) * bins).alias("bin")).agg(F.count_if(F.col(hit)).alias("pos"), F.count_if(~F.col(hit)).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*query).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = counts.withColumn("below", below).groupBy(*query).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return summed.where("p * n > 0").select(*query, (F.col("won") / (F.col("p") * F.col("n")).cast("double")).alias("auc"))

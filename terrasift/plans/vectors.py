@@ -34,36 +34,73 @@ def prototype(t: Tables) -> DataFrame:
 
 
 _LOO = f"""{_PROTO}, s AS (SELECT q.label, e.vec_id, e.label AS truth, {_COS.format(a='e.embedding', b='q.p')} AS s FROM embeddings e, proto q WHERE e.vec_id % 10 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s), hit AS (SELECT label, min(rank) FILTER (WHERE label = truth) AS first_hit FROM r GROUP BY label)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s)"""
+# A site is a fifth of a label's vectors. The query of a site is the mean of its label's other sites; those are out of the pool it searches.
+_SITES = 5
+_OUT = f"""t AS (SELECT vec_id, label, vec_id % {_SITES} AS site, embedding FROM embeddings), e AS (SELECT vec_id, label, site, i, CAST(embedding[i] AS DOUBLE) AS x FROM t, range(1, 65) r(i)),
+own AS (SELECT label, site, i, sum(x) AS s, count(*) AS n FROM e GROUP BY ALL), whole AS (SELECT label, i, sum(s) AS s, sum(n) AS n FROM own GROUP BY ALL),
+q AS (SELECT own.label, own.site, list((whole.s - own.s) / (whole.n - own.n) ORDER BY i) AS p FROM own JOIN whole USING (label, i) WHERE whole.n > own.n GROUP BY ALL),
+s AS (SELECT q.label AS ql, q.site AS qs, t.vec_id, t.label = q.label AS hit, {_COS.format(a='t.embedding', b='q.p')} AS s FROM t, q WHERE t.label <> q.label OR t.site = q.site),
+r AS (SELECT *, row_number() OVER (PARTITION BY ql, qs ORDER BY s DESC, vec_id) AS rank FROM s), hits AS (SELECT ql AS label, qs AS site, min(rank) AS first_hit FROM r WHERE hit GROUP BY ALL)"""
+_BOOTS = 200
 
 
-def _first_hits(t: Tables) -> DataFrame:
-    """Per label the rank of its first own vector in a search by its prototype; every tenth vector is a training tile and out."""
-    proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
-    pool = t.embeddings.where("vec_id % 10 <> 0")
-    scored = pool.join(F.broadcast(proto)).select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))  # a row a label, of which there are ten
-    ranked = V.ranked(scored, "q", "vec_id", "s")
-    return ranked.where("q = label").groupBy(F.col("q").alias("label")).agg(F.min("rank").cast("long").alias("first_hit"))
+def _held_out(t: Tables) -> DataFrame:
+    """ql, qs, vec_id, hit, s: the scores of every site's query over its pool."""
+    tiles = t.embeddings.select("vec_id", "label", (F.col("vec_id") % _SITES).alias("site"), "embedding")
+    return V.held_out_scores(tiles, "label", "site", "embedding").select(F.col("_label").alias("ql"), F.col("_site").alias("qs"), "vec_id", (F.col("label") == F.col("_label")).alias("hit"), "s")
 
 
-@query("emb_recall_at_k", f"WITH {_LOO} SELECT " + ", ".join(f"{r_sql(f'avg(CASE WHEN first_hit <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall_at_{k}" for k in (1, 5, 20)) + f", {r_sql('quantile_cont(first_hit, 0.5)')} AS median_rank FROM hit")
+def _first_hits(t: Tables) -> DataFrame:
+    """Per site the rank of the first of its own vectors that its query finds."""
+    return V.first_hits(_held_out(t), ["ql", "qs"], "vec_id", "s", "hit").select(F.col("ql").alias("label"), F.col("qs").alias("site"), "first_hit")
+
+
+@query(
+    "emb_recall_at_k",
+    f"""WITH {_OUT}, n AS (SELECT *, row_number() OVER (ORDER BY label, site) - 1 AS k, count(*) OVER () AS n FROM hits),
+b AS (SELECT draw, avg(CASE WHEN h.first_hit <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS recall FROM (SELECT b.draw, CAST('0x' || substr(md5('boot|' || b.draw || '|' || n.k), 1, 8) AS BIGINT) % n.n AS pick FROM range({_BOOTS}) b(draw), n) d JOIN n h ON h.k = d.pick GROUP BY draw)
+SELECT """
+    + ", ".join(f"{r_sql(f'avg(CASE WHEN first_hit <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall_at_{k}" for k in (1, 5, 20))
+    + f", {r_sql('quantile_cont(first_hit, 0.5)')} AS median_rank, (SELECT {r_sql('quantile_cont(recall, 0.025)')} FROM b) AS low_20, (SELECT {r_sql('quantile_cont(recall, 0.975)')} FROM b) AS high_20 FROM hits",
+)
 def recall_at_k(t: Tables) -> DataFrame:
-    """Recall and median rank of first hits."""
-    out = V.recall_at(_first_hits(t), "first_hit", (1, 5, 20))
-    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+    """Leave-one-site-out recall, median rank and a bootstrap interval of the recall."""
+    hits = _first_hits(t)
+    out = V.recall_at(hits, "first_hit", (1, 5, 20))
+    ends = V.bootstrap_recall(hits, ["label", "site"], "first_hit", 20, _BOOTS)
+    return out.crossJoin(ends).select(*[rounded(F.col(c)).alias(c) for c in (*out.columns, "low_20", "high_20")])  # one row each
 
 
-@query("emb_loo", f"WITH {_LOO} SELECT label, first_hit FROM hit")
+@query("emb_loo", f"WITH {_OUT} SELECT label, site, first_hit FROM hits")
 def leave_one_out(t: Tables) -> DataFrame:
-    """First hit of each label without its training tiles."""
+    """First hit of each site whose vectors are left out of its query."""
     return _first_hits(t)
 
 
+@query("emb_archetype_recall", f"WITH {_OUT} SELECT label AS archetype, count(*) AS sites, {r_sql('avg(CASE WHEN first_hit <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall_at_20 FROM hits GROUP BY label")
+def archetype_recall(t: Tables) -> DataFrame:
+    """Leave-one-site-out recall of each archetype, which is the label."""
+    return _first_hits(t).groupBy(F.col("label").alias("archetype")).agg(F.count(F.lit(1)).alias("sites"), rounded(F.avg((F.col("first_hit") <= 20).cast("double"))).alias("recall_at_20"))
+
+
+@query(
+    "emb_auc",
+    f"""WITH {_OUT}, c AS (SELECT ql, qs, CAST(floor(s * 1000) AS BIGINT) AS bin, count(*) FILTER (WHERE hit) AS pos, count(*) FILTER (WHERE NOT hit) AS neg FROM s GROUP BY ALL),
+d AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY ql, qs ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT ql AS label, qs AS site, {r_sql('sum(pos * (below + neg / 2.0::DOUBLE))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE')} AS auc FROM d GROUP BY ALL HAVING sum(pos) * sum(neg) > 0""",
+)
+def auc(t: Tables) -> DataFrame:
+    """Area under the curve of each held-out search, scores in thousandths."""
+    out = V.binned_auc(_held_out(t), ["ql", "qs"], "s", "hit", 1000)
+    return out.select(F.col("ql").alias("label"), F.col("qs").alias("site"), rounded(F.col("auc")).alias("auc"))
+
+
 @query("emb_truth_hits", f"WITH {_LOO} SELECT label, count(*) FILTER (WHERE rank <= 50 AND label = truth) AS hits, min(rank) FILTER (WHERE label = truth) AS best FROM r GROUP BY label")
 def truth_hits(t: Tables) -> DataFrame:
     """Own vectors among the first 50 of each search."""
     proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
-    scored = t.embeddings.where("vec_id % 10 <> 0").join(F.broadcast(proto)).select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))  # ten labels
+    scored = V.against(t.embeddings.where("vec_id % 10 <> 0"), proto, "q").select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))
     ranked = V.ranked(scored, "q", "vec_id", "s")
     return ranked.groupBy(F.col("q").alias("label")).agg(F.count_if((F.col("rank") <= 50) & (F.col("q") == F.col("label"))).alias("hits"), F.min(F.when(F.col("q") == F.col("label"), F.col("rank"))).cast("long").alias("best"))
 
