@@ -79,6 +79,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         sized = sized.withColumn("_salt", F.pmod("_h", F.coalesce("_salts", F.lit(1)))).drop("_ls", "_lb", "_salts")
     targets = source_targets(slim.select("source", "size"), weights, share, max_repeat).withColumnRenamed("source", "_ts")
     cell_facts = counts.join(targets, F.col("_cs").eqNullSafe(F.col("_ts"))).drop("_ts")
+    if whole:  # written, so that its true size says how it is joined with the rows
+        cell_facts = materialize(cell_facts, "cells")
     in_cell = Window.partitionBy("source", "_bin", "_salt").orderBy("size", "_h", id_col, *([F.xxhash64("row.text")] if whole else []))
     ranked = sized.withColumn("_rank", F.row_number().over(in_cell))
     out = ranked.join(cell_facts, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_bin") == F.col("_cb")) & (F.col("_salt") == F.col("_ct")))
