@@ -260,9 +260,9 @@ def dissolve(t: Tables) -> DataFrame:
     return k.select("pair", rounded(P.dissolved_area(F.col("polygons"))).alias("area"))
 
 
-@query("geo_buffer_area")
+@query("geo_buffer_area", f"SELECT id, {r_sql('(x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) * 120 + 32 * sin(pi() / 32) * 14400')} AS area FROM ({_BOX})")
 def buffer_area(t: Tables) -> DataFrame:
-    """Area of boxes grown by 120 m with polygon corners (G-F); tested against the closed form."""
+    """Area of boxes grown by 120 m with polygon corners of 16 segments (G-F)."""
     return _boxes(t).select("id", rounded(P.buffer_area(_ring(), 120.0)).alias("area"))
 
 

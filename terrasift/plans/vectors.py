@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import vectors as V
-from .base import Tables, query, r_sql
+from .base import Tables, points, points_sql, query, r_sql
 
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
@@ -118,11 +118,16 @@ def whiten(t: Tables) -> DataFrame:
     return V.whiten(t.embeddings, "embedding", "white").select("vec_id", F.transform("white", lambda x: rounded(x)).alias("white"))
 
 
-@query("emb_dedup")
+@query(
+    "emb_dedup",
+    f"""WITH RECURSIVE p AS ({points_sql('customer', 'c_custkey', ', c_nationkey % 4 AS list, c_acctbal')}), l AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY c_acctbal DESC, c_custkey) AS rank FROM p),
+g AS (SELECT DISTINCT list, 0::BIGINT AS rank, 0::BIGINT AS c_custkey, FALSE AS kept, []::DOUBLE[] AS kx, []::DOUBLE[] AS ky FROM l
+  UNION ALL SELECT l.list, l.rank, l.c_custkey, s.free, CASE WHEN s.free THEN list_append(g.kx, l.x) ELSE g.kx END, CASE WHEN s.free THEN list_append(g.ky, l.y) ELSE g.ky END
+  FROM g JOIN l ON l.list = g.list AND l.rank = g.rank + 1, LATERAL (SELECT len(list_filter(range(1, len(g.kx) + 1), lambda i: power(g.kx[i] - l.x, 2) + power(g.ky[i] - l.y, 2) <= 250000)) = 0 AS free) s)
+SELECT list, c_custkey, rank::INT AS rank FROM g WHERE kept""",
+)
 def location_dedup(t: Tables) -> DataFrame:
-    """Greedy list in which no two points are within 500 m (V06 W13); tests hold it against a plain loop."""
-    from .base import points
-
+    """Greedy list in which no two points are within 500 m."""
     p = points(t.customer, "c_custkey")
     listed = p.select((F.col("c_nationkey") % 4).alias("list"), "c_custkey", F.col("point.x").alias("x"), F.col("point.y").alias("y"), F.row_number().over(Window.partitionBy(F.col("c_nationkey") % 4).orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("rank"))
     return V.greedy_spread(listed, "list", 500.0).select("list", "c_custkey", "rank")
