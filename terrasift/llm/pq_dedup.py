@@ -14,19 +14,22 @@ from .common import materialize, table
 from .components import LocalForest, connected_components
 
 COSINE = 0.9
-#: Coarse lists: one for so many vectors, MAX_LISTS at most.
+#: Coarse lists: one for so many vectors, MAX_LISTS at most. Up to REFINED lists their centres are means, beyond that sampled vectors.
 VECTORS_PER_LIST = 64
-MAX_LISTS = 2048
-#: Nearest lists that every vector looks through, besides all tight lists that its bound reaches.
-PROBES = 8
+MAX_LISTS = 65_536
+REFINED = 4_096
+#: Nearest lists that every vector looks through where there are PROBES_AT lists, besides all tight lists that its bound reaches; the more lists the more.
+PROBES, PROBES_AT = 8, 256
 SUBSPACES = 8
 CODEWORDS = 256
-#: The quantisers are fitted on so many vectors at most (and so many numbers); all vectors are indexed.
-MAX_SAMPLE = 20_000
-MAX_SAMPLE_NUMBERS = 4_000_000
+#: The quantisers are fitted on so many vectors at most (and so many numbers), or one for each list where there are more; all vectors are indexed.
+SAMPLE, MAX_SAMPLE = 20_000, 65_536
+MAX_SAMPLE_NUMBERS = 4_200_000
 ROUNDS = 8
 #: A list block holds about so many vectors; larger lists are looked through in blocks.
 BLOCK = 4_096
+#: A block is looked through by so many vectors at once, in a task of their own.
+ASKING = 8_192
 PAIRS = 2_000_000
 EPS = 1e-6
 
@@ -43,10 +46,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return near, far
 
 
-def k_means(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, seed: int = 42, rounds: int = ROUNDS) -> np.ndarray:
     """Lloyd's rounds from k rows drawn with a fixed seed; an empty cluster keeps its centre."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         near, _ = _nearest(x, centres)
         count = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
@@ -60,12 +63,19 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int, least: float):
         self.radius = math.sqrt(2 - 2 * least)
-        centres = k_means(sample, min(lists, len(sample)))
-        apart = []
-        for c in centres:  # centres of one tight group become one
-            if not apart or ((np.array(apart) - c) ** 2).sum(1).min() > (self.radius / 2) ** 2:
-                apart.append(c)
-        self.centres = np.array(apart)
+        centres = k_means(sample, min(lists, len(sample)), rounds=ROUNDS if lists <= REFINED else 0)
+        self.centres = centres[:0]
+        for at in range(0, len(centres), 1024):  # centres of one tight group become one
+            part = centres[at : at + 1024]
+            if len(self.centres):
+                part = part[_nearest(part, self.centres)[1] > (self.radius / 2) ** 2]
+            apart: list[np.ndarray] = []
+            for c in part:
+                if not apart or ((np.array(apart) - c) ** 2).sum(1).min() > (self.radius / 2) ** 2:
+                    apart.append(c)
+            self.centres = np.concatenate([self.centres, np.array(apart).reshape(-1, sample.shape[1])])
+        self.probes = min(len(self.centres), max(PROBES, round(PROBES * (len(self.centres) / PROBES_AT) ** 0.25)))
+        sample = sample[:SAMPLE]
         near, _ = _nearest(sample, self.centres)
         residual = sample - self.centres[near]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
@@ -149,10 +159,11 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", column: str
 
 def _compare(spark: SparkSession, classes: DataFrame, dim: int, n: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(rep, n) of links found and (a, b) links, among distinct vectors of one length."""
-    most = max(1, min(MAX_SAMPLE, MAX_SAMPLE_NUMBERS // dim))
+    lists = max(1, min(MAX_LISTS, n // VECTORS_PER_LIST))
+    most = max(1, min(max(SAMPLE, lists), MAX_SAMPLE, MAX_SAMPLE_NUMBERS // dim))
     sampled = classes if n <= most else classes.where(F.pmod(F.xxhash64("rep"), F.lit(2**30)) < int(most / n * 2**30))
     sample = _units(sampled.select("v", "rep").orderBy("rep").limit(most).toPandas().v)
-    quantiser = Quantiser(sample, max(1, min(MAX_LISTS, n // VECTORS_PER_LIST)), least)
+    quantiser = Quantiser(sample, lists, least)
     shared = spark.sparkContext.broadcast(quantiser)
     radius, core_radius = quantiser.radius, quantiser.radius / 2 - EPS
 
@@ -165,36 +176,38 @@ def _compare(spark: SparkSession, classes: DataFrame, dim: int, n: int, least: f
             cell, far = _nearest(unit, own.centres)
             codes, error = own.encode(unit, cell)
             core = np.sqrt(np.maximum(far, 0)) <= core_radius
-            near = np.sqrt(np.maximum((unit**2).sum(1)[:, None] + (own.centres**2).sum(1) - 2 * unit @ own.centres.T, 0))
-            p = min(PROBES, near.shape[1])
-            nearest = np.argpartition(near, p - 1, axis=1)[:, :p]
-            lists = []
-            for i in range(len(batch)):
-                # the others of each near list, and each core that can reach; the own core links as a whole
-                reach = np.flatnonzero(near[i] <= radius + core_radius + 2 * EPS)
-                own_core = 2 * cell[i] + 1 if core[i] else -1
-                lists.append([int(x) for x in np.union1d(2 * nearest[i], 2 * reach + 1) if x != own_core])
+            norms, lists = (own.centres**2).sum(1), []
+            step = max(1, PAIRS // len(norms))
+            for at in range(0, len(batch), step):
+                part = unit[at : at + step]
+                near = np.sqrt(np.maximum((part**2).sum(1)[:, None] + norms - 2 * part @ own.centres.T, 0))
+                nearest = np.argpartition(near, own.probes - 1, axis=1)[:, : own.probes]
+                for i in range(len(part)):
+                    # the others of each near list, and each core that can reach; the own core links as a whole
+                    reach = np.flatnonzero(near[i] <= radius + core_radius + 2 * EPS)
+                    own_core = 2 * cell[at + i] + 1 if core[at + i] else -1
+                    lists.append([int(x) for x in np.union1d(2 * nearest[i], 2 * reach + 1) if x != own_core])
             yield pd.DataFrame({"rep": batch.rep, "copies": batch.copies, "v": batch.v, "list": 2 * cell + core, "code": [c.tobytes() for c in codes], "error": error, "probes": lists})
 
     placed = materialize(classes.select("rep", "copies", "v").mapInPandas(place, f"rep long, copies long, v {classes.schema['v'].dataType.simpleString()}, list int, code binary, error double, probes array<int>"), "placed")
     sizes = materialize(placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.min("rep").alias("first")), "lists")  # 2 rows a list at most
-    blocks = F.broadcast(sizes.select(F.col("list").alias("_l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_b")))
-    members = placed.join(blocks, F.col("list") == F.col("_l")).select(F.lit(0).alias("asks"), "list", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int").alias("block"), "rep", "copies", "v", "code", "error", "probes", F.col("list").alias("home"))
+    asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    blocks = sizes.join(asked, "list").select(F.col("list").alias("_l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_b"), F.ceil(F.col("asked") / ASKING).cast("int").alias("_a"))
+    blocks = F.broadcast(materialize(blocks, "blocks"))
+    slot = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    # each block of a list meets each block of those that ask it in a group of its own: of a popular list neither side is one task's
+    members = placed.join(blocks, F.col("list") == F.col("_l")).select(F.lit(0).alias("asks"), "list", slot("_b").alias("block"), every("_a").alias("part"), "rep", "copies", "v", "code", "error", "probes", F.col("list").alias("home"))
     asking = placed.select("rep", "copies", "v", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, F.col("list") == F.col("_l"))
-    asking = asking.select(F.lit(1).alias("asks"), "list", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("block"), "rep", "copies", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"), "home")
+    asking = asking.select(F.lit(1).alias("asks"), "list", every("_b").alias("block"), slot("_a").alias("part"), "rep", "copies", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"), "home")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        for (cell, _), group in pd.concat(held).groupby(["list", "block"]):
-            there, ask = group[group.asks == 0], group[group.asks == 1]
-            if len(there) and len(ask):
-                yield from _look_up(own, cell // 2, there, ask, least)
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * (PROBES + 1) // 50_000)
-    result = materialize(members.union(asking).repartition(parts, "list", "block").mapInPandas(compare, "rep long, n long, other long"), "compared")
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        there, ask = group[group.asks == 0], group[group.asks == 1]
+        if not len(there) or not len(ask):
+            return pd.DataFrame({"rep": [], "n": [], "other": []}).astype({"rep": "int64", "n": "int64", "other": "Int64"})
+        return pd.concat(_look_up(shared.value, int(group["list"].iloc[0]) // 2, there, ask, least))
+
+    result = materialize(members.union(asking).groupBy("list", "block", "part").applyInPandas(compare, "rep long, n long, other long"), "compared")
     core = placed.where("list % 2 = 1").select("rep", "copies", "list").join(F.broadcast(sizes.select(F.col("list").alias("_l"), F.col("copies").alias("_all"), "first")), F.col("list") == F.col("_l"))
     counts = result.where("n > 0").select("rep", "n").union(core.select("rep", F.col("_all") - F.col("copies")))
     return counts, result.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")).union(core.select("rep", "first"))
@@ -209,7 +222,9 @@ def _look_up(own: Quantiser, cell: int, there: pd.DataFrame, ask: pd.DataFrame,
     limit = (own.radius + there.error.to_numpy() + 1e-3).astype(np.float32)
     reps, copies = there.rep.to_numpy(), there.copies.to_numpy()
     ask_reps, ask_copies, home = ask.rep.to_numpy(), ask.copies.to_numpy(), ask.home.to_numpy()
-    probes = [set(p) for p in there.probes]
+    # (member, list it looks through) as one number
+    lists = 2 * len(own.centres)
+    looked = np.sort(np.repeat(np.arange(len(there)), [len(p) for p in there.probes]) * lists + np.concatenate(there.probes.to_list())) if len(there) else np.empty(0, np.int64)
     count, back = np.zeros(len(ask), np.int64), np.zeros(len(there), np.int64)
     everyone, at_of = np.unique(np.r_[reps, ask_reps], return_inverse=True)
     forest = LocalForest(len(everyone))
@@ -224,9 +239,8 @@ def _look_up(own: Quantiser, cell: int, there: pd.DataFrame, ask: pd.DataFrame,
             i, j = i[keep], j[keep]
             np.add.at(count, i, copies[j])
             forest.add(at_of[len(reps) + i], at_of[j])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if home[a] not in probes[b]:  # b does not look where a is: it counts a here
-                    back[b] += ask_copies[a]
+            one_way = ~np.isin(j * lists + home[i], looked)  # j does not look where i is: it counts i here
+            np.add.at(back, j[one_way], ask_copies[i[one_way]])
     member, root = forest.links()
     yield pd.DataFrame({"rep": np.r_[ask_reps[count > 0], reps[back > 0]], "n": np.r_[count[count > 0], back[back > 0]]}).assign(other=pd.array([None] * int((count > 0).sum() + (back > 0).sum()), "Int64"))
     yield pd.DataFrame({"rep": everyone[member], "n": 0, "other": everyone[root]})

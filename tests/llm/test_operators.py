@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -166,6 +167,25 @@ def test_vectors_recall(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+@pytest.mark.parametrize("asking", [pq_dedup.ASKING, 300])
+def test_vectors_recall_of_many_lists(spark, monkeypatch, asking):
+    """20,000 vectors in all directions in 312 lists, with pairs and groups whose cosines lie about 0.9 and above: recall against all pairs."""
+    monkeypatch.setattr(pq_dedup, "ASKING", asking)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    at = 0
+    while at < 6_000:
+        size = int(rng.integers(2, 7))
+        x[at : at + size] = rng.normal(size=64) + rng.normal(size=(size, 64)) * rng.uniform(0.05, 0.32)
+        at += size
+    x = x.astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    n = np.concatenate([((unit[a : a + 2000] @ unit.T) >= 0.9).sum(1) - 1 for a in range(0, len(x), 2000)])
+    frame = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = pq_dedup.near_duplicate_vectors(spark.createDataFrame(frame)).toPandas().sort_values("vec_id").n_links.to_numpy()
+    assert (got <= n).all() and got.sum() >= 0.97 * n.sum() > 10_000
+
+
 def test_vectors_odd_rows(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in (5, 3, 9)] + [(1, None), (2, []), (4, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [float("inf"), 0.0, 0.0]), (10, [2.0, 0.1, 0.0]), (11, [1.0, 0.0]), (None, [1.0, 0.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
