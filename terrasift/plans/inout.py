@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_dir
-from ..sources import geojson, manifest, texts, xlsx
+from ..sources import geojson, manifest, texts, wkb, workbook, xlsx
 from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
 
 
@@ -91,3 +91,49 @@ def page_text(t: Tables) -> DataFrame:
 
     obs = t.events.select("user_id", F.dayofmonth("ts").alias("page"), F.col("event_type").alias("text"), F.col("value").alias("confidence"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"), F.lit(1.0).alias("height"))
     return texts.page_text(obs, "user_id").select("user_id", F.md5("text").alias("digest"), rounded(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+@query("io_geoparquet", "SELECT p_partkey, 'Polygon' AS kind, (p_partkey % 100)::DOUBLE AS xmin, (p_partkey % 100 + p_size)::DOUBLE AS xmax, 1::BIGINT AS rings FROM part")
+def geoparquet(t: Tables) -> DataFrame:
+    """Polygons written as well-known binary in Parquet and read."""
+    path = _scratch(t)
+    x0, x1 = (F.col("p_partkey") % 100).cast("double"), (F.col("p_partkey") % 100 + F.col("p_size")).cast("double")
+    ring = F.array(*[F.struct(x.alias("x"), F.lit(y).alias("y")) for x, y in ((x0, 0.0), (x1, 0.0), (x1, 2.0), (x0, 2.0), (x0, 0.0))])
+    t.part.select("p_partkey", wkb.to_wkb(polygons=F.array(F.array(ring))).alias("geometry")).write.parquet(path)
+    outer = F.col("geometry.polygons")[0][0]
+    out = wkb.read_geoparquet(t.spark, path).select("p_partkey", F.col("geometry.kind").alias("kind"), F.transform(outer, lambda p: p["x"]).alias("x"), F.size(F.col("geometry.polygons")[0]).cast("long").alias("rings"))
+    return out.select("p_partkey", "kind", F.array_min("x").alias("xmin"), F.array_max("x").alias("xmax"), "rings")
+
+
+@query("io_workbook", "SELECT CAST(n_nationkey + 2 AS BIGINT) AS row, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
+def workbook_roundtrip(t: Tables) -> DataFrame:
+    """A workbook written and its cells read from the file."""
+    path = f"{_scratch(t)}.xlsx"
+    table = t.nation.orderBy("n_nationkey").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("double"))
+    workbook.write_workbook(t.spark, path, [workbook.Sheet("Nations", table, {"n_name": 30.0}, {"n_nationkey": "0"}, {"double": "A{row}*2"})])
+    return xlsx.header_rows(xlsx.read_xlsx(t.spark, path, "Nations"), ["key", "name"]).select("row", "key", "name")
+
+
+@query("io_package", "SELECT 3 AS files, 2 AS done")
+def packaged(t: Tables) -> DataFrame:
+    """A manifest replaced after every item, and a package of required files."""
+    base = _scratch(t)
+    for done in (1, 2):
+        workbook.write_manifest(t.spark, f"{base}/manifest.json", {"done": done})
+    for name in ("a.txt", "b.txt"):
+        workbook.replace_file(t.spark, f"{base}/{name}", name.encode())
+    files = workbook.package(t.spark, base, ["manifest.json", "a.txt", "b.txt"], f"{base}/out.zip", "bundle")
+    return t.spark.read.json(f"{base}/manifest.json", multiLine=True).select(F.lit(files).alias("files"), F.col("done").cast("int").alias("done"))
+
+
+@query("io_page_files", "SELECT n_nationkey % 3 + 1 AS documents, count(*) AS pages, sum(n_nationkey) AS total FROM nation GROUP BY ALL")
+def page_files(t: Tables) -> DataFrame:
+    """Recognised text and observations written as files and read whole (S12 S13), and pages of a PDF counted."""
+    base = _scratch(t)
+    t.nation.select((F.col("n_nationkey") % 3 + 1).alias("page"), F.concat(F.lit("no "), "n_nationkey").alias("text"), F.lit(1.0).alias("confidence")).write.json(f"{base}/observations")
+    t.region.select(F.concat(F.lit("===== PAGE 1 =====\n"), "r_name").alias("value")).repartition(5).write.text(f"{base}/texts")
+    assert texts.read_pages(t.spark, f"{base}/texts").where(F.col("text").startswith("===== PAGE 1")).count() >= 1
+    pdf = t.region.limit(1).select(texts.pdf_pages(F.lit(b"%PDF-1.4 /Type /Page x /Type/Page y /Type /Pages").cast("binary")).alias("n"))
+    assert pdf.first().n == 2
+    obs = texts.read_observations(t.spark, f"{base}/observations")
+    return obs.groupBy(F.col("page").cast("int").alias("documents")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_extract("text", "[0-9]+", 0).cast("long")).alias("total"))

@@ -2,6 +2,7 @@
 
 import io
 import math
+import struct
 import unicodedata
 import zipfile
 
@@ -16,7 +17,8 @@ from terrasift.functions import polygon_udf as P
 from terrasift.functions import text as T
 from terrasift.operators import docs, equipment, graph, landcover, match, raster, rollup, spatial, survive, vectors
 from terrasift.plans import registry
-from terrasift.sources import geojson, html_table, manifest, texts, xlsx
+from terrasift.sources import geojson, html_table, manifest, texts, wkb, xlsx
+from terrasift.sources import workbook as sink
 from terrasift.streaming import ingest
 
 box = st.tuples(*[st.integers(0, 20)] * 2, *[st.integers(1, 9)] * 2)
@@ -316,3 +318,60 @@ def test_empty_tables(spark):
     assert rollup.gap_filled(spark.createDataFrame([], "t int, n long"), "t", "n").count() == 0
     assert graph.components(spark.createDataFrame([], "node long"), spark.createDataFrame([], "a long, b long")).count() == 0
     assert registry.QUERIES
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.lists(st.tuples(st.floats(-1e6, 1e6), st.floats(-1e6, 1e6)), min_size=4, max_size=6), min_size=1, max_size=3), min_size=1, max_size=3))
+def test_well_known_binary_round_trip(polygons):
+    polygons = [[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in polygons]
+    kind, point, got = wkb.decode(wkb.encode(None, polygons))
+    assert (kind, point, got) == ("Polygon" if len(polygons) == 1 else "MultiPolygon", None, polygons)
+
+
+def test_well_known_binary_of_points_and_odd_values():
+    assert wkb.decode(struct.pack(">BI2d", 0, 1, 3.5, -2.0)) == ("Point", {"x": 3.5, "y": -2.0}, None)
+    assert wkb.decode(wkb.encode({"x": 1.0, "y": 2.0}, None))[1] == {"x": 1.0, "y": 2.0}
+    assert wkb.encode(None, None) is None and wkb.decode(None) == wkb.decode(b"\x01") == wkb.decode(struct.pack("<BI", 1, 2)) == (None, None, None)
+
+
+def test_workbook(spark):
+    table = spark.createDataFrame([(1, "a & <b>", 2.5, True), (2, None, float("nan"), None)], "k int, t string, v double, f boolean").withColumn("d", F.lit("2024-03-01").cast("date"))
+    book = sink.workbook_bytes([sink.Sheet("One", table, {"t": 40.0}, {"v": "#,##0.00"}, {"f": 'IF(A{row}="","",A{row}*2)'}, 2), sink.Sheet("Two", table.limit(0))])
+    cells = {(r, c): v for r, c, v in xlsx.sheet_cells(book, "One")}
+    assert cells[(1, 1)] == "t" and cells[(2, 0)] == "1" and cells[(2, 1)] == "a & <b>" and cells[(2, 2)] == "2.5" and cells[(2, 4)] == "45352" and (3, 1) not in cells and (3, 2) not in cells
+    xml = zipfile.ZipFile(io.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
+    assert "<f>IF(A2=" in xml and 'xSplit="2"' in xml and "width=\"40.0\"" in xml
+    assert [v for _, _, v in xlsx.sheet_cells(book, "Two")] == ["k", "t", "v", "f", "d"]
+    assert [sink.column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
+def test_package_and_manifest(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    for n in (1, 2):
+        sink.write_manifest(spark, f"{base}/m.json", {"n": n})
+    assert (tmp_path / "m.json").read_text() == '{\n  "n": 2\n}\n' and not (tmp_path / "m.json.tmp").exists()
+    with pytest.raises(FileNotFoundError):
+        sink.package(spark, base, ["m.json", "missing.txt"], f"{base}/p.zip", "x")
+    assert not (tmp_path / "p.zip").exists()
+    assert sink.package(spark, base, ["m.json"], f"{base}/p.zip", "x") == 1
+    assert zipfile.ZipFile(tmp_path / "p.zip").namelist() == ["x/m.json"]
+
+
+def test_mask_regions_across_tiles(spark):
+    """Tiles of four cells against a flood fill of the whole."""
+    rng = np.random.default_rng(6)
+    mask = rng.random((23, 31)) < 0.35
+    cells = [(int(r), int(c)) for r, c in zip(*np.nonzero(mask), strict=True)]
+    got = {(x.row, x.col): x.region for x in raster.label_mask(spark.createDataFrame(cells, "row long, col long"), 4).collect()}
+    seen = {}
+    for start in cells:
+        if start not in seen:
+            stack, found = [start], {start}
+            while stack:
+                r, c = stack.pop()
+                for near in ((r + dr, c + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)):
+                    if near not in found and 0 <= near[0] < 23 and 0 <= near[1] < 31 and mask[near]:
+                        found.add(near)
+                        stack.append(near)
+            seen |= dict.fromkeys(found, min(found))
+    assert got == {cell: r * (1 << 32) + c for cell, (r, c) in seen.items()}
