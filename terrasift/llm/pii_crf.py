@@ -90,8 +90,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 class Field:
-    """Graph of a document's tokens that hold a digit or @: adjacent ones are chained; repeated and similar ones are joined by a skip
-    edge to the one before, so that a value said k times has k - 1 of them."""
+    """Graph of a document's tokens that hold a digit or @: adjacent ones are chained; those of a value that is repeated or similar, also in groups of
+    digits, are joined by skip edges to the value's mention before."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]], failed: list[tuple[int, int]]):
         self.spans, words = [], []
@@ -119,16 +119,17 @@ class Field:
             before = m[0].lower()
             if was != m.end():
                 was = -1
-        last: dict[str, int] = {}
-        for k, word in enumerate(words):
-            digits = "".join(c for c in word if c.isdigit())
-            numeric = len(digits) >= MIN_DIGITS and "@" not in word
-            key = digits[-MIN_DIGITS:] if numeric else word.lower()
-            if (j := last.get(key)) is not None and len(key) > 3:
-                other = "".join(c for c in words[j] if c.isdigit())
-                if not numeric or (abs(len(other) - len(digits)) <= MAX_EXTRA and (other.endswith(digits) or digits.endswith(other))):
-                    self.skip.append((j, k))
-            last[key] = k
+        last: dict[str, tuple[list[int], str]] = {}
+        self.unit = np.zeros(len(words), np.int64)
+        for u, (unit, said) in enumerate(_units(words, set(self.chain))):
+            self.unit[unit] = u
+            numeric = said.isdigit()
+            key = said[-MIN_DIGITS:] if numeric else said
+            if (before_it := last.get(key)) is not None and len(key) > 3:
+                there, other = before_it
+                if not numeric or (abs(len(other) - len(said)) <= MAX_EXTRA and (other.endswith(said) or said.endswith(other))):
+                    self.skip += [(there[-1], k) for k in unit]
+            last[key] = unit, said
         self.label = np.full(len(words), -1)
         starts, ends = (np.array(x, np.int64) for x in (zip(*self.spans, strict=True) if self.spans else ((), ())))
         for a, label, b in [(a, 0, b) for a, b in failed] + [(a, kind + 1, b) for a, kind, b in spans]:
@@ -139,6 +140,25 @@ class Field:
         return len(self.spans)
 
 
+def _units(words: list[str], chain: set[tuple[int, int]]) -> Iterator[tuple[list[int], str]]:
+    """(tokens, what they say) of the values of a text: a number of MIN_DIGITS digits, or adjacent shorter ones that have as many together, as its digits
+    without the zeros ahead, so that national and international forms end alike; any other token by itself, in lower case."""
+    digits = ["" if "@" in w else "".join(c for c in w if c in "0123456789") for w in words]
+    digits = ["" if len(d) < MIN_DIGITS and any(map(str.isalpha, w)) else d for d, w in zip(digits, words, strict=True)]
+    k = 0
+    while k < len(words):
+        end = k + 1
+        if digits[k] and len(digits[k]) < MIN_DIGITS:
+            while end < len(words) and (end - 1, end) in chain and 0 < len(digits[end]) < MIN_DIGITS:
+                end += 1
+        said = "".join(digits[k:end])
+        if len(said) >= MIN_DIGITS:
+            yield list(range(k, end)), said.lstrip("0") or said
+        else:
+            yield from (([i], words[i].lower()) for i in range(k, end))
+        k = end
+
+
 def _shape(word: str) -> str:
     out: list[str] = []
     for c in word:
@@ -245,8 +265,8 @@ class SkipChainCrf:
                 k += 1
                 continue
             end = k + 1
-            while end < len(field) and (end - 1, end) in chained and field.label[end] < 0 and best[end] == best[k] and not (linked[end] and linked[k:end].any()):
-                end += 1  # a second linked token is a mention of its own
+            while end < len(field) and (end - 1, end) in chained and field.label[end] < 0 and best[end] == best[k] and (field.unit[end] == field.unit[end - 1] or not (linked[end] and linked[k:end].any())):
+                end += 1  # a second linked value is a mention of its own
             if linked[k:end].any():
                 out.append((field.spans[k][0], int(best[k]) - 1, field.spans[end - 1][1]))
             k = end
