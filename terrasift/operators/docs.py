@@ -47,9 +47,11 @@ def near_duplicate_evidence(rows: DataFrame, group: str, key: str, text: str, le
     ranked = each.join(count, [group, "t"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
     n = F.size("r")
     prefix = F.slice("r", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    heads = ranked.select(group, key, n.alias("n"), F.explode(prefix).alias("p")).select(group, key, "n", F.col("p.t").alias("t"))
-    a, b = heads.select(F.col(group).alias("g"), F.col(key).alias("a"), F.col("n").alias("na"), F.col("t").alias("ta")), heads.select(F.col(group).alias("h"), F.col(key).alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"))
+    heads = ranked.select(group, key, n.alias("n"), F.posexplode(prefix).alias("i", "p")).select(group, key, "n", "i", F.col("p.t").alias("t"))
+    a, b = heads.select(F.col(group).alias("g"), F.col(key).alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("t").alias("ta")), heads.select(F.col(group).alias("h"), F.col(key).alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("t").alias("tb"))
     like = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    # of the first token that they share, this and what is behind it on either side must be enough
+    like = like & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9))
     pairs = a.join(b, (F.col("g") == F.col("h")) & (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")) & like).select("g", "a", "b").distinct()
     x, y = sets.select(F.col(key).alias("a"), F.col("tokens").alias("x")), sets.select(F.col(key).alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").withColumn("jaccard", jaccard(F.col("x"), F.col("y"))).where(F.col("jaccard") >= least).select(F.col("g").alias(group), "a", "b", "jaccard")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
@@ -55,8 +55,10 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str =
 
 
 def numbered(labels: DataFrame, prefix: str, width: int, order: list | None = None) -> DataFrame:
-    """labels with group_id: prefix and the rank of the component. Ranks run over one row per component."""
+    """labels with group_id: prefix and the rank of the component, in the given order (one aggregate each) or its own."""
+    from .order import global_rank
+
     roots = labels.groupBy("component").agg(*(order or [F.min("component").alias("_o")]))
     keys = [c for c in roots.columns if c != "component"]
-    ranked = roots.withColumn("group_id", F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.orderBy(*keys, "component")).cast("string"), width, "0"))).select("component", "group_id")
-    return labels.join(ranked, "component")
+    ranked = global_rank(roots, "_rank", *keys, "component")
+    return labels.join(ranked.select("component", F.concat(F.lit(prefix), F.lpad(F.col("_rank").cast("string"), width, "0")).alias("group_id")), "component")

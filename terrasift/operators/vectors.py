@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import global_rank
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -106,7 +108,7 @@ def interleaved(*lists: DataFrame) -> DataFrame:
         one = df.select("key", (F.col("rank") * len(lists) + i).alias("place"), F.lit(i).alias("list"))
         out = one if out is None else out.union(one)
     best = out.groupBy("key").agg(F.min("place").alias("place"), F.min_by("list", "place").alias("list"))
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("place")))
+    return global_rank(best, "rank", "place")
 
 
 #: Queries that are broadcast at once.

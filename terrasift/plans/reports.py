@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.numeric import clip, rounded
 from ..operators import rollup
 from ..operators.landcover import review_priority
+from ..operators.order import global_rank
 from .base import Tables, query, r_sql
 
 
@@ -104,7 +105,8 @@ def evidence_catalog(t: Tables) -> DataFrame:
     sat = t.nation.select(F.col("n_name").alias("unit"), F.lit("satellite").alias("kind"), F.lit(0).alias("k"))
     region = t.region.select(F.col("r_name").alias("unit"), F.lit("region").alias("kind"), F.lit(0).alias("k"))
     every = docs.unionByName(sat).unionByName(region)
-    return every.withColumn("evidence_id", F.concat(F.lit("ev_"), F.lpad(F.row_number().over(Window.orderBy("unit", "kind", "k")).cast("string"), 4, "0")))
+    ranked = global_rank(every, "serial", "unit", "kind", "k")
+    return ranked.withColumn("evidence_id", F.concat(F.lit("ev_"), F.lpad(F.col("serial").cast("string"), 4, "0"))).drop("serial")
 
 
 @query("qa_checks", "SELECT 'nation_count' AS check_name, (SELECT count(*) = 25 FROM nation) AS passed UNION ALL SELECT 'order_key_unique', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) UNION ALL SELECT 'line_orders_known', (SELECT count(*) = 0 FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey) UNION ALL SELECT 'regions_covered', (SELECT count(*) = 0 FROM region ANTI JOIN nation ON n_regionkey = r_regionkey)")

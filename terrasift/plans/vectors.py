@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import vectors as V
+from ..operators.order import global_rank
 from .base import Tables, points, points_sql, query, r_sql
 
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -108,7 +109,7 @@ def truth_hits(t: Tables) -> DataFrame:
 @query("emb_fusion", "WITH a AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier), b AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier), u AS (SELECT key, rank * 2 AS place, 0 AS list FROM a UNION ALL SELECT key, rank * 2 + 1, 1 FROM b) SELECT key, arg_min(list, place) AS list, row_number() OVER (ORDER BY min(place)) AS rank FROM u GROUP BY key")
 def fusion(t: Tables) -> DataFrame:
     """Two ranked lists dealt one by one."""
-    lists = [t.supplier.select(F.col("s_suppkey").alias("key"), F.row_number().over(Window.orderBy(o, "s_suppkey")).alias("rank")) for o in (F.col("s_acctbal").desc(), F.col("s_acctbal"))]
+    lists = [global_rank(t.supplier.select(F.col("s_suppkey").alias("key"), "s_acctbal"), "rank", o, "key") for o in (F.col("s_acctbal").desc(), F.col("s_acctbal"))]
     return V.interleaved(*lists).select("key", "list", F.col("rank").cast("long").alias("rank"))
 
 
