@@ -5,6 +5,7 @@ import html
 import itertools
 import math
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -596,6 +597,18 @@ def test_index_finds_all_links(spark, hot, monkeypatch):
     assert [got.get(i, i) for i in range(len(codes))] == label.tolist()
 
 
+def test_walk_of_a_large_group_is_bounded():
+    """Random codes of one group, of which nothing is pruned for long: memory stays within a few hundred MB."""
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 1 << 63, 12_000, dtype=np.uint64))
+    codes = np.concatenate([codes, codes[:50] ^ np.uint64(0b10000000100000001)])
+    tracemalloc.start()
+    a, b = simhash.link_groups(codes, np.arange(len(codes)), np.zeros(len(codes), np.int64), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and {frozenset(x) for x in zip(a.tolist(), b.tolist())} == {frozenset((i, len(codes) - 50 + i)) for i in range(50)}
+
+
 def test_simhash_odd_rows(spark):
     docs = clashing(odd_docs(spark))
     rows = simhash.near_duplicates(docs).collect()

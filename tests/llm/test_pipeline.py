@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from terrasift.llm import decontam, langid, mixing
+from terrasift.llm import decontam, langid, mixing, near_copies
 from terrasift.llm.common import materialize
 
 
@@ -93,6 +93,22 @@ def test_near_dedup_is_brute_force_jaccard(spark):
     assert len(kept) < len(texts) - 20
 
 
+def test_buckets_are_dealt_out_in_blocks(spark, monkeypatch):
+    """A group of near copies whose buckets take many blocks gives the same as in one."""
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(90):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 9)):
+            copy[at] = f"w{rng.randrange(500)}"
+        texts.append(" ".join(copy))
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    kept = brute_copies(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(kept) and 1 < len(kept) < 90
+
+
 def _by_id(df):
     groups = defaultdict(list)
     for r in df.collect():
