@@ -97,13 +97,24 @@ def auc(t: Tables) -> DataFrame:
     return out.select(F.col("ql").alias("label"), F.col("qs").alias("site"), rounded(F.col("auc")).alias("auc"))
 
 
-@query("emb_truth_hits", f"WITH {_LOO} SELECT label, count(*) FILTER (WHERE rank <= 50 AND label = truth) AS hits, min(rank) FILTER (WHERE label = truth) AS best FROM r GROUP BY label")
+@query(
+    "emb_truth_hits",
+    f"""WITH {_LOO.replace('WITH ', '')}, tile AS ({points_sql('embeddings', 'vec_id')}), place AS ({points_sql('supplier', 's_suppkey', ', s_suppkey % 10 AS at')}),
+near AS (SELECT DISTINCT r.label, r.vec_id, r.rank FROM r JOIN tile USING (vec_id) JOIN place p ON p.at = r.label AND sqrt(power(tile.x - p.x, 2) + power(tile.y - p.y, 2)) <= 300 WHERE r.rank <= 50)
+SELECT l.label, count(n.vec_id) AS hits, min(n.rank) AS best FROM (SELECT DISTINCT label FROM r) l LEFT JOIN near n USING (label) GROUP BY l.label""",
+)
 def truth_hits(t: Tables) -> DataFrame:
-    """Own vectors among the first 50 of each search."""
+    """Of the first 50 tiles of each search those within 300 m of a known place of its kind, and the rank of the first."""
     proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
-    scored = V.against(t.embeddings.where("vec_id % 10 <> 0"), proto, "q").select("q", "vec_id", "label", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))
-    ranked = V.ranked(scored, "q", "vec_id", "s")
-    return ranked.groupBy(F.col("q").alias("label")).agg(F.count_if((F.col("rank") <= 50) & (F.col("q") == F.col("label"))).alias("hits"), F.min(F.when(F.col("q") == F.col("label"), F.col("rank"))).cast("long").alias("best"))
+    scored = V.against(t.embeddings.where("vec_id % 10 <> 0"), proto, "q").select("q", "vec_id", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))
+    top = V.ranked(scored, "q", "vec_id", "s").where("rank <= 50").select(F.col("q").alias("label"), "vec_id", "rank")
+    tiles = points(top, "vec_id", "tile")
+    places = points(t.supplier, "s_suppkey", "place").select((F.col("s_suppkey") % 10).alias("at"), "place")
+    metres = F.sqrt(F.pow(F.col("tile.x") - F.col("place.x"), 2) + F.pow(F.col("tile.y") - F.col("place.y"), 2))
+    near = tiles.join(places, (F.col("label") == F.col("at")) & (metres <= 300)).groupBy("label", "vec_id").agg(F.min("rank").alias("rank"))
+    near = near.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("hits"), F.min("rank").cast("long").alias("best"))
+    labels = proto.select(F.col("q").alias("label"))
+    return labels.join(near, F.col("label") == F.col("_l"), "left").select("label", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
 
 
 @query("emb_fusion", "WITH a AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier), b AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier), u AS (SELECT key, rank * 2 AS place, 0 AS list FROM a UNION ALL SELECT key, rank * 2 + 1, 1 FROM b) SELECT key, arg_min(list, place) AS list, row_number() OVER (ORDER BY min(place)) AS rank FROM u GROUP BY key")
