@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts count words.
@@ -75,6 +75,19 @@ def bucketed(df: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
     return spark.table(table_name)
 
 
+def numbered(df: DataFrame, scratch: Scratch, name: str, *order: Column | str) -> DataFrame:
+    """df with each row's number from 1 in the given order. Rows are dealt out by ranges of the order and numbered within each; what comes before a
+    range is a sum over one count per range, so no task holds them all. Rows that are equal in the order are in one range: end it with what tells
+    rows apart."""
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = scratch.keep(df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy(F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("__n")).select("__of", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*columns))
+    joined = ranged.join(F.broadcast(offsets), F.col("__part") == F.col("__of"))  # a row for each partition of the shuffle
+    return joined.withColumn(name, (F.col("__before") + within).cast("long")).drop("__part", "__of", "__before")
+
+
 def plus(df: DataFrame, **new: Column) -> DataFrame:
     """df with new columns at the end; an input column of such a name gives way."""
     kept = [df[c] for c in df.columns if c not in new]

@@ -10,6 +10,7 @@ from .line_dedup import op4_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .pii_crf import op3_pii_spans
 from .pq_dedup import op2_embedding_near_duplicates
+from .resample import OP13_SQL, op13_importance_resampling
 from .sharding import OP6_SQL, op6_rendezvous_sharding
 from .simhash import op8_simhash_near_duplicates
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op6_rendezvous_sharding": OP6_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_rendezvous_sharding": OP6_SQL, "op13_importance_resampling": OP13_SQL}
