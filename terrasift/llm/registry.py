@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_count import op7_count_tokens
 from .decontam import op9_decontaminate
+from .divergence import OP11_SQL, op11_source_divergence
 from .html_consensus import op5_main_text
 from .langid import op10_language_id
 from .line_dedup import op4_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op6_rendezvous_sharding": OP6_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_rendezvous_sharding": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_importance_resampling": OP13_SQL}
