@@ -8,6 +8,7 @@ from .divergence import OP11_SQL, op11_source_divergence
 from .html_consensus import op5_main_text
 from .langid import op10_language_id
 from .line_dedup import op4_line_dedup
+from .lm_trie import op12_lm_scores
 from .mixing import OP1_SQL, op1_mix_sources
 from .pii_crf import op3_pii_spans
 from .pq_dedup import op2_embedding_near_duplicates
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
+    "op12_lm_scores": op12_lm_scores,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES = {"op1_mix_sources": OP1_SQL, "op6_rendezvous_sharding": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_importance_resampling": OP13_SQL}
