@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo as G
 from ..functions.numeric import rounded
 from ..operators import landcover as L
+from ..operators import overlay
 from ..operators import raster as R
 from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
 
@@ -226,6 +228,80 @@ def zonal_mean(t: Tables) -> DataFrame:
     return _regions(t).groupBy("region").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("c_acctbal")).alias("mean")).where("n >= 2").select("region", "mean")
 
 
+# The outline of each region: every side of a cell with no neighbour of the region beyond, and the side that goes on from its end: to the right of
+# its direction if there is one, so that cells that touch in a corner stay joined.
+_OUTLINE = f"""{_REGIONS}, d(d, dx, dy, ox, oy, nr, nc) AS (VALUES (0, 1, 0, 0, 0, -1, 0), (1, 0, 1, 1, 0, 0, 1), (2, -1, 0, 1, 1, 1, 0), (3, 0, -1, 0, 1, 0, -1)),
+side AS (SELECT f.region, d.d, f.col + ox AS x, f.row + oy AS y, f.col + ox + dx AS ex, f.row + oy + dy AS ey, ((f.row + oy) * 4294967296 + f.col + ox) * 4 + d.d AS e FROM full_ f, d
+  WHERE NOT EXISTS (SELECT 1 FROM full_ g WHERE g.row = f.row + nr AND g.col = f.col + nc)),
+onward AS (SELECT a.e, arg_min(b.e, (b.d - a.d + 5) % 4) AS nxt FROM side a JOIN side b ON b.region = a.region AND b.x = a.ex AND b.y = a.ey GROUP BY a.e),
+walk AS (SELECT e AS s, nxt AS cur FROM onward UNION SELECT w.s, o.nxt FROM walk w JOIN onward o ON o.e = w.cur),
+ringed AS (SELECT s AS e, min(cur) AS ring FROM walk GROUP BY s),
+turned AS (SELECT ring AS ring_id, 0 AS i, ring AS e FROM (SELECT DISTINCT ring FROM ringed) UNION ALL SELECT t.ring_id, t.i + 1, o.nxt FROM turned t JOIN onward o ON o.e = t.e WHERE o.nxt <> t.ring_id),
+corner AS (SELECT t.ring_id, t.i, s.* FROM turned t JOIN side s USING (e) JOIN onward o ON o.nxt = s.e JOIN side before ON before.e = o.e WHERE before.d <> s.d),
+ring AS (SELECT region, ring_id, count(*) AS corners, string_agg(x || ' ' || y, ',' ORDER BY i) AS ring FROM corner GROUP BY ALL),
+sized AS (SELECT ring_id, CAST(sum(x * ey - ex * y) // 2 AS BIGINT) AS signed, count(*) AS sides FROM turned JOIN side USING (e) GROUP BY ring_id)"""
+
+
+def _sides(ring: Column) -> Column:
+    after = lambda p, i: F.get(ring, F.pmod(i + 1, F.size(ring)))
+    return F.aggregate(F.transform(ring, lambda p, i: F.abs(after(p, i)["x"] - p["x"]) + F.abs(after(p, i)["y"] - p["y"])), F.lit(0.0), lambda s, v: s + v).cast("long")
+
+
+@query("pix_rings", f"{_OUTLINE} SELECT CAST(region AS BIGINT) AS region, signed < 0 AS hole, CAST(corners AS INT) AS corners, CAST(sides AS BIGINT) AS sides, abs(signed) AS area, ring FROM ring JOIN sized USING (ring_id)")
+def pixel_rings(t: Tables) -> DataFrame:
+    """The rings around 8-connected regions of a mask, corner by corner (G-O)."""
+    rings = R.region_rings(_regions(t))
+    text = F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))), ",")
+    return rings.select("region", "hole", F.size("ring").alias("corners"), _sides(F.col("ring")).alias("sides"), F.col("area").cast("long").alias("area"), text.alias("ring"))
+
+
+@query(
+    "pix_polygons",
+    f"""{_REGIONS}, quad AS (SELECT region, (hits = 1)::INT - (hits = 3)::INT - 2 * (hits = 2 AND diagonal)::INT AS q FROM (
+  SELECT region, r, c, count(*) AS hits, count(*) = 2 AND min(dr) <> max(dr) AND min(dc) <> max(dc) AS diagonal
+  FROM (SELECT region, row + dr AS r, col + dc AS c, 1 - dr AS dr, 1 - dc AS dc FROM full_, (VALUES (0), (1)) a(dr), (VALUES (0), (1)) b(dc)) GROUP BY region, r, c)),
+euler AS (SELECT region, sum(q) // 4 AS euler FROM quad GROUP BY region)
+SELECT CAST(region AS BIGINT) AS region, CAST(1 - euler AS BIGINT) AS holes, count(*) * 100 AS area_m2, min(col) * 10 AS xmin, min(row) * 10 AS ymin, (max(col) + 1) * 10 AS xmax, (max(row) + 1) * 10 AS ymax
+FROM full_ JOIN euler USING (region) GROUP BY region, euler""",
+)
+def pixel_polygons(t: Tables) -> DataFrame:
+    """Regions as polygons of 10 m cells with their holes, area and bounds (G-O); the SQL counts cells, and holes by Euler's number."""
+    found = R.region_polygons(_regions(t)).select("region", "rings", "area", G.bounds(F.col("rings")[0]).alias("b"))
+    bounds = [(F.col(f"b.{c}") * 10).cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    return found.select("region", (F.size("rings") - 1).cast("long").alias("holes"), (F.col("area") * 100).cast("long").alias("area_m2"), *bounds)
+
+
+# Zones: a kite around a place of the grid of parts with a triangle cut out, one for each supplier.
+_KITE = [(0.0, -6.3), (5.2, 0.4), (0.3, 6.1), (-5.4, -0.2)]
+_HOLE = [(-1.6, -1.3), (2.1, -0.9), (0.2, 2.3)]
+
+
+def _zone_at(key):
+    return key * 13 % 34 + 3.25, key / 2 + 0.125
+
+
+def _zone_edges(t: Tables) -> DataFrame:
+    cx, cy = _zone_at(F.col("s_suppkey"))
+    point = lambda p: F.struct((cx + p[0]).cast("double").alias("x"), (cy + p[1]).cast("double").alias("y"))
+    zones = t.supplier.select("s_suppkey", F.lit(0).alias("p"), F.array(*[F.array(*[point(p) for p in ring]) for ring in (_KITE, _HOLE)]).alias("rings"))
+    return overlay.polygon_edges(zones, "s_suppkey", "p", "rings")
+
+
+_SIDES_SQL = ", ".join(f"({ax!r}::DOUBLE, {ay!r}::DOUBLE, {bx!r}::DOUBLE, {by!r}::DOUBLE)" for ring in (_KITE, _HOLE) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+@query(
+    "pix_polygon_mean",
+    f"""WITH g AS ({_GRID}), z AS (SELECT s_suppkey, s_suppkey * 13 % 34 + 3.25::DOUBLE AS cx, s_suppkey / 2.0::DOUBLE + 0.125::DOUBLE AS cy FROM supplier), side(x1, y1, x2, y2) AS (VALUES {_SIDES_SQL}),
+hit AS (SELECT s_suppkey, row, col, v, count(*) AS n FROM g JOIN z ON abs(col + 0.5 - cx) <= 7 AND abs(row + 0.5 - cy) <= 7 JOIN side ON (cy + y1 > row + 0.5) <> (cy + y2 > row + 0.5) AND col + 0.5 < cx + x1 + (row + 0.5 - cy - y1) * ((x2 - x1) / (y2 - y1)) GROUP BY ALL)
+SELECT s_suppkey, count(*) AS pixels, {r_sql('avg(v)')} AS mean, min(v) AS low, max(v) AS high FROM hit WHERE n % 2 = 1 GROUP BY s_suppkey""",
+)
+def polygon_mean(t: Tables) -> DataFrame:
+    """Mean over polygons with a hole of the pixels whose centre they hold (G-P); the SQL tests every point against every ring."""
+    inside = R.zonal_cells(_grid(t), _zone_edges(t)).withColumnRenamed("g", "s_suppkey")
+    return inside.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("pixels"), rounded(F.avg("v")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
 @query("lc_running_rank", f"SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {r_sql('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)', 2)} AS running FROM events")
 def running_rank(t: Tables) -> DataFrame:
     """Numbers within a group and running sums."""
