@@ -5,7 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
-_STEPS = [(s, np.uint64(s), np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+#: A one, and the highest bit, in each byte.
+_EACH, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_BITS = np.arange(256)[:, None] >> np.arange(8) & 1
+#: Place of the k-th set bit of a byte at 8 * byte + k.
+_PLACES = np.array([[*np.flatnonzero(row), *[0] * (8 - row.sum())] for row in _BITS], np.int64).ravel()
 #: Numbers whose low bits are laid out at once; a multiple of 64.
 _BLOCK = 1 << 16
 
@@ -37,15 +41,14 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _select_in(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the set bit of each word that `rank` set bits precede."""
-    words, rank, place = words.copy(), rank.astype(np.int64), np.zeros(len(words), np.int64)
-    for step, shift, mask in _STEPS:
-        below = np.bitwise_count(words & mask).astype(np.int64)
-        up = rank >= below
-        rank -= np.where(up, below, 0)
-        place += np.where(up, step, 0)
-        words = np.where(up, words >> shift, words)
-    return place
+    """Place of the set bit of each word that `rank` set bits precede: running counts of the bytes' bits, in the bytes of one product, give the
+    byte, a table the bit."""
+    words, rank = np.ascontiguousarray(words), rank.astype(np.uint64)
+    upto = np.bitwise_count(words.view(np.uint8)).view(np.uint64) * _EACH
+    byte = np.bitwise_count(((rank * _EACH | _HIGHS) - upto) & _HIGHS).astype(np.uint64) << np.uint64(3)
+    before = (upto << np.uint64(8)) >> byte & np.uint64(255)
+    own = words >> byte & np.uint64(255)
+    return byte.astype(np.int64) + _PLACES[(own << np.uint64(3) | rank - before).astype(np.int64)]
 
 
 class EliasFano:
@@ -73,12 +76,20 @@ class EliasFano:
         high = self._select(self.ones, self.high, i, False) - i
         return (high.astype(np.uint64) << np.uint64(self.bits)) | self._lows(i)
 
-    def _starts(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have high bits less than these, which are at most one more than the greatest there is."""
-        out = np.zeros(len(high), np.int64)
+    def _run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the places whose numbers have these high bits: what stands behind the zero before, and the ones that follow there."""
+        at = np.zeros(len(high), np.int64)
         some = high > 0
-        out[some] = self._select(self.zeros, self.high, high[some] - 1, True) - (high[some] - 1)
-        return out
+        at[some] = self._select(self.zeros, self.high, high[some] - 1, True) + 1
+        start, word, off = at - high, at >> 6, (at & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        window = self.high[np.minimum(word, len(self.high) - 1)] >> off | np.where(off > 0, after << (np.uint64(64) - np.maximum(off, _ONE)), np.uint64(0))
+        ones = np.bitwise_count(window ^ (window + _ONE)).astype(np.int64) - 1
+        end = start + ones
+        long = np.flatnonzero(ones >= 63 - off.astype(np.int64) * (word + 1 >= len(self.high)))
+        if len(long):  # runs that may go on beyond
+            end[long] = self._select(self.zeros, self.high, high[long], True) - high[long]
+        return start, end
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, equal): among places lo <= place < hi the first whose number is x or more, hi if there is none, and whether it is x."""
@@ -90,7 +101,7 @@ class EliasFano:
         inside = high <= most
         start = np.where(inside, 0, self.n)
         end = start.copy()
-        start[inside], end[inside] = self._starts(high[inside]), self._starts(high[inside] + 1)
+        start[inside], end[inside] = self._run(high[inside])
         start, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
         last, low = end.copy(), x & np.uint64((1 << self.bits) - 1)
         while True:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -27,16 +28,14 @@ DISCOUNT = 0.75
 ADDED = 0.5
 #: A stored probability is 10 ** (-code * STEP), code a 16-bit number.
 STEP = 2e-4
-#: Tokens that are worked on at once; training tokens, and different words, that a part of the trie holds, about.
-CHUNK_TOKENS = 1 << 20
+#: Bytes of text that are worked on at once; training tokens, and different words, that a part of the trie holds, about.
+CHUNK_BYTES = 1 << 22
 SHARD_TOKENS = 1 << 21
 SHARD_WORDS = 1 << 20
-#: Bytes of text that are split into words at once.
-PIECE = 1 << 22
 HASH_SEED = 42
 #: Files that a worker holds open.
 OPEN = 128
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: No words: they hold white space.
 END, BEGIN = b"\n", b"\r"
 
@@ -76,7 +75,7 @@ def read_level(base: str, name: str) -> dict[str, np.ndarray] | None:
     if isinstance(store, pafs.LocalFileSystem):
         if not os.path.exists(f"{path}/{name}"):
             return None
-        data = np.memmap(f"{path}/{name}", np.uint8, "r")
+        data = np.memmap(f"{path}/{name}", np.uint8, "r").view(np.ndarray)
     else:
         if store.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
             return None
@@ -104,56 +103,63 @@ def _sequence(base: str, file: str, name: str) -> EliasFano:
 # tokens ------------------------------------------------------------------------------------------------------------------
 
 
-def token_lists(text: bytes) -> Iterator[list[bytes]]:
-    """The tokens of a text in lists of a bounded size: words, A-Z lower-cased, then the end."""
-    at = 0
-    while at + PIECE < len(text):
-        cut = min((i for i in (text.find(c, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0), default=len(text))
-        yield text[at:cut].translate(_LOWER).split()
-        at = cut
-    yield [*text[at:].translate(_LOWER).split(), END]
-
-
 def token_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64, len(words))
 
 
 class Chunk:
-    """Tokens of several texts: place of each among the chunk's different words, the text it is of, and whether it is counted here or only
-    goes ahead of those that are."""
-
-    def __init__(self):
-        self.places: dict[bytes, int] = defaultdict()
-        self.places.default_factory = self.places.__len__
-        self.token, self.row, self.counted, self.size = [], [], [], 0
-
-    def add(self, row: int, ahead: list[bytes], tokens: list[bytes]) -> None:
-        n = len(ahead) + len(tokens)
-        self.token.append(np.fromiter(map(self.places.__getitem__, ahead + tokens), np.int64, n))
-        self.row.append(np.full(n, row))
-        self.counted.append(np.arange(n) >= len(ahead))
-        self.size += n
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        starts = np.concatenate([np.arange(len(t)) == 0 for t in self.token])
-        return np.concatenate(self.token), np.concatenate(self.row), np.concatenate(self.counted), starts
-
-
-def chunks(texts: Iterator[bytes], order: int) -> Iterator[Chunk]:
-    """The texts in chunks of a bounded number of tokens. A text that goes on from one chunk into the next takes the order - 1 tokens before along."""
-    chunk = Chunk()
-    for row, text in enumerate(texts):
-        ahead = [BEGIN]
-        for listed in token_lists(text):
-            for at in range(0, len(listed), CHUNK_TOKENS):
-                tokens = listed[at : at + CHUNK_TOKENS]
-                chunk.add(row, ahead, tokens)
-                ahead = (ahead + tokens)[-(order - 1) :] if order > 1 else []
-                if chunk.size >= CHUNK_TOKENS:
-                    yield chunk
-                    chunk = Chunk()
-    if chunk.size:
-        yield chunk
+    """Tokens of several texts, or of a piece of one: the different words, and for each token its place among these, the text it is of, whether it is
+    counted here or only goes ahead of those that are, and whether a text or piece begins with it."""
+
+    def __init__(self, texts: pa.Array, row: int, ahead: list[bytes], ended: bool):
+        """texts: whole, or the next piece of text `row`, behind the tokens `ahead`; ended: whether the end belongs to it."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        some = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[place] if len(place) else np.zeros(0, bool)
+        ends = np.searchsorted(np.flatnonzero(some), lists.offsets.to_numpy() - lists.offsets[0].as_py())
+        place, n, extra = place[some], np.diff(ends), len(ahead) + ended
+        self.words = [*coded.dictionary.cast(pa.binary()).to_pylist(), *ahead, END]
+        starts = np.concatenate([[0], np.cumsum(n + extra)])
+        self.token = np.full(int(starts[-1]), len(self.words) - 1)
+        self.counted, self.starts = np.ones(len(self.token), bool), np.zeros(len(self.token), bool)
+        self.starts[starts[:-1]] = True
+        for i in range(len(ahead)):
+            self.token[starts[:-1] + i] = len(coded.dictionary) + i
+            self.counted[starts[:-1] + i] = False
+        self.token[np.repeat(starts[:-1] + len(ahead) - ends[:-1], n) + np.arange(len(place))] = place
+        self.row = np.repeat(np.arange(row, row + len(n)), n + extra)
+
+    def last(self, n: int) -> list[bytes]:
+        return [self.words[i] for i in self.token[len(self.token) - n :]] if n else []
+
+
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """The text cut at white space into pieces of `most` bytes, or longer for a word that is."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + most)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def chunks(texts: pa.Array, order: int) -> Iterator[Chunk]:
+    """The texts (string, no nulls) in chunks of about CHUNK_BYTES. A text longer than that comes in pieces, each behind the order - 1 tokens before."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    while at < len(sizes):
+        if sizes[at] > CHUNK_BYTES:
+            parts, ahead = list(pieces(texts[at].as_py().encode("utf-8", "surrogatepass"), CHUNK_BYTES)), [BEGIN]
+            for i, part in enumerate(parts):
+                chunk = Chunk(pa.array([part], pa.binary()).cast(pa.string()), at, ahead, i == len(parts) - 1)
+                ahead = chunk.last(min(order - 1, len(chunk.token)))
+                yield chunk
+            at += 1
+        else:
+            stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES, "right")))
+            yield Chunk(texts.slice(at, stop - at), at, [BEGIN], True)
+            at = stop
 
 
 # vocabulary --------------------------------------------------------------------------------------------------------------
@@ -207,11 +213,10 @@ def build_vocabulary(texts: DataFrame, base: str, scratch: Scratch) -> Vocabular
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(_bytes(batch, "text"), 1):
-                token, _, counted, _ = chunk.arrays()
-                n = np.bincount(token[counted], minlength=len(chunk.places))
+            for chunk in chunks(batch.column("text"), 1):
+                n = np.bincount(chunk.token[chunk.counted], minlength=len(chunk.words))
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(token_hashes(list(chunk.places))[some].view(np.int64)), pa.array(n[some])], ["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token_hashes([chunk.words[i] for i in some]).view(np.int64)), pa.array(n[some])], ["hash", "n"])
 
     counts = scratch.keep(texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     size = counts.count()
@@ -230,10 +235,6 @@ def build_vocabulary(texts: DataFrame, base: str, scratch: Scratch) -> Vocabular
     return Vocabulary(base, bits, [tuple(r) for r in parts], texts.count())
 
 
-def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 # n-grams -----------------------------------------------------------------------------------------------------------------
 
 
@@ -243,16 +244,16 @@ class Grams:
     at each token, -1 where the text has begun too shortly before."""
 
     def __init__(self, chunk: Chunk, vocabulary: Vocabulary, order: int):
-        self.token, self.row, self.counted, starts = chunk.arrays()
-        numbers, counts, before = vocabulary.numbers(list(chunk.places))
+        self.row, self.counted = chunk.row, chunk.counted
+        numbers, counts, before = vocabulary.numbers(chunk.words)
         self.word, first, own = np.unique(numbers, return_index=True, return_inverse=True)
         self.count, self.before, self.order = counts[first], before[first], order
-        place = own[self.token]
+        place = own[chunk.token]
         self.place, self.parent, self.last, self.n, self.spot = {1: place}, {}, {}, {}, {}
         number = self.word[place]
         for k in range(2, order + 1):
             ahead = np.concatenate([[-1], self.place[k - 1][:-1]])
-            ahead[starts] = -1
+            ahead[chunk.starts] = -1
             some = np.flatnonzero(ahead >= 0)
             keys, spot, back = np.unique(ahead[some] * vocabulary.range + number[some], return_index=True, return_inverse=True)
             self.parent[k], self.last[k], self.spot[k] = keys // vocabulary.range, keys % vocabulary.range, some[spot]
@@ -300,7 +301,7 @@ def gram_counts(texts: DataFrame, vocabulary: Vocabulary, order: int, shards: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(_bytes(batch, "text"), order):
+            for chunk in chunks(batch.column("text"), order):
                 grams = Grams(chunk, vocabulary, order)
                 own = _shards_of(grams, vocabulary, shards)
                 by = np.argsort(own, kind="stable")
@@ -424,6 +425,7 @@ class Trie:
             by, spans = np.argsort(own, kind="stable"), np.argsort(from_, kind="stable")
             wide = known[to > from_]
             low, high = from_[to > from_], to[to > from_]
+            node = {k: np.full(len(grams.last[k]) if k > 1 else len(grams.word), -1) for k in range(1, self.order)}
             for s in range(self.shards):
                 if read_level(base, f"roots-{s}") is None:
                     continue
@@ -432,13 +434,12 @@ class Trie:
                 inside = known[spans[slice(*np.searchsorted(from_[spans], (s, s + 1)))]]
                 asked = np.union1d(inside, wide[(low < s) & (high >= s)])
                 root, there = roots.successor(grams.word[asked], np.zeros(len(asked), np.int64), np.full(len(asked), roots.n))
+                node[1][asked] = np.where(there, root, -1)
                 asked, root = asked[there], root[there]
                 kinds[asked] += (pointer.get(root + 1) - pointer.get(root)).astype(np.int64)
                 at = by[slice(*np.searchsorted(own[by], (s, s + 1)))]
-                node = np.full(len(grams.word), -1)
-                node[asked] = root
                 for k in range(2, self.order + 1):
-                    above = node[grams.parent[k][at]]
+                    above = node[k - 1][grams.parent[k][at]]
                     at, above = at[above >= 0], above[above >= 0]
                     found = self._found(f"level-{k}-{s}", above, grams.last[k][at]) if len(at) else above
                     at, found = at[found >= 0], found[found >= 0]
@@ -448,8 +449,7 @@ class Trie:
                     if k < self.order:
                         codes = read_level(base, f"rest-{k}-{s}")["code"][found]
                         left[k][at] = np.where(codes > 0, _values(codes), 1.0)
-                        node = np.full(len(grams.last[k]), -1)
-                        node[at] = found
+                        node[k][at] = found
                         at = _children(grams.parent[k + 1], np.sort(at))
             some = kinds > 0
             left[1][some] = DISCOUNT * kinds[some] / grams.count[some]
@@ -458,7 +458,7 @@ class Trie:
             p[k] = np.minimum(1.0, seen[k] + left[k - 1][grams.parent[k]] * shorter)
         return p
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n_tokens, n_known, base_score and score of each text."""
         n, known, plain, score = (np.zeros(len(texts), kind) for kind in (np.int64, np.int64, float, float))
         for chunk in chunks(texts, self.order):
@@ -500,13 +500,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, key: str = "doc_id", fo
             build_trie(train, vocabulary, order, shards)
         shared = spark.sparkContext.broadcast(Trie(vocabulary, order, shards))  # its numbers; the levels stay in their files
 
-        @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
-        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("struct<n_tokens:long,n_known:long,base_score:double,score:double>")
+        def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch]
-                yield pd.DataFrame(dict(zip(("n_tokens", "n_known", "base_score", "score"), shared.value.scores(texts), strict=True)))
+                found = shared.value.scores(batch)
+                yield pa.StructArray.from_arrays([pa.array(x) for x in found], names=["n_tokens", "n_known", "base_score", "score"])
 
-        out = plus(docs, held_out=F.coalesce(_fold(key) == 1, F.lit(False)), __lm=scored(F.col("text")))
+        out = plus(docs, held_out=F.coalesce(_fold(key) == 1, F.lit(False)), __lm=scored(F.coalesce(F.col("text"), F.lit(""))))
         names = ("n_tokens", "n_known", "base_score", "score")
         out = plus(out, train_tokens=F.lit(vocabulary.tokens).cast("long"), **{c: F.col(f"__lm.{c}") for c in names}).drop("__lm")
         return materialize(out.drop("text"), "scored")  # the levels go with the call

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,12 +101,23 @@ def test_levels_are_mapped(tmp_path):
     assert lm_trie.read_level(f"file://{tmp_path}/deep", "x-1") is None
 
 
-def test_tokens_in_pieces(monkeypatch):
-    text = "AbÄ c\x1cd\x85e\x0bf  \t\n" * 50
-    whole = [w.encode() for w in tokens(text)]
-    assert [t for part in lm_trie.token_lists(text.encode()) for t in part] == whole
-    monkeypatch.setattr(lm_trie, "PIECE", 7)
-    assert [t for part in lm_trie.token_lists(text.encode()) for t in part] == whole
+@pytest.mark.parametrize("size", [1 << 22, 40, 7])
+def test_tokens_of_chunks(monkeypatch, size):
+    """Texts of a chunk, or pieces of a long one: the same tokens, with those ahead that n-grams need."""
+    texts = ["AbÄ c\x1cd\x85e\x0bf  \t\n" * 20, "", " \n", "One", "x" * 60 + " Y"]
+    monkeypatch.setattr(lm_trie, "CHUNK_BYTES", size)
+    found = defaultdict(list)
+    for chunk in lm_trie.chunks(pa.array(texts), 3):
+        begun = False
+        for i, (t, row, counted, start) in enumerate(zip(chunk.token, chunk.row, chunk.counted, chunk.starts, strict=True)):
+            begun = start or begun
+            assert begun
+            if counted:
+                found[int(row)].append(chunk.words[t])
+            elif start:
+                ahead = [chunk.words[k] for k in chunk.token[i : i + 2][~chunk.counted[i : i + 2]]]
+                assert ahead == [lm_trie.BEGIN, *found[int(row)]][-2:]
+    assert dict(found) == {i: [w.encode() for w in tokens(t)] for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
@@ -118,15 +130,14 @@ def test_scores_of_chunks_and_parts(spark, monkeypatch):
     """Few tokens a chunk, many parts: the same as in one."""
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % (11 + i % 5)}" for j in range(i % 40))) for i in range(120)]
     whole = {r.doc_id: r.score for r in check(spark, rows)[0]}
-    for name, size in (("CHUNK_TOKENS", 16), ("SHARD_TOKENS", 64), ("SHARD_WORDS", 4), ("PIECE", 40)):
-        monkeypatch.setattr(lm_trie, name, size)
+    monkeypatch.setattr(lm_trie, "CHUNK_BYTES", 40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = docs.where(lm_trie._fold("doc_id") != 1).select("text")
     import tempfile
 
     base = f"file://{tempfile.mkdtemp()}"  # in this process, where the sizes are small
-    texts = [r.text.encode() for r in train.collect()]
-    words = Counter(w for t in texts for part in lm_trie.token_lists(t) for w in part)
+    texts = pa.array([r.text for r in train.collect()])
+    words = Counter(w.encode() for t in texts for w in tokens(t.as_py()))
     bits = 3
     hashes = lm_trie.token_hashes(list(words))
     parts = []
@@ -152,7 +163,7 @@ def test_scores_of_chunks_and_parts(spark, monkeypatch):
     for s, blobs in packed.items():
         lm_trie.write_shard(base, s, blobs, vocabulary, 3)
     trie = lm_trie.Trie(vocabulary, 3, shards)
-    got = trie.scores([(t or "").encode() for _, t in rows])[3]
+    got = trie.scores(pa.array([t or "" for _, t in rows]))[3]
     assert len(packed) > 4
     for (k, _), x in zip(rows, got, strict=True):
         assert x == pytest.approx(whole[k], abs=1e-9)
