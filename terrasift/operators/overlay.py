@@ -166,14 +166,20 @@ def union_edges(edges: DataFrame, size: float) -> DataFrame:
     celled = cut(_cells(edges, size))
 
     def arrange(frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (g, cx, cy), own in frame.groupby(["g", "cx", "cy"], sort=False, dropna=False):
-            corner = own["corner"].to_numpy(bool)
-            p = own["p"].to_numpy()
-            if (~corner).any():
-                kept = _arranged(p[~corner], own.loc[~corner, ["x1", "y1", "x2", "y2"]].to_numpy(float), p[corner], cx, cy, size)
-                found.append(pd.DataFrame(kept, columns=["x1", "y1", "x2", "y2"]).assign(g=g)[["g", "x1", "y1", "x2", "y2"]])
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: [] for c in ("g", "x1", "y1", "x2", "y2")})
+        code = pd.factorize(frame["g"], use_na_sentinel=False)[0]
+        corner, p = frame["corner"].to_numpy(bool), pd.factorize(frame["p"], use_na_sentinel=False)[0]
+        cx, cy, e = frame["cx"].to_numpy(np.int64), frame["cy"].to_numpy(np.int64), frame[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        order = np.lexsort((corner, cy, cx, code))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(code[order]) != 0) | (np.diff(cx[order]) != 0) | (np.diff(cy[order]) != 0)]))
+        found, at = [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
+        for own in np.split(order, new[1:]):
+            n = int((~corner[own]).sum())  # edges stand before corners
+            if n:
+                found.append(_arranged(p[own[:n]], e[own[:n]], p[own[n:]], int(cx[own[0]]), int(cy[own[0]]), size))
+                at.append(np.full(len(found[-1]), own[0]))
+        out = pd.DataFrame(np.vstack(found), columns=["x1", "y1", "x2", "y2"])
+        out.insert(0, "g", frame["g"].iloc[np.concatenate(at)].to_numpy())
+        return out
 
     return _chunks(celled, "g", "cx", "cy").groupBy("_chunk").applyInPandas(arrange, f"g {_kind(edges)}, x1 long, y1 long, x2 long, y2 long")
 
@@ -371,12 +377,16 @@ def buffered(polygons: DataFrame, key: str, rings: str, radius: float, size: flo
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for g, own in zip(batch["g"], batch["rings"], strict=True):
+            found, row, part = [np.empty((0, 4))], [], []
+            for at, own in enumerate(batch["rings"]):
                 for p, piece in enumerate(_offset_pieces(list(own) if own is not None else [], radius, segments), 1):
-                    found.append(pd.DataFrame(np.hstack([piece, np.roll(piece, -1, 0)]), columns=["x1", "y1", "x2", "y2"]).assign(g=g, p=p))
-            if found:
-                yield pd.concat(found, ignore_index=True)[["g", "p", "x1", "y1", "x2", "y2"]]
+                    found.append(np.hstack([piece, np.roll(piece, -1, 0)]))
+                    row += [at] * len(piece)
+                    part += [p] * len(piece)
+            out = pd.DataFrame(np.vstack(found), columns=["x1", "y1", "x2", "y2"])
+            out.insert(0, "p", part)
+            out.insert(0, "g", batch["g"].iloc[row].to_numpy())
+            yield out
 
     named = polygons.select(F.col(key).alias("g"), F.col(rings).alias("rings"))
     around = named.mapInPandas(edges, f"g {_kind(named)}, p long, x1 double, y1 double, x2 double, y2 double").where("x1 <> x2 or y1 <> y2")
@@ -387,6 +397,20 @@ def point_buffer(point: Column, radius: float, segments: int = 16, square: bool
     """The ring around a point: a polygon of 4 * segments corners, or a square with sides along the axes."""
     if square:
         return G.box_ring(point["x"] - radius, point["y"] - radius, point["x"] + radius, point["y"] + radius)
-    turns = [2 * math.pi * i / (4 * segments) for i in range(4 * segments)]
-    corner = lambda t: F.struct((point["x"] + radius * math.cos(t)).alias("x"), (point["y"] + radius * math.sin(t)).alias("y"))
-    return F.array(*[corner(t) for t in [*turns, 0.0]])
+    turn = lambda i: F.pmod(i, F.lit(4 * segments)) * F.lit(math.pi / (2 * segments))
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * segments)), lambda i: F.struct((point["x"] + F.cos(turn(i)) * radius).alias("x"), (point["y"] + F.sin(turn(i)) * radius).alias("y")))
+
+
+def points_within(points: DataFrame, key: str, point: str, edges: DataFrame, size: float) -> DataFrame:
+    """(g, p, key) of the points in each polygon of edges (g, p, x1, y1, x2, y2), even-odd, whatever the polygons' extent: a point meets the edges of its
+    cell alone, and whether the polygon holds the cell's corner; each edge crossed from there changes sides."""
+    at = lambda axis: F.floor(F.col(f"{point}.{axis}") / size - F.lit(SHIFT)).cast("long")
+    own = points.select(F.col(key).alias("_key"), F.col(f"{point}.x").alias("_x"), F.col(f"{point}.y").alias("_y"), at("x").alias("cx"), at("y").alias("cy"))
+    x0, y0 = ((F.col(c) + F.lit(SHIFT)) * size for c in ("cx", "cy"))
+    met = own.join(_cells(edges, size), ["cx", "cy"])
+    fx = F.col("x1") + (y0 - F.col("y1")) * ((F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
+    fy = F.col("y1") + (F.col("_x") - F.col("x1")) * ((F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)))
+    across = ((F.col("y1") > y0) != (F.col("y2") > y0)) & (fx > x0) & (fx <= F.col("_x"))
+    up = ((F.col("x1") > F.col("_x")) != (F.col("x2") > F.col("_x"))) & (fy > y0) & (fy <= F.col("_y"))
+    turns = F.when(F.col("corner"), 1).otherwise(F.coalesce(across.cast("int"), F.lit(0)) + F.coalesce(up.cast("int"), F.lit(0)))
+    return met.groupBy("g", "p", F.col("_key").alias(key)).agg(F.sum(turns).alias("turns")).where("turns % 2 = 1").drop("turns")

@@ -9,7 +9,7 @@ from ..functions import geo as G
 from ..functions import numeric as N
 from ..functions import polygon_udf as P
 from ..functions.numeric import rounded
-from ..operators import graph, landcover, spatial
+from ..operators import graph, landcover, overlay, spatial
 from .base import Tables, lat, lat_sql, lon, lon_sql, points, points_sql, query, r_sql
 
 CUST, SUPP, PART = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey", "", 0.0006, 0.0003), points_sql("part", "p_partkey", "", 0.0002, 0.0001)
@@ -260,6 +260,74 @@ def dissolve(t: Tables) -> DataFrame:
     return k.select("pair", rounded(P.dissolved_area(F.col("polygons"))).alias("area"))
 
 
+# Boxes that meet in more than a corner are of one part. A part's area, by slabs between neighbouring sides: in each, the heights that are covered.
+_PARTS = f"""WITH RECURSIVE k AS ({_BOX}),
+meets AS (SELECT a.id AS u, b.id AS v FROM k a JOIN k b ON least(a.x1, b.x1) >= greatest(a.x0, b.x0) AND least(a.y1, b.y1) >= greatest(a.y0, b.y0) AND (least(a.x1, b.x1) > greatest(a.x0, b.x0) OR least(a.y1, b.y1) > greatest(a.y0, b.y0))),
+reach AS (SELECT u, v FROM meets UNION SELECT r.u, m.v FROM reach r JOIN meets m ON m.u = r.v), of_part AS (SELECT u AS id, min(v) AS part FROM reach GROUP BY u),
+side AS (SELECT DISTINCT part, x FROM (SELECT part, unnest([x0, x1]) AS x FROM k JOIN of_part USING (id))),
+slab AS (SELECT part, x AS s0, lead(x) OVER (PARTITION BY part ORDER BY x) AS s1 FROM side),
+bar AS (SELECT s.part, s0, s1, y0, y1, max(y1) OVER (PARTITION BY s.part, s0 ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM slab s JOIN of_part p ON p.part = s.part JOIN k ON k.id = p.id AND x0 < s1 AND x1 > s0 WHERE s1 IS NOT NULL),
+area AS (SELECT part, sum((s1 - s0) * greatest(0::DOUBLE, y1 - greatest(y0, coalesce(upto, y0)))) AS area FROM bar GROUP BY part)"""
+
+
+@query("geo_union_parts", f"{_PARTS} SELECT min(x0) AS xmin, min(y0) AS ymin, max(x1) AS xmax, max(y1) AS ymax, {r_sql('any_value(area)')} AS area FROM k JOIN of_part USING (id) JOIN area USING (part) GROUP BY part")
+def union_parts(t: Tables) -> DataFrame:
+    """The union of all boxes as polygons, a row a part (G-H)."""
+    boxes = _boxes(t).select(F.lit(0).alias("g"), "id", F.array(_ring()).alias("rings"))
+    found = overlay.dissolve(boxes, "g", "id", "rings", 200.0).select("area", G.bounds(F.col("rings")[0]).alias("b"))
+    return found.select(*[rounded(F.col(f"b.{c}"), 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], rounded(F.col("area")).alias("area"))
+
+
+_ELL = "SELECT p_partkey, p_size + 20.0::DOUBLE AS a, p_size % 7 + 3.0::DOUBLE AS w FROM part"
+
+
+@query(
+    "geo_buffer_polygon",
+    f"SELECT p_partkey, 1 AS parts, 0 AS holes, {r_sql('2 * a * w - w * w + 4 * a * 2.5 - 6.25 + 5 * 8 * sin(pi() / 32) * 6.25', 3)} AS area, {r_sql('a + 5', 3)} AS width FROM ({_ELL})",
+)
+def buffer_polygon(t: Tables) -> DataFrame:
+    """L-shaped polygons grown by 2.5 m, as polygons (G-F); round corners of 16 segments, and the inner corner stays sharp."""
+    a, w = F.col("p_size") + 20.0, F.col("p_size") % 7 + 3.0
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0.0)
+    ring = F.array(corner(zero, zero), corner(a, zero), corner(a, w), corner(w, w), corner(w, a), corner(zero, a))
+    grown = overlay.buffered(t.part.select("p_partkey", F.array(ring).alias("rings")), "p_partkey", "rings", 2.5, 200.0)
+    b = G.bounds(F.col("rings")[0])
+    by_part = grown.groupBy(F.col("g").alias("p_partkey")).agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum(F.size("rings") - 1).cast("int").alias("holes"), F.sum("area").alias("area"), F.max(b["xmax"] - b["xmin"]).alias("width"))
+    return by_part.select("p_partkey", "parts", "holes", rounded(F.col("area"), 3).alias("area"), rounded(F.col("width"), 3).alias("width"))
+
+
+@query(
+    "geo_point_buffers",
+    f"SELECT s_suppkey, {r_sql('32 * sin(pi() / 32) * 250000', 2)} AS round_area, {r_sql('power(2 * least(greatest(greatest(s_suppkey % 3000, 450) * 0.68::DOUBLE, 300), 1400), 2)', 2)} AS square_area FROM supplier",
+)
+def point_buffers(t: Tables) -> DataFrame:
+    """Round buffers and square review windows around points, as polygons (G-F G-M)."""
+    half = G.review_half((F.col("s_suppkey") % 3000).cast("double"))
+    area = lambda ring: rounded(G.ring_area(ring), 2)
+    return _supp(t).select("s_suppkey", area(overlay.point_buffer(F.col("other_point"), 500.0)).alias("round_area"), area(overlay.point_buffer(F.col("other_point"), half, square=True)).alias("square_area"))
+
+
+# Buffers are polygons of 64 corners, so two meet if one centre lies in a polygon of twice the size around the other.
+_APART = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+_MEET = f"{_APART} * cos(atan2(b.y - a.y, b.x - a.x) - floor(atan2(b.y - a.y, b.x - a.x) / (pi() / 32)) * (pi() / 32) - pi() / 64) <= 1000 * cos(pi() / 64)"
+
+
+@query(
+    "geo_query_zones",
+    f"""WITH RECURSIVE p AS ({SUPP}), e AS (SELECT a.s_suppkey AS u, b.s_suppkey AS v FROM p a JOIN p b ON {_MEET}), reach AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u),
+c AS (SELECT u AS s_suppkey, min(v) AS component FROM reach GROUP BY u) SELECT count(*) AS units, string_agg(CAST(s_suppkey AS VARCHAR), '|' ORDER BY s_suppkey) AS members FROM c GROUP BY component""",
+)
+def query_zones(t: Tables) -> DataFrame:
+    """Zones: the parts of the union of all units' 500 m buffers, and the units that lie in each (G-S G-H J11)."""
+    p = _supp(t)
+    buffers = p.select(F.lit(0).alias("g"), "s_suppkey", F.array(overlay.point_buffer(F.col("other_point"), 500.0)).alias("rings"))
+    zones = graph.cut(overlay.dissolve(buffers, "g", "s_suppkey", "rings", 1000.0).withColumn("zone", F.monotonically_increasing_id()))
+    inside = overlay.points_within(p, "s_suppkey", "other_point", overlay.polygon_edges(zones, "zone", "g", "rings"), 1000.0)
+    members = F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: k.cast("string"))
+    return inside.groupBy("g").agg(F.count(F.lit(1)).alias("units"), F.array_join(members, "|").alias("members")).select("units", "members")
+
+
 @query("geo_buffer_area", f"SELECT id, {r_sql('(x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) * 120 + 32 * sin(pi() / 32) * 14400')} AS area FROM ({_BOX})")
 def buffer_area(t: Tables) -> DataFrame:
     """Area of boxes grown by 120 m with polygon corners of 16 segments (G-F)."""
