@@ -256,7 +256,7 @@ def stitch_rings(edges: DataFrame, tile: int, join: bool = False, slack: float =
     are joined through components of paths, so only these are compared between tasks. A ring is a row and so one task's."""
     kind = _kind(edges)
     numbered = cut(edges.withColumn("id", F.monotonically_increasing_id()))
-    at = lambda n: (F.floor(F.col(f"x{n}") / tile).alias("tx"), F.floor(F.col(f"y{n}") / tile).alias("ty"))
+    at = lambda n: [F.floor(F.col(f"{axis}{n}") / tile - F.lit(SHIFT)).alias(f"t{axis}") for axis in "xy"]
     columns = ["g", "id", "x1", "y1", "x2", "y2"]
     own = numbered.select(*columns, F.lit(True).alias("own"), *at(1))
     stubs = numbered.select(*columns, F.lit(False).alias("own"), *at(2), *[c.alias(f"_{n}") for n, c in zip("xy", at(1), strict=True)]).where("tx <> _x or ty <> _y").drop("_x", "_y")
@@ -388,7 +388,9 @@ def buffered(polygons: DataFrame, key: str, rings: str, radius: float, size: flo
             out.insert(0, "g", batch["g"].iloc[row].to_numpy())
             yield out
 
-    named = polygons.select(F.col(key).alias("g"), F.col(rings).alias("rings"))
+    spark = polygons.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = polygons.select(F.col(key).alias("g"), F.col(rings).alias("rings")).repartition(tasks, "g")  # each grows a hundredfold
     around = named.mapInPandas(edges, f"g {_kind(named)}, p long, x1 double, y1 double, x2 double, y2 double").where("x1 <> x2 or y1 <> y2")
     return dissolve_edges(polygon_edges(named.withColumn("p", F.lit(0).cast("long")), "g", "p", "rings").union(around), size)
 
