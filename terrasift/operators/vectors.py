@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import global_rank
+from .graph import cut
+from .order import global_rank, running_total
+from .spatial import distance_join
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,8 +55,8 @@ def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]
     return mean, both[dim:].reshape(dim, dim) / n - np.outer(mean, mean), n
 
 
-def whiten(df: DataFrame, vector: str, out: str, drop_top: int = 0, floor: float = 1e-6) -> DataFrame:
-    """ZCA: decorrelated, unit variance, then unit length; optionally without the strongest components."""
+def whiten(df: DataFrame, vector: str, out: str, drop_top: int = 0, floor: float = 1e-6, unit: bool = True) -> DataFrame:
+    """ZCA: decorrelated, unit variance, then, with `unit`, unit length; optionally without the strongest components."""
     mean, cov, _ = covariance(df, vector)
     values, basis = np.linalg.eigh(cov)
     scale = 1 / np.sqrt(np.maximum(values, floor))
@@ -66,7 +68,7 @@ def whiten(df: DataFrame, vector: str, out: str, drop_top: int = 0, floor: float
     def run(s: pd.Series) -> pd.Series:
         centre, matrix = shared.value
         x = (np.stack(s.to_numpy()).astype(np.float64) - centre) @ matrix
-        return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
+        return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if unit else x))
 
     return df.where(F.col(vector).isNotNull()).withColumn(out, run(vector))
 
@@ -76,6 +78,122 @@ def ranked(scores: DataFrame, query: str, key: str, score: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(key))))
 
 
+def mid_ranks(counts: DataFrame, group: list[str], value: str, n: str) -> DataFrame:
+    """counts (group, value, n), a row for each different value, with `rank`: the mean of the places from 1 that its n equals take in their group. Places
+    come from ranges of values and their totals, so a group of any size is put in order by many tasks."""
+    before = running_total(counts, "_before", n, *group, value)
+    first = before.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("_before").alias("_first"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    placed = before.join(first, on).withColumn("rank", F.col("_before") - F.col("_first") + (F.col(n) + 1) / 2)
+    return placed.drop("_before", "_first", *[f"_{g}" for g in group])
+
+
+def spearman(pairs: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """(group, n, rho): the correlation of the ranks of x and y, ties at their mean rank. Rows with a null on either side are left out; a side
+    without two different values gives null.
+
+    Equal pairs are counted first, so ties of any number are one row where ranks meet them; ranks are taken from the middle, which keeps sums small."""
+    cells = cut(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("n")))
+    ranked = cells
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        ranks = mid_ranks(cells.groupBy(*group, c).agg(F.sum("n").alias("m")), group, c, "m").select(*[F.col(g).alias(f"_{g}") for g in group], F.col(c).alias("_v"), F.col("rank").alias(name))
+        on = F.col(c) == F.col("_v")
+        for g in group:
+            on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        ranked = ranked.join(ranks, on).drop("_v", *[f"_{g}" for g in group])
+    size = cells.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.sum("n").alias("all"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    a, b = (F.col(c) - (F.col("all") + 1) / 2 for c in ("_rx", "_ry"))
+    sums = ranked.join(size, on).groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * a * b).alias("_ab"), F.sum(F.col("n") * a * a).alias("_aa"), F.sum(F.col("n") * b * b).alias("_bb"))
+    return sums.select(*group, "n", (F.col("_ab") / F.nullif(F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb")), F.lit(0.0))).alias("rho"))
+
+
+def search(pool: DataFrame, queries: DataFrame, query: str, key: str, vector: str, score: Column, k: int, *carry: str) -> DataFrame:
+    """The k best of the pool for each query (ties by key) with `s` and `rank`, and the columns `carry` of pool and queries. score: of a row of both.
+    A task sends k rows a query at most."""
+    scored = against(pool, queries, query).select(query, key, *carry, score.alias("s"))
+    order = Window.partitionBy(query).orderBy(F.col("s").desc(), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def feedback_search(pool: DataFrame, seeds: DataFrame, label: str, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Two rounds of (query, key, label, s, rank). First the pool against each label's mean seed; then the first k hits that are of another label are
+    taken as hard negatives, and the pool is searched again by twice the cosine to the mean seed less that to their mean. A label
+    without such hits keeps its first score."""
+    positive = prototype(seeds, [label], vector).withColumnRenamed(label, "_query")
+    first = cut(search(pool, positive, "_query", key, vector, cosine(F.col(vector), F.col("prototype")), k, label, vector))
+    wrong = prototype(first.where(F.col(label) != F.col("_query")), ["_query"], vector).select(F.col("_query").alias("_of"), F.col("prototype").alias("_wrong"))
+    both = cut(positive.join(wrong, F.col("_query") == F.col("_of"), "left").drop("_of"))
+    score = cosine(F.col(vector), F.col("prototype"))
+    fed = F.when(F.col("_wrong").isNull(), score).otherwise(score * 2 - cosine(F.col(vector), F.col("_wrong")))
+    second = search(pool, both, "_query", key, vector, fed, k, label)
+    names = [F.col("_query").alias("query"), key, label, "s", "rank"]
+    return first.select(*names), second.select(*names)
+
+
+def fused_search(pool: DataFrame, prompts: DataFrame, query: str, prompt: str, key: str, vector: str, k: int, *carry: str) -> DataFrame:
+    """An ensemble of prompts (query, prompt, prototype): the k best of the pool for each query by the best rank that any of its prompts gives, ties by key.
+    Only the first k of a prompt can be among the first k of its query."""
+    asked = prompts.withColumn("_asked", F.struct(query, prompt))
+    ranked_ = search(pool, asked, "_asked", key, vector, cosine(F.col(vector), F.col("prototype")), k, *carry)
+    best = ranked_.groupBy(F.col(f"_asked.{query}").alias(query), key, *carry).agg(F.min("rank").alias("best"))
+    order = Window.partitionBy(query).orderBy("best", key)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def recall_in(found: DataFrame, query: str, label: str, pool: DataFrame) -> DataFrame:
+    """(query, hits, recall): how many of the found are of the query's label, of all of that label in the pool."""
+    there = pool.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_all"))
+    hits = found.groupBy(query).agg(F.count_if(F.col(label) == F.col(query)).alias("hits"))
+    return hits.join(there, F.col(query) == F.col("_label")).select(query, "hits", (F.col("hits") / F.col("_all")).alias("recall"))
+
+
+def covariance_cells(df: DataFrame, vector: str) -> DataFrame:
+    """(i, j, value): the covariance of the vectors' components, from partial sums of each task."""
+    mean, cov, _ = covariance(df, vector)
+    cells = [(i, j, float(cov[i, j])) for i in range(len(mean)) for j in range(len(mean))]  # dim x dim numbers, whatever the table
+    return df.sparkSession.createDataFrame(cells, "i int, j int, value double")
+
+
+def without_components(df: DataFrame, vector: str, out: str, drop: int) -> DataFrame:
+    """df with the centred vector less its parts along the `drop` strongest components."""
+    mean, cov, _ = covariance(df, vector)
+    basis = np.linalg.eigh(cov)[1][:, len(mean) - drop :]
+    shared = df.sparkSession.sparkContext.broadcast((mean, basis))  # dim and dim x drop numbers
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        centre, top = shared.value
+        x = np.stack(s.to_numpy()).astype(np.float64) - centre
+        return pd.Series(list(x - (x @ top) @ top.T))
+
+    return df.where(F.col(vector).isNotNull()).withColumn(out, run(vector))
+
+
+def held_out_places(tiles: DataFrame, places: DataFrame, label: str, key: str, place: str, vector: str, radius: float) -> DataFrame:
+    """Leave-one-place-out: (place, removed, first_hit). Each place (label, place, other_point) is searched for by the mean of its label's tiles (label, key,
+    point, vector), but for those within the radius of it; they are what it should find, and first_hit is the rank of the first among all tiles. Places
+    without a tile near, or whose label has no other tile, are left out.
+
+    What is near is taken off the label's sums, so a fold costs its own tiles and not the training set."""
+    near = cut(distance_join(tiles.select(label, key, "point", vector), places.select(F.col(label).alias("_label"), place, "other_point"), radius, how=F.col(label) == F.col("_label")).select(label, place, key, vector))
+    sums = lambda df, *by: df.select(*by, F.posexplode(vector).alias("i", "x")).groupBy(*by, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = sums(tiles, label).select(F.col(label).alias("_l"), F.col("i").alias("_i"), F.col("s").alias("ws"), F.col("n").alias("wn"))
+    rest = sums(near, label, place).join(whole, (F.col(label) == F.col("_l")) & (F.col("i") == F.col("_i"))).where("wn > n")
+    queries = rest.groupBy(place).agg(F.max("n").alias("removed"), F.array_sort(F.collect_list(F.struct("i", ((F.col("ws") - F.col("s")) / (F.col("wn") - F.col("n"))).alias("x")))).alias("_q"))
+    queries = cut(queries.select(place, "removed", F.transform("_q", lambda e: e["x"]).alias("_q")))
+    best = near.join(queries, place).select(place, cosine(F.col(vector), F.col("_q")).alias("s"), key)
+    best = best.groupBy(place).agg(F.max(F.struct("s", (-F.col(key)).alias("k"))).alias("_best"))
+    asked = cut(queries.join(best, place))
+    scored = against(tiles.select(key, vector), asked, place).withColumn("s", cosine(F.col(vector), F.col("_q")))
+    better = (F.col("s") > F.col("_best.s")) | ((F.col("s") == F.col("_best.s")) & (-F.col(key) > F.col("_best.k")))
+    return scored.groupBy(place, "removed").agg((F.count_if(better) + 1).alias("first_hit"))
+
+
 def recall_at(hits: DataFrame, rank: str, ks: tuple[int, ...]) -> DataFrame:
     """Share of queries whose first hit ranks in the first k, and the median rank."""
     return hits.agg(*[F.avg((F.col(rank) <= k).cast("double")).alias(f"recall_at_{k}") for k in ks], F.percentile(rank, F.lit(0.5)).alias("median_rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import vectors as V
+from ..operators.graph import cut
 from ..operators.order import global_rank
 from .base import Tables, points, points_sql, query, r_sql
 
@@ -34,8 +35,6 @@ def prototype(t: Tables) -> DataFrame:
     return both.select("vec_id", rounded(V.cosine(F.col("embedding"), F.col("pa")) * 2 - V.cosine(F.col("embedding"), F.col("pb"))).alias("score"))
 
 
-_LOO = f"""{_PROTO}, s AS (SELECT q.label, e.vec_id, e.label AS truth, {_COS.format(a='e.embedding', b='q.p')} AS s FROM embeddings e, proto q WHERE e.vec_id % 10 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s)"""
 # A site is a fifth of a label's vectors. The query of a site is the mean of its label's other sites; those are out of the pool it searches.
 _SITES = 5
 _OUT = f"""t AS (SELECT vec_id, label, vec_id % {_SITES} AS site, embedding FROM embeddings), e AS (SELECT vec_id, label, site, i, CAST(embedding[i] AS DOUBLE) AS x FROM t, range(1, 65) r(i)),
@@ -67,7 +66,7 @@ SELECT """
 )
 def recall_at_k(t: Tables) -> DataFrame:
     """Leave-one-site-out recall, median rank and a bootstrap interval of the recall."""
-    hits = _first_hits(t)
+    hits = cut(_first_hits(t))  # a row a site, read by the recall and by its interval
     out = V.recall_at(hits, "first_hit", (1, 5, 20))
     ends = V.bootstrap_recall(hits, ["label", "site"], "first_hit", 20, _BOOTS)
     return out.crossJoin(ends).select(*[rounded(F.col(c)).alias(c) for c in (*out.columns, "low_20", "high_20")])  # one row each
@@ -97,24 +96,117 @@ def auc(t: Tables) -> DataFrame:
     return out.select(F.col("ql").alias("label"), F.col("qs").alias("site"), rounded(F.col("auc")).alias("auc"))
 
 
+_NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 300"
+
+
 @query(
     "emb_truth_hits",
-    f"""WITH {_LOO.replace('WITH ', '')}, tile AS ({points_sql('embeddings', 'vec_id')}), place AS ({points_sql('supplier', 's_suppkey', ', s_suppkey % 10 AS at')}),
-near AS (SELECT DISTINCT r.label, r.vec_id, r.rank FROM r JOIN tile USING (vec_id) JOIN place p ON p.at = r.label AND sqrt(power(tile.x - p.x, 2) + power(tile.y - p.y, 2)) <= 300 WHERE r.rank <= 50)
-SELECT l.label, count(n.vec_id) AS hits, min(n.rank) AS best FROM (SELECT DISTINCT label FROM r) l LEFT JOIN near n USING (label) GROUP BY l.label""",
+    f"""WITH t AS (SELECT vec_id, label, embedding, x, y FROM embeddings JOIN ({points_sql('embeddings', 'vec_id')}) USING (vec_id)), place AS ({points_sql('supplier', 's_suppkey', ', s_suppkey % 10 AS label')}),
+near AS (SELECT b.s_suppkey, a.vec_id, a.label, a.embedding FROM t a JOIN place b ON a.label = b.label AND {_NEAR}),
+own AS (SELECT s_suppkey, label, i, sum(CAST(embedding[i] AS DOUBLE)) AS s, count(*) AS n FROM near, range(1, 65) r(i) GROUP BY ALL), whole AS (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE)) AS s, count(*) AS n FROM t, range(1, 65) r(i) GROUP BY ALL),
+q AS (SELECT s_suppkey, max(own.n) AS removed, list((whole.s - own.s) / (whole.n - own.n) ORDER BY i) AS p FROM own JOIN whole USING (label, i) WHERE whole.n > own.n GROUP BY s_suppkey),
+r AS (SELECT s_suppkey, removed, vec_id, row_number() OVER (PARTITION BY s_suppkey ORDER BY {_COS.format(a='t.embedding', b='q.p')} DESC, vec_id) AS rank FROM t, q)
+SELECT r.s_suppkey, any_value(removed) AS removed, min(rank) AS first_hit FROM r JOIN near USING (s_suppkey, vec_id) GROUP BY r.s_suppkey""",
 )
 def truth_hits(t: Tables) -> DataFrame:
-    """Of the first 50 tiles of each search those within 300 m of a known place of its kind, and the rank of the first."""
-    proto = V.prototype(t.embeddings, ["label"], "embedding").withColumnRenamed("label", "q")
-    scored = V.against(t.embeddings.where("vec_id % 10 <> 0"), proto, "q").select("q", "vec_id", V.cosine(F.col("embedding"), F.col("prototype")).alias("s"))
-    top = V.ranked(scored, "q", "vec_id", "s").where("rank <= 50").select(F.col("q").alias("label"), "vec_id", "rank")
-    tiles = points(top, "vec_id", "tile")
-    places = points(t.supplier, "s_suppkey", "place").select((F.col("s_suppkey") % 10).alias("at"), "place")
-    metres = F.sqrt(F.pow(F.col("tile.x") - F.col("place.x"), 2) + F.pow(F.col("tile.y") - F.col("place.y"), 2))
-    near = tiles.join(places, (F.col("label") == F.col("at")) & (metres <= 300)).groupBy("label", "vec_id").agg(F.min("rank").alias("rank"))
-    near = near.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("hits"), F.min("rank").cast("long").alias("best"))
-    labels = proto.select(F.col("q").alias("label"))
-    return labels.join(near, F.col("label") == F.col("_l"), "left").select("label", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
+    """For each known place the rank of the first tile within 300 m of it, searched for by the tiles of its kind but those."""
+    tiles = points(t.embeddings, "vec_id")
+    places = points(t.supplier, "s_suppkey", "other_point").select("s_suppkey", (F.col("s_suppkey") % 10).alias("label"), "other_point")
+    return V.held_out_places(tiles, places, "label", "vec_id", "s_suppkey", "embedding", 300.0)
+
+
+# A fourth of each label's vectors are its seeds, the rest is searched.
+_K = 30
+_SEEDED = f"""seed AS (SELECT * FROM embeddings WHERE vec_id % 4 = 0), pool AS (SELECT * FROM embeddings WHERE vec_id % 4 <> 0),
+pos AS (SELECT label, list(m ORDER BY i) AS p FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM seed, range(1, 65) r(i) GROUP BY ALL) GROUP BY label),
+one AS (SELECT * FROM (SELECT q.label AS query, e.vec_id, e.label, e.embedding, row_number() OVER (PARTITION BY q.label ORDER BY {_COS.format(a='e.embedding', b='q.p')} DESC, e.vec_id) AS rank FROM pool e, pos q) WHERE rank <= {_K})"""
+
+
+@query(
+    "emb_feedback",
+    f"""WITH {_SEEDED}, neg AS (SELECT query, list(m ORDER BY i) AS w FROM (SELECT query, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM one, range(1, 65) r(i) WHERE label <> query GROUP BY ALL) GROUP BY query),
+sc AS (SELECT q.label AS query, e.vec_id, e.label, CASE WHEN w IS NULL THEN {_COS.format(a='e.embedding', b='q.p')} ELSE 2 * {_COS.format(a='e.embedding', b='q.p')} - {_COS.format(a='e.embedding', b='w')} END AS s FROM pool e, pos q LEFT JOIN neg ON neg.query = q.label),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM sc) WHERE rank <= {_K}),
+n AS (SELECT label, count(*) AS n FROM pool GROUP BY label)
+SELECT n.label, a.hits AS hits_before, b.hits AS hits_after, {r_sql('a.hits / n.n')} AS recall_before, {r_sql('b.hits / n.n')} AS recall_after
+FROM n JOIN (SELECT query, count(*) FILTER (WHERE label = query) AS hits FROM one GROUP BY query) a ON a.query = n.label JOIN (SELECT query, count(*) FILTER (WHERE label = query) AS hits FROM two GROUP BY query) b ON b.query = n.label""",
+)
+def feedback(t: Tables) -> DataFrame:
+    """Recall of a search, and of a second one that takes the first one's false hits as hard negatives."""
+    seeds, pool = t.embeddings.where("vec_id % 4 = 0"), t.embeddings.where("vec_id % 4 <> 0")
+    first, second = V.feedback_search(pool, seeds, "label", "vec_id", "embedding", _K)
+    a, b = (V.recall_in(f, "query", "label", pool).select("query", F.col("hits").alias(f"hits_{n}"), rounded(F.col("recall")).alias(f"recall_{n}")) for f, n in ((first, "before"), (second, "after")))
+    return a.join(b, "query").withColumnRenamed("query", "label")
+
+
+@query(
+    "emb_ensemble",
+    f"""WITH seed AS (SELECT * FROM embeddings WHERE vec_id % 4 = 0), pool AS (SELECT * FROM embeddings WHERE vec_id % 4 <> 0),
+pos AS (SELECT label, prompt, list(m ORDER BY i) AS p FROM (SELECT label, vec_id // 4 % 3 AS prompt, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM seed, range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT q.label AS query, e.vec_id, e.label, row_number() OVER (PARTITION BY q.label, q.prompt ORDER BY {_COS.format(a='e.embedding', b='q.p')} DESC, e.vec_id) AS rank FROM pool e, pos q),
+f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY best, vec_id) AS rank FROM (SELECT query, vec_id, any_value(label) AS label, min(rank) AS best FROM r WHERE rank <= {_K} GROUP BY query, vec_id))
+SELECT query AS label, count(*) FILTER (WHERE f.label = query) AS hits, {r_sql('count(*) FILTER (WHERE f.label = query) / any_value(n.n)')} AS recall FROM f JOIN (SELECT label, count(*) AS n FROM pool GROUP BY label) n ON n.label = f.query WHERE rank <= {_K} GROUP BY query""",
+)
+def ensemble(t: Tables) -> DataFrame:
+    """Recall of three prompts a label, fused by the best rank that any gives."""
+    seeds, pool = t.embeddings.where("vec_id % 4 = 0"), t.embeddings.where("vec_id % 4 <> 0")
+    prompts = V.prototype(seeds.withColumn("prompt", F.floor(F.col("vec_id") / 4) % 3), ["label", "prompt"], "embedding").withColumnRenamed("label", "query")
+    found = V.fused_search(pool, prompts, "query", "prompt", "vec_id", "embedding", _K, "label")
+    return V.recall_in(found, "query", "label", pool).select(F.col("query").alias("label"), "hits", rounded(F.col("recall")).alias("recall"))
+
+
+@query(
+    "emb_spearman",
+    f"""WITH {_PROTO}, s AS (SELECT e.label, CAST(floor({_COS.format(a='e.embedding', b='a.p')} * 100) AS BIGINT) AS x, CAST(floor({_COS.format(a='e.embedding', b='b.p')} * 100) AS BIGINT) AS y FROM embeddings e, (SELECT p FROM proto WHERE label = 1) a, (SELECT p FROM proto WHERE label = 2) b),
+r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY x) + (count(*) OVER (PARTITION BY label, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0::DOUBLE AS ry FROM s)
+SELECT label, count(*) AS n, {r_sql('corr(rx, ry)')} AS rho FROM r GROUP BY label""",
+)
+def rank_correlation(t: Tables) -> DataFrame:
+    """How two queries agree in the order of each label's vectors, scores in hundredths with their ties."""
+    proto = V.prototype(t.embeddings, ["label"], "embedding")
+    a, b = proto.where("label = 1").select(F.col("prototype").alias("pa")), proto.where("label = 2").select(F.col("prototype").alias("pb"))
+    both = t.embeddings.join(F.broadcast(a)).join(F.broadcast(b))  # one row each
+    steps = lambda p: F.floor(V.cosine(F.col("embedding"), F.col(p)) * 100).cast("long")
+    out = V.spearman(both.select("label", steps("pa").alias("x"), steps("pb").alias("y")), ["label"], "x", "y")
+    return out.select("label", F.col("n").cast("long").alias("n"), rounded(F.col("rho")).alias("rho"))
+
+
+_MOMENTS = "m AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY i), c AS (SELECT a.i, b.i AS j, avg((CAST(embedding[a.i] AS DOUBLE) - a.m) * (CAST(embedding[b.i] AS DOUBLE) - b.m)) AS c FROM embeddings, m a, m b GROUP BY ALL)"
+
+
+@query("emb_covariance", f"WITH {_MOMENTS} SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, {r_sql('c', 6)} AS value FROM c")
+def covariance(t: Tables) -> DataFrame:
+    """Covariance of all vectors' components from one partial sum a task."""
+    return V.covariance_cells(t.embeddings, "embedding").select("i", "j", rounded(F.col("value"), 6).alias("value"))
+
+
+@query(
+    "emb_whitened_covariance",
+    "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id = 0), (SELECT unnest(range(len(embedding))) AS j FROM embeddings WHERE vec_id = 0)",
+)
+def whitened_covariance(t: Tables) -> DataFrame:
+    """Covariance of the whitened vectors before they get unit length: no two components go together, and each varies by one."""
+    white = V.whiten(t.embeddings, "embedding", "white", unit=False)
+    return V.covariance_cells(white, "white").select("i", "j", (rounded(F.col("value"), 6) + 0.0).alias("value"))
+
+
+def _power_sql(squarings: int) -> str:
+    """p: the covariance squared again and again, each time by its trace, which leaves the strongest component times itself."""
+    square = "list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: list_dot_product(m[i], m[j])))"
+    over = "list_transform(q, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(range(1, 65), lambda i: q[i][i]))))"
+    return ", ".join(f"p{k + 1} AS MATERIALIZED (SELECT {over} AS m FROM (SELECT {square} AS q FROM p{k}))" for k in range(squarings))
+
+
+@query(
+    "emb_drop_top",
+    f"""WITH {_MOMENTS}, p0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)), {_power_sql(12)},
+x AS (SELECT vec_id, list(CAST(embedding[i] AS DOUBLE) - m ORDER BY i) AS x FROM embeddings, m GROUP BY vec_id)
+SELECT vec_id, {r_sql('list_dot_product(x, x)')} AS whole, {r_sql('list_dot_product(x, x) - list_dot_product(x, list_transform(m, lambda r: list_dot_product(r, x)))')} AS rest FROM x, p12""",
+)
+def drop_top(t: Tables) -> DataFrame:
+    """Squared length of each centred vector, and of what is left of it without the strongest component (V02); the SQL finds that by powers of the covariance."""
+    rest = V.without_components(V.without_components(t.embeddings, "embedding", "whole", 0), "embedding", "rest", 1)
+    return rest.select("vec_id", *[rounded(V.dot(F.col(c), F.col(c))).alias(c) for c in ("whole", "rest")])
 
 
 @query("emb_fusion", "WITH a AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier), b AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier), u AS (SELECT key, rank * 2 AS place, 0 AS list FROM a UNION ALL SELECT key, rank * 2 + 1, 1 FROM b) SELECT key, arg_min(list, place) AS list, row_number() OVER (ORDER BY min(place)) AS rank FROM u GROUP BY key")
