@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..functions import polygon_udf as P
 from ..functions.numeric import rounded
 from ..operators import graph, landcover, overlay, spatial
+from ..operators.quantiles import exact_quantiles
 from .base import Tables, lat, lat_sql, lon, lon_sql, points, points_sql, query, r_sql
 
 CUST, SUPP, PART = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey", "", 0.0006, 0.0003), points_sql("part", "p_partkey", "", 0.0002, 0.0001)
@@ -91,7 +92,9 @@ def nearest(t: Tables) -> DataFrame:
 @query("geo_nn_bands", f"WITH {_NEAREST} SELECT {r_sql('quantile_cont(d, 0.5)', 2)} AS median_m, " + ", ".join(f"count(*) FILTER (WHERE d <= {m}) AS within_{m}" for m in (100, 500, 1000, 5000, 10000)) + " FROM nearest")
 def nn_bands(t: Tables) -> DataFrame:
     """Median nearest distance and counts in bands."""
-    return _nearest(t).agg(rounded(F.percentile("distance_m", F.lit(0.5)), 2).alias("median_m"), *[F.count_if(F.col("distance_m") <= m).alias(f"within_{m}") for m in (100, 500, 1000, 5000, 10000)])
+    found = graph.cut(_nearest(t).select("distance_m"))
+    median = exact_quantiles(found, [], "distance_m", [0.5]).select(rounded(F.col("q")[0], 2).alias("median_m"))
+    return median.crossJoin(found.agg(*[F.count_if(F.col("distance_m") <= m).alias(f"within_{m}") for m in (100, 500, 1000, 5000, 10000)]))  # one row each
 
 
 @query("geo_three_way", f"WITH n AS (SELECT c_custkey, s_suppkey FROM ({CUST}) a JOIN ({SUPP}) b ON {DIST} <= 300), m AS (SELECT c_custkey, p_partkey FROM ({CUST}) a JOIN ({PART}) b ON {DIST} <= 300) SELECT c_custkey, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT p_partkey) AS parts FROM n JOIN m USING (c_custkey) GROUP BY ALL")

@@ -10,6 +10,7 @@ from ..functions.numeric import rounded
 from ..operators import landcover as L
 from ..operators import overlay
 from ..operators import raster as R
+from ..operators.quantiles import exact_quantiles
 from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
 
 # Order priorities stand in for classes; the first two for development.
@@ -150,8 +151,8 @@ def mosaic_first_valid(t: Tables) -> DataFrame:
 @query("pix_stretch", "WITH q AS (SELECT event_type, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events GROUP BY ALL) SELECT event_id, CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value - lo) / nullif(hi - lo, 0))) * 255) AS INT) AS level FROM events JOIN q USING (event_type)")
 def contrast_stretch(t: Tables) -> DataFrame:
     """2 to 98 percent stretch of each band."""
-    q = t.events.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    return t.events.join(F.broadcast(q), "event_type").select("event_id", R.stretch(F.col("value"), F.col("q")[0], F.col("q")[1]).alias("level"))  # one row a band
+    q = exact_quantiles(t.events, ["event_type"], "value", [0.02, 0.98]).withColumnRenamed("event_type", "_type")
+    return t.events.join(q, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_id", R.stretch(F.col("value"), F.col("q")[0], F.col("q")[1]).alias("level"))
 
 
 @query(
