@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rounded
 from ..operators.graph import shared_dir
-from ..sources import geojson, manifest, texts, wkb, workbook, xlsx
+from ..sources import curve, datasource, geojson, manifest, texts, wkb, workbook, xlsx
 from .base import Tables, lat, lat_sql, lon, lon_sql, query, r_sql
 
 
@@ -46,8 +47,6 @@ def json_manifest(t: Tables) -> DataFrame:
 @query("io_geojson_features", f"SELECT s_suppkey, s_name, {r_sql(lon_sql('s_suppkey'), 6)} AS lon, {r_sql(lat_sql('s_suppkey'), 6)} AS lat FROM supplier")
 def geojson_features(t: Tables) -> DataFrame:
     """Point features written as JSON and parsed from a collection (S02 K02 G-C)."""
-    from ..functions.numeric import rounded
-
     key = F.col("s_suppkey")
     features = t.supplier.select(geojson.point_feature(lon(key), lat(key), F.struct("s_suppkey", "s_name")).alias("f"), (key % 5).alias("part"))
     collections = features.groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("doc"))
@@ -137,3 +136,37 @@ def page_files(t: Tables) -> DataFrame:
     assert pdf.first().n == 2
     obs = texts.read_observations(t.spark, f"{base}/observations")
     return obs.groupBy(F.col("page").cast("int").alias("documents")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_extract("text", "[0-9]+", 0).cast("long")).alias("total"))
+
+
+@query("io_geojson_source", f"SELECT c_custkey, c_mktsegment, {r_sql(lon_sql('c_custkey'), 6)} AS lon, {r_sql(lat_sql('c_custkey'), 6)} AS lat FROM customer WHERE {lon_sql('c_custkey')} >= -88.25 AND {lon_sql('c_custkey')} < -88.15 AND {lat_sql('c_custkey')} <= 41.85")
+def geojson_source(t: Tables) -> DataFrame:
+    """Features written by df.write and read by spark.read of the format geojson, bounds handed to the reader."""
+    path, key = _scratch(t), F.col("c_custkey")
+    datasource.register(t.spark)
+    geometry = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon(key), lat(key)).alias("coordinates")))
+    t.customer.select("c_custkey", "c_mktsegment", geometry.alias("geometry")).write.format("geojson").mode("append").save(path)
+    found = datasource.read(t.spark, "geojson", path).where("xmin >= -88.25 and xmax < -88.15 and ymax <= 41.85")
+    p = F.from_json("properties", "c_custkey long, c_mktsegment string").alias("p")
+    return found.select(p, "xmin", "ymin").select("p.*", rounded(F.col("xmin"), 6).alias("lon"), rounded(F.col("ymin"), 6).alias("lat"))
+
+
+@query("io_xlsx_source", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def xlsx_source(t: Tables) -> DataFrame:
+    """Sheets written by df.write and read by spark.read of the format xlsx, a partition a sheet."""
+    path = _scratch(t)
+    datasource.register(t.spark)
+    t.supplier.select("s_suppkey", "s_name", "s_nationkey", F.lit(None).cast("string").alias("empty")).repartition(4, "s_suppkey").write.format("xlsx").mode("append").save(path)
+    cells = datasource.read(t.spark, "xlsx", path).where("row > 1 and sheet = 'Sheet1'")
+    return xlsx.header_rows(cells, ["key", "name", "nation"], ["path"]).select("key", "name", "nation")
+
+
+_EXTENT, _SOUGHT, _DAYS = (-88.3, 41.7, -88.05, 41.9), (-88.25, 41.72, -88.15, 41.85), ("2024-01-03 00:00:00", "2024-01-20 00:00:00")
+
+
+@query("io_pruned_extract", f"SELECT event_id, event_type, value FROM events WHERE {lon_sql('user_id')} BETWEEN {_SOUGHT[0]} AND {_SOUGHT[2]} AND {lat_sql('user_id')} BETWEEN {_SOUGHT[1]} AND {_SOUGHT[3]} AND ts BETWEEN TIMESTAMP '{_DAYS[0]}' AND TIMESTAMP '{_DAYS[1]}'")
+def pruned_extract(t: Tables) -> DataFrame:
+    """An extract laid out along a curve of places and by month, and the rows of some bounds and dates, of which folders say most."""
+    path = _scratch(t)
+    placed = t.events.withColumns({"lon": lon(F.col("user_id")), "lat": lat(F.col("user_id"))})
+    curve.write_extract(placed, path, "lon", "lat", "ts", _EXTENT)
+    return curve.read_extract(t.spark, path, "lon", "lat", "ts", _EXTENT, _SOUGHT, _DAYS).select("event_id", "event_type", "value")
