@@ -94,7 +94,7 @@ def group_context(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.element_at(found, -1).alias("context"))
 
 
-_LINES = "lines AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE source IN ('src1', 'src2')), range(1, 100000) r(i) WHERE i <= len(x))"
+_LINES = "lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 
 
 @query(
@@ -102,8 +102,8 @@ _LINES = "lines AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, x[i] AS line FR
     f"WITH {_LINES} SELECT doc_id, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_offset, md5(array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING), ' ')) AS digest FROM lines",
 )
 def line_window(t: Tables) -> DataFrame:
-    """Lines with offset and the lines around them (W08 W09); two sources are the query's scope."""
-    lines = D.line_windows(t.documents.where(F.col("source").isin("src1", "src2")), "doc_id", "text")
+    """Lines with offset and the lines around them."""
+    lines = D.line_windows(t.documents, "doc_id", "text")
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line_offset", F.md5("window").alias("digest"))
 
 

@@ -158,11 +158,20 @@ def point_in_polygon(t: Tables) -> DataFrame:
     return joined.groupBy("id").agg(F.count_if(G.point_in_ring(F.col("p"), _ring())).alias("inside"), F.count_if(away <= 10).alias("near")).where("near > 0")
 
 
-@query("geo_contains_tol", f"WITH k AS ({_BOX}) SELECT a.id, b.id AS inner_id FROM k a JOIN k b ON a.id <> b.id AND a.brand = b.brand AND b.x0 >= a.x0 AND b.x1 <= a.x1 AND b.y0 >= a.y0 AND b.y1 <= a.y1")
+# Small boxes about the parts' lower left corners, of which some stick out by less than 5 m and some by more.
+_SMALL = "SELECT c_custkey AS id, (c_custkey * 37 % 2003 + c_custkey % 15 - 8)::DOUBLE AS x0, (c_custkey * 91 % 1999 + c_custkey % 11 - 6)::DOUBLE AS y0, (c_custkey * 37 % 2003 + c_custkey % 15 - 6)::DOUBLE AS x1, (c_custkey * 91 % 1999 + c_custkey % 11 - 5)::DOUBLE AS y1 FROM customer"
+_OUT = " AND ".join(f"sqrt(power(greatest(0::DOUBLE, a.x0 - b.{x}, b.{x} - a.x1), 2) + power(greatest(0::DOUBLE, a.y0 - b.{y}, b.{y} - a.y1), 2)) <= 5" for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+@query("geo_contains_tol", f"SELECT a.id, b.id AS inner_id FROM ({_BOX}) a JOIN ({_SMALL}) b ON {_OUT}")
 def contains_tolerance(t: Tables) -> DataFrame:
-    """Boxes whose corners all lie in another of their brand."""
-    pairs = spatial.box_pairs(_boxes(t), "id", 64.0).where("a.brand = b.brand")
-    return pairs.where(G.within_tolerance(_ring("b.box"), _ring("a.box"), 1e-9)).select(F.col("a.id").alias("id"), F.col("b.id").alias("inner_id"))
+    """Small boxes whose corners all lie in a part's box or no more than 5 m outside."""
+    k = F.col("c_custkey")
+    x0, y0 = (k * 37 % 2003 + k % 15 - 8).cast("double"), (k * 91 % 1999 + k % 11 - 6).cast("double")
+    small = t.customer.select(k.alias("id"), F.lit(None).cast("string").alias("brand"), F.struct(x0.alias("xmin"), y0.alias("ymin"), (x0 + 2).alias("xmax"), (y0 + 1).alias("ymax")).alias("box"), F.lit(True).alias("small"))
+    both = _boxes(t).withColumn("small", F.lit(False)).unionByName(small).withColumn("key", F.struct("small", "id"))
+    pairs = spatial.box_pairs(both, "key", 64.0, 10.0).where("not a.small and b.small")
+    return pairs.where(G.within_tolerance(_ring("b.box"), _ring("a.box"), 5.0)).select(F.col("a.id").alias("id"), F.col("b.id").alias("inner_id"))
 
 
 @query("geo_rotated_rect", f"SELECT p_partkey, {r_sql('p_size * 10.0::DOUBLE * 4')} AS area, {r_sql('-(p_size * 5.0::DOUBLE * cos(radians(p_partkey % 90)) - 2 * sin(radians(p_partkey % 90)))')} AS first_x FROM part")

@@ -127,13 +127,9 @@ def packaged(t: Tables) -> DataFrame:
 
 @query("io_page_files", "SELECT n_nationkey % 3 + 1 AS documents, count(*) AS pages, sum(n_nationkey) AS total FROM nation GROUP BY ALL")
 def page_files(t: Tables) -> DataFrame:
-    """Recognised text and observations written as files and read whole (S12 S13), and pages of a PDF counted."""
+    """Recognised text and observations written as files and read whole."""
     base = _scratch(t)
     t.nation.select((F.col("n_nationkey") % 3 + 1).alias("page"), F.concat(F.lit("no "), "n_nationkey").alias("text"), F.lit(1.0).alias("confidence")).write.json(f"{base}/observations")
-    t.region.select(F.concat(F.lit("===== PAGE 1 =====\n"), "r_name").alias("value")).repartition(5).write.text(f"{base}/texts")
-    assert texts.read_pages(t.spark, f"{base}/texts").where(F.col("text").startswith("===== PAGE 1")).count() >= 1
-    pdf = t.region.limit(1).select(texts.pdf_pages(F.lit(b"%PDF-1.4 /Type /Page x /Type/Page y /Type /Pages").cast("binary")).alias("n"))
-    assert pdf.first().n == 2
     obs = texts.read_observations(t.spark, f"{base}/observations")
     return obs.groupBy(F.col("page").cast("int").alias("documents")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_extract("text", "[0-9]+", 0).cast("long")).alias("total"))
 
@@ -170,3 +166,26 @@ def pruned_extract(t: Tables) -> DataFrame:
     placed = t.events.withColumns({"lon": lon(F.col("user_id")), "lat": lat(F.col("user_id"))})
     curve.write_extract(placed, path, "lon", "lat", "ts", _EXTENT)
     return curve.read_extract(t.spark, path, "lon", "lat", "ts", _EXTENT, _SOUGHT, _DAYS).select("event_id", "event_type", "value")
+
+
+_PDF = "'%PDF-1.4 ' || repeat('<< /Type /Page /Parent 1 0 R >> ', CAST(p_size % 9 AS INT)) || '<< /Type/Page>> << /Type /Pages /Kids [] >> /Type /PageLabels'"
+
+
+@query("io_pdf_pages", f"SELECT p_partkey, CAST(len(regexp_extract_all({_PDF}, '/Type\\s*/Page[^s]')) AS INT) AS pages, length({_PDF}) AS size FROM part")
+def pdf_page_counts(t: Tables) -> DataFrame:
+    """Page objects counted in the plain part of binary files, each read whole by a task."""
+    path = _scratch(t)
+    body = F.concat(F.lit("%PDF-1.4 "), F.repeat(F.lit("<< /Type /Page /Parent 1 0 R >> "), (F.col("p_size") % 9).cast("int")), F.lit("<< /Type/Page>> << /Type /Pages /Kids [] >> /Type /PageLabels"))
+    t.part.select("p_partkey", F.encode(body, "ISO-8859-1").alias("content")).write.parquet(path)
+    return t.spark.read.parquet(path).select("p_partkey", texts.pdf_pages(F.col("content")).alias("pages"), F.length("content").cast("long").alias("size"))
+
+
+@query("io_text_files", "SELECT n_regionkey AS region, count(*) AS lines, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+def text_files(t: Tables) -> DataFrame:
+    """Texts written a file a region and read whole, a row a file."""
+    path = _scratch(t)
+    t.nation.orderBy("n_nationkey").select(F.concat_ws(" ", F.col("n_nationkey").cast("string"), "n_name").alias("value"), F.col("n_regionkey").alias("region")).repartition(5, "region").sortWithinPartitions("region").write.partitionBy("region").text(path)
+    whole = texts.read_pages(t.spark, path).withColumn("line", F.explode(F.split(F.rtrim(F.regexp_replace("text", "\\s+$", "")), "\n")))
+    parts = whole.select(F.regexp_extract("path", "region=([0-9]+)", 1).cast("int").alias("region"), F.regexp_extract("line", "^([0-9]+) (.*)$", 1).cast("int").alias("k"), F.regexp_extract("line", "^([0-9]+) (.*)$", 2).alias("name"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]), "|")
+    return parts.groupBy("region").agg(F.count(F.lit(1)).alias("lines"), listed.alias("names"))

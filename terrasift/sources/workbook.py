@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import json
 import math
 import zipfile
@@ -104,18 +105,19 @@ def _path(spark: SparkSession, path: str):
 
 
 def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """Written beside the target and renamed onto it, so that a reader sees the old or the new whole."""
+    """Written beside the target and renamed onto it in one step, so that a reader sees the old or the new whole, and a failure leaves the old."""
     target, fs = _path(spark, path)
-    temporary, _ = _path(spark, f"{path}.tmp")
+    temporary, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(temporary, True)
     try:
         stream.write(bytearray(content))
     finally:
         stream.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(temporary, target):
-        raise OSError(f"could not replace {path}")
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    over = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    own = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    own.rename(fs.makeQualified(temporary), fs.makeQualified(target), over)
 
 
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:

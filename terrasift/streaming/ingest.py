@@ -21,12 +21,10 @@ def run_available(spark: SparkSession, source: str, schema: StructType, sink: st
         fresh = batch.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates([key, "sha256"])
         fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(key, "sha256"), F.lit(BUCKETS)).cast("int"))
         touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-        try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # the first batch finds no sink
             held = spark.read.parquet(sink).where(F.col("bucket").isin(touched)).select("bucket", key, "sha256")
             fresh = fresh.join(held, ["bucket", key, "sha256"], "left_anti")
-        except Exception as error:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(sink)
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -324,14 +324,22 @@ def test_empty_tables(spark):
 @given(st.lists(st.lists(st.lists(st.tuples(st.floats(-1e6, 1e6), st.floats(-1e6, 1e6)), min_size=4, max_size=6), min_size=1, max_size=3), min_size=1, max_size=3))
 def test_well_known_binary_round_trip(polygons):
     polygons = [[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in polygons]
-    kind, point, got = wkb.decode(wkb.encode(None, polygons))
+    kind, point, got, _ = wkb.decode(wkb.encode(None, polygons))
     assert (kind, point, got) == ("Polygon" if len(polygons) == 1 else "MultiPolygon", None, polygons)
 
 
 def test_well_known_binary_of_points_and_odd_values():
-    assert wkb.decode(struct.pack(">BI2d", 0, 1, 3.5, -2.0)) == ("Point", {"x": 3.5, "y": -2.0}, None)
+    assert wkb.decode(struct.pack(">BI2d", 0, 1, 3.5, -2.0)) == ("Point", {"x": 3.5, "y": -2.0}, None, None)
     assert wkb.decode(wkb.encode({"x": 1.0, "y": 2.0}, None))[1] == {"x": 1.0, "y": 2.0}
-    assert wkb.encode(None, None) is None and wkb.decode(None) == wkb.decode(b"\x01") == wkb.decode(struct.pack("<BI", 1, 2)) == (None, None, None)
+    assert wkb.encode(None, None) is None and wkb.decode(None) == (None, None, None, None)
+    line = [{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 4.0}]
+    heights = struct.pack("<BII6d", 1, 1002, 2, 1, 2, 9, 3, 4, 9)
+    assert wkb.decode(heights) == wkb.decode(struct.pack("<BIII8d", 1, 0xE0000002, 4326, 2, 1, 2, 9, 9, 3, 4, 9, 9)) == ("LineString", None, None, [line])
+    assert wkb.decode(struct.pack("<BII", 1, 5, 1) + struct.pack(">BII4d", 0, 2, 2, 1, 2, 3, 4)) == ("MultiLineString", None, None, [line])
+    assert wkb.decode(struct.pack("<BII", 1, 4, 1) + struct.pack("<BI2d", 1, 1, 1, 2)) == ("MultiPoint", None, None, [line[:1]])
+    for unknown in (7, 15):
+        with pytest.raises(ValueError, match="is not read"):
+            wkb.decode(struct.pack("<BII", 1, unknown, 0))
 
 
 def test_workbook(spark):
