@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
@@ -31,27 +31,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links written, and what their number and the sum of their hashes were on the way, so that no job counts them."""
+    seen = Observation()
+    marked = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"))
+    kept = cut(marked)
+    return kept, (seen.get["n"], seen.get["h"])
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each reaches, itself if it has no edge. Any orderable node type.
 
-    Rounds of: every node takes the smallest component among its own and its neighbours', and every component root the
-    smallest that its members saw; about log of the longest path of them. Sums are pre-aggregated; a round reads what the
-    one before wrote."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = cut(both.union(both.select("v", "u")).distinct())
-    labels = cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct())
+    Links point from the larger to the smaller node. In a round each node hands its larger neighbours on to the smallest node that it is linked with, and
+    then its other smaller neighbours to the smallest of these; about log of the longest path of rounds leave one link a node. Only linked
+    nodes take part, and links that come to the same are one, so rounds get smaller; minima are pre-aggregated. A round reads what the one
+    before wrote."""
+    u, v = F.col(a), F.col(b)
+    links, state = _kept(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
-        seen = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("seen"))
-        near = labels.join(seen, labels.node == seen.u, "left").select("node", "component", F.least("component", F.coalesce("seen", "component")).alias("low"))
-        roots = near.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("lowest"))
-        moved = near.join(roots, near.component == roots.root).select("node", "component", F.least("low", "lowest").alias("next"))
-        up = moved.select(F.col("node").alias("at"), F.col("next").alias("beyond"))
-        jumped = cut(moved.join(up, F.col("next") == F.col("at"), "left").select("node", "component", F.least("next", F.coalesce("beyond", "next")).alias("next")))
-        open_ = jumped.where("next <> component").limit(1).count()
-        labels = jumped.select("node", F.col("next").alias("component"))
-        if not open_:
-            return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if not state[0]:
+            break
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
+        handed = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        least = handed.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
+        beside = handed.join(least, F.col("u") == F.col("_u")).where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+        was = state
+        links, state = _kept(beside.union(least.select("_u", "_m")).distinct())
+        if was == state:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    every = nodes.select(F.col(node).alias("node")).distinct()
+    return cut(every.join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component")))
 
 
 def numbered(labels: DataFrame, prefix: str, width: int, order: list | None = None) -> DataFrame:
