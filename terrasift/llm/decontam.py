@@ -20,6 +20,9 @@ EDIT_RATE = 0.1
 BLOCK_CHARS = 16_000_000
 #: Text is looked through in chunks of so many characters, which overlap by more than the longest region.
 CHUNK = 500_000
+#: Matches of q-grams that are looked at at once, and regions whose alignment is remembered.
+MATCHES = 1 << 20
+VERIFIED = 1 << 16
 _LEADING_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 
@@ -115,46 +118,65 @@ class BenchmarkIndex:
         self.overlap = int((self.length + 4 * self.budget + 2 * Q).max(initial=0)) + 2
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """Item place -> (edits, start, end) of its best region in normalised text."""
+        """Item place -> (edits, start, end) of its best region in normalised text. Of an item that has been found without an edit nothing later is
+        better, so it is not looked for any more."""
         found: dict[int, tuple[int, int, int]] = {}
         chunk = max(CHUNK, 4 * self.overlap)
         for at in range(0, max(1, len(text)), chunk):
             part = text[at : at + chunk + self.overlap]
-            for k, (edits, start, end) in self._regions(part):
-                hit = (edits, at + start, at + end)
-                if k not in found or hit < found[k]:
-                    found[k] = hit
+            codes = _codes(part)
+            for k in self.short:
+                if k not in found and (i := part.find(self.items[k][1])) >= 0:
+                    found[k] = (0, at + i, at + i + int(self.length[k]))
+            for postings in self.grams.values():
+                verified: dict[tuple[int, str], tuple[int, int, int] | None] = {}  # what a repetitive text says again and again is aligned once
+                for met in postings.meet(codes, self.overlap):
+                    for k, (edits, start, end) in self._banded(part, codes, found, verified, *met):
+                        hit = (edits, at + start, at + end)
+                        if k not in found or hit < found[k]:
+                            found[k] = hit
         return found
 
-    def _regions(self, text: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
-        for k in self.short:
-            if (at := text.find(self.items[k][1])) >= 0:
-                yield k, (0, at, at + int(self.length[k]))
-        codes = _codes(text)
-        for postings in self.grams.values():
-            yield from self._banded(text, codes, *postings.meet(codes))
-
-    def _banded(self, text: str, codes: np.ndarray, where: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
-        """Regions of the items `owner` whose q-grams at `place` stand at `where`."""
-        if len(where) == 0:
+    def _banded(self, text: str, codes: np.ndarray, found: dict, verified: dict, where: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """Regions of the items `owner` whose q-grams at `place` stand at `where`, by item and from the left."""
+        done = [k for k, hit in found.items() if hit[0] == 0]
+        if done and len(where):
+            open_ = ~np.isin(owner, done)
+            where, owner, place = where[open_], owner[open_], place[open_]
+        if not len(where):
             return
-        diagonal = where - place
-        step = self.budget[owner] + 1
-        band = np.floor_divide(diagonal, step)
+        band = np.floor_divide(where - place, self.budget[owner] + 1)
+        names, own = np.unique(owner, return_inverse=True)
         # bands are two steps wide and overlap by one: diagonals that drift by a step at most share a band
-        both = np.concatenate([owner * (1 << 40) + band + (1 << 30), owner * (1 << 40) + band - 1 + (1 << 30)])
-        keys, shared = np.unique(both, return_counts=True)
-        k, b = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 30)
+        low, bands, places = int(band.min()) - 1, int(band.max() - band.min()) + 2, int(place.max()) + 1
+        key = own * bands + (band - low)
+        if len(names) * bands * places < 1 << 62:
+            met = np.concatenate([key * places + place, (key - 1) * places + place])
+            met.sort()
+            met = met[np.concatenate([[True], met[1:] != met[:-1]])] // places
+        else:
+            order = np.lexsort((np.tile(place, 2), both := np.concatenate([key, key - 1])))
+            both, twice = both[order], np.tile(place, 2)[order]
+            met = both[np.concatenate([[True], (both[1:] != both[:-1]) | (twice[1:] != twice[:-1])])]
+        # a frequent q-gram may meet the same place of the item again and again: only different places count
+        first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        keys, shared = met[first], np.diff(np.append(first, len(met)))
+        k, b = names[keys // bands], keys % bands + low
         keep = shared >= self.need[k]
         for k, b in zip(k[keep].tolist(), b[keep].tolist(), strict=True):
-            # a frequent q-gram may meet the same place of the item again and again: only different places count
-            if len(np.unique(place[(owner == k) & ((band == b) | (band == b + 1))])) < self.need[k]:
+            if k in found and found[k][0] == 0:
                 continue
             budget = int(self.budget[k])
             start = max(0, b * (budget + 1) - budget)
             end = min(len(codes), (b + 2) * (budget + 1) + int(self.length[k]) + budget)
-            if end > start and (hit := self._verify(k, codes[start:end], text[start:end])):
-                yield k, (hit[0], start + hit[1], start + hit[2])
+            if end > start:
+                region = (k, text[start:end])
+                if region not in verified:
+                    if len(verified) >= VERIFIED:
+                        verified.clear()
+                    verified[region] = self._verify(k, codes[start:end], region[1])
+                if hit := verified[region]:
+                    yield k, (hit[0], start + hit[1], start + hit[2])
 
     def _verify(self, k: int, region: np.ndarray, text: str) -> tuple[int, int, int] | None:
         if (at := text.find(self.items[k][1])) >= 0:
@@ -185,19 +207,26 @@ class Postings:
         # where the q-grams of each leading bits begin
         self.first = np.searchsorted(self.gram >> np.uint64(64 - _LEADING_BITS), np.arange((1 << _LEADING_BITS) + 1, dtype=np.uint64)).astype(np.int32) if len(order) else None
 
-    def meet(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of every q-gram that both have."""
+    def meet(self, codes: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, item, place in the item) of every q-gram that both have, in parts of the text with about MATCHES of them, which
+        overlap by the longest region."""
         if self.first is None or len(codes) < self.q:
-            return (np.empty(0, np.int64),) * 3
+            return
         grams = _qgrams(codes, self.q)
         lead = (grams >> np.uint64(64 - _LEADING_BITS)).astype(np.int32)
-        low = self.first[lead]
-        where = np.flatnonzero(self.first[lead + 1] > low)
-        low, count = low[where], (self.first[lead[where] + 1] - low[where])
-        post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.empty(0, np.int64)
-        where = np.repeat(where, count)
-        same = self.gram[post] == grams[where]
-        return where[same], self.owner[post[same]], self.place[post[same]]
+        lows = self.first[lead]
+        counts = self.first[lead + 1] - lows
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        at = 0
+        while at < len(grams):
+            stop = min(len(grams), max(at + 2 * overlap, int(np.searchsorted(upto, upto[at] + MATCHES))))
+            where = at + np.flatnonzero(counts[at:stop])
+            low, count = lows[where].astype(np.int64), counts[where].astype(np.int64)
+            post = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.empty(0, np.int64)
+            where = np.repeat(where, count)
+            same = self.gram[post] == grams[where]
+            yield where[same], self.owner[post[same]], self.place[post[same]]
+            at = stop - overlap if stop < len(grams) else stop
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
