@@ -17,7 +17,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements that are no part of an article wherever they stand.
-DROPPED = frozenset("script style noscript template iframe object embed svg canvas math head title nav footer aside form button select option textarea input label fieldset dialog menu audio video noembed noframes xmp".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg head title nav footer aside button select option textarea input fieldset dialog menu audio video noembed noframes xmp".split())
 #: Dropped outside the chosen container only.
 OUTER = frozenset({"header"})
 #: Words of a class, id or role that mark what is no part of an article: what readers write, which nothing else tells from an article, and ...
@@ -28,7 +28,7 @@ MARKS = READERS | frozenset(
     " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail widget widgets related recommended share sharing social footer foot masthead topbar toolbar"
     " login search pagination pager skip".split()
 )
-MOST = 0.6
+MOST = 0.5
 #: Elements that hosts vote on whether they say the same on many pages, and those that are dropped if they are little but links.
 PARTS = frozenset("div section header ul ol dl table p td center main".split())
 LISTS = frozenset("div section header ul ol dl table td center".split())
@@ -52,12 +52,12 @@ BONUS = {"article": 1.5, "main": 1.2, "body": 0.5, "section": 1.0, "div": 1.0, "
 
 
 class Node:
-    __slots__ = ("tag", "path", "depth", "spot", "mark", "dropped", "parent", "parts", "text", "links", "anchors", "paragraphs")
+    __slots__ = ("tag", "path", "depth", "spot", "mark", "dropped", "parent", "parts", "text", "links", "anchors", "paragraphs", "said")
 
     def __init__(self, tag: str, path: str, depth: int, spot: str, mark: int, dropped: bool, parent: Node | None):
         self.tag, self.path, self.depth, self.spot, self.mark, self.dropped, self.parent = tag, path, depth, spot, mark, dropped, parent
         self.parts: list = []  # texts, None for a block's edge, nodes
-        self.text = self.links = self.anchors = self.paragraphs = 0
+        self.text = self.links = self.anchors = self.paragraphs = self.said = 0
 
 
 def _step(tag: str, attributes: str) -> tuple[str, int]:
@@ -129,13 +129,19 @@ def parse(page: str, repeated: frozenset[str] = frozenset()) -> Node:
 
 
 def _measure(node: Node, every: bool) -> None:
-    """Characters of text, of them in links, links and paragraphs below each node; not what is dropped, nor headers outside an article unless `every`."""
+    """Characters of text, of them in links, links and paragraphs below each node, and, but with `every`, a hash of what it says, from its own words and
+    the hashes of its elements; not what is dropped, nor headers outside an article unless `every`."""
+    import xxhash
+
     stack: list[tuple[Node, bool]] = [(node, False)]
     while stack:
         n, done = stack.pop()
         if done:
             n.text = n.links = n.anchors = n.paragraphs = 0
+            said = xxhash.xxh64()
             for x in n.parts:
+                if not every and (isinstance(x, str) or isinstance(x, Node) and not x.dropped and x.text):
+                    said.update(" ".join(x.split()).encode("utf-8", "surrogatepass") if isinstance(x, str) else x.said.to_bytes(8, "little"))
                 if isinstance(x, str):
                     n.text += len(x.strip())
                 elif x is not None and not x.dropped and (every or x.tag not in OUTER):
@@ -143,13 +149,14 @@ def _measure(node: Node, every: bool) -> None:
                     n.links += x.text if x.tag == "a" else x.links
                     n.anchors += x.anchors + (x.tag == "a")
                     n.paragraphs += x.paragraphs + (x.tag == "p" and x.text > 0)
+            n.said = said.intdigest()
         else:
             stack.append((n, True))
             stack += [(x, False) for x in n.parts if isinstance(x, Node) and not x.dropped]
 
 
 def _judge(root: Node) -> None:
-    """Drop what readers write, other marked elements that don't hold most of the text, lists of links, and headers of the site: those in no article
+    """Drop what readers write, other marked elements that don't hold most of the text, forms but for one with paragraphs around most of it, lists of links, and headers of the site: those in no article
     that have a menu or a mark, or stand at the top of the body."""
     stack = [(root, False)]
     while stack:
@@ -158,7 +165,9 @@ def _judge(root: Node) -> None:
             if isinstance(x, Node) and not x.dropped:
                 links = x.tag in LISTS and x.anchors >= LEAST_LINKS and x.links >= LINK_SHARE * x.text
                 site = x.tag in OUTER and not inside and (n.tag in ("", "html", "body") or x.mark or x.anchors >= LEAST_LINKS)
-                x.dropped = x.mark == 2 or (x.mark == 1 and x.text <= MOST * root.text) or links or site
+                most = x.text > MOST * root.text
+                form = x.tag == "form" and not (most and x.paragraphs)
+                x.dropped = x.mark == 2 or (x.mark == 1 and not most) or form or links or site
                 if not x.dropped:
                     stack.append((x, inside or x.tag in ("article", "main")))
 
@@ -190,13 +199,11 @@ def votes(page: str, root: Node | None = None) -> dict[str, float]:
 
 def parts(root: Node) -> Iterator[tuple[str, int, float]]:
     """(spot, hash of what it says, share of the page's text) of the elements that hosts vote on; plain paragraphs and containers say too little."""
-    import xxhash
-
     stack = [root]
     while stack:
         n = stack.pop()
         if n.spot and n.text and ("." in n.spot.rpartition("/")[2] or n.tag in LISTS - {"div", "section", "td", "center"}):
-            yield n.spot, xxhash.xxh64_intdigest(" ".join(_read(n)).encode("utf-8", "surrogatepass")) >> 1, n.text / max(1, root.text)
+            yield n.spot, n.said >> 1, n.text / max(1, root.text)
         stack += [x for x in n.parts if isinstance(x, Node) and not x.dropped]
 
 

@@ -5,6 +5,7 @@ import html
 import itertools
 import math
 import re
+import time
 import tracemalloc
 import unicodedata
 import zlib
@@ -473,6 +474,27 @@ def test_parts_of_a_site_are_no_article(spark):
     assert all(got[20 + i] == f"{i} is what the article says. And it says {i} at length." for i in range(6))
 
 
+def test_articles_are_kept_whole():
+    """A page wrapped in one form, formulas and labels in an article, and an article whose class has a word of a mark."""
+    body = "<p>" + "The article goes on about its matter. " * 8 + "</p>"
+    wrapped = f'<body><form action="/page"><input type="hidden" value="x"><nav>Menu</nav><div class="content">{body}</div></form></body>'
+    assert html_consensus.extract(wrapped, None) == " ".join(("The article goes on about its matter. " * 8).split())
+    assert html_consensus.extract(f"<body><div>{body}<form><label>Search</label><input> here</form></div></body>", None) == " ".join(("The article goes on about its matter. " * 8).split())
+    assert html_consensus.extract("<body><form><label>Name</label> <b>Password</b><button>Go</button></form></body>", None) == ""
+    formula = "<body><article><p>Let <math><mi>x</mi></math> be a <label>number</label> of <canvas>any</canvas> kind.</p></article></body>"
+    assert html_consensus.extract(formula, None) == "Let x be a number of any kind."
+    marked = '<body><div class="page"><div class="share-price notice"><p>' + "Prices rose in the morning and fell again. " * 6 + "</p></div><div><p>" + "A short note. " * 14 + "</p></div></div></body>"
+    assert "Prices rose" in html_consensus.extract(marked, None)
+
+
+def test_deep_nests_take_linear_time():
+    began = time.perf_counter()
+    page = '<div class="a">' * 50_000 + "deep" + "</div>" * 50_000
+    root = html_consensus.parse(page)
+    assert sum(1 for _ in html_consensus.parts(root)) == 50_000 and html_consensus.extract(page, None) == "deep"
+    assert time.perf_counter() - began < 20
+
+
 def test_broken_markup():
     assert html_consensus.extract("<body><header>Site name Menu</header><p>word word</p><p>more</p></body>", None) == "word word more"
     assert html_consensus.extract('<p class="x>hello world</p><p class="y">More text</p>', None) == "hello world More text"
@@ -722,6 +744,33 @@ def test_items_of_every_length_at_the_full_rate(spark):
     assert all(decontam.edit_budget(n) == n // 10 for n in range(1, 2000))
 
 
+@pytest.mark.parametrize(("item", "text"), [("a" * 100, "a" * 500_000), ("a" * 60 + "b" * 40, "a" * 200_000), ("-=" * 50, "=-" * 100_000), ("-" * 80 + " x " + "=" * 40, ("-" * 60 + " ") * 3000)])
+def test_repetitive_texts_take_linear_time(item, text):
+    """Rules, padding and junk: bands are counted by one sort, the same region is aligned once, and memory stays bounded."""
+    index = decontam.BenchmarkIndex([(1, item)])
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = index.find(text)
+    took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert bool(found) == (item in text) and took < 20 and peak < 500e6
+    if found:
+        assert found[0] == (0, text.index(item), text.index(item) + len(item))
+
+
+@pytest.mark.parametrize("matches", [1 << 20, 50])
+def test_matches_in_parts(monkeypatch, matches):
+    """Parts of the text overlap by a region, so they find what the whole does."""
+    monkeypatch.setattr(decontam, "MATCHES", matches)
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "aaaa", "of the"]
+    items = [(i, " ".join(rng.choice(words, 12)) + f" mark {i}") for i in range(8)]
+    index = decontam.BenchmarkIndex(items)
+    text = decontam.normalize(" ".join([*rng.choice(words, 400), items[3][1].replace("mark", "mork"), *rng.choice(words, 300), items[5][1], *rng.choice(words, 200), items[5][1]]))
+    found = index.find(text)
+    assert found[3][0] == 1 and found[5] == (0, text.index(index.items[5][1]), text.index(index.items[5][1]) + len(index.items[5][1]))
+
+
 def test_benchmark_in_blocks(spark, data, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in registry.QUERIES["op9_decontaminate"](spark, data).collect()}
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 3_000)
