@@ -65,3 +65,25 @@ def test_units_meet_items_by_cells_of_their_radius(spark):
     found = spatial.within_unit_radius(spark.createDataFrame(units, f"i long, zone long, radius double, point {XY}"), spark.createDataFrame(items, f"j long, zone long, other_point {XY}"), "zone", "radius")
     assert {(r.i, r.j) for r in found.collect()} == {(i, j) for i, z, r, p in units for j, y, q in items if z == y and math.dist(p, q) <= r}
     assert "zone" in found.columns
+
+
+def test_widened_groups_are_those_of_all_links(spark):
+    """Links up to the last radius join what all of them join, and the second round sees no pair of one group."""
+    from terrasift.operators import graph
+
+    rnd = random.Random(6)
+    left = [(f"l{i}", (rnd.uniform(0, 100), rnd.uniform(0, 100))) for i in range(40)]
+    right = [(f"r{i}", (rnd.uniform(0, 100), rnd.uniform(0, 100))) for i in range(40)]
+    a, b = spark.createDataFrame(left, f"u string, point {XY}"), spark.createDataFrame(right, f"v string, other_point {XY}")
+    nodes = a.select("u").union(b.select("v")).withColumnRenamed("u", "node")
+    made = []
+
+    def links(x, y, radius, how):
+        found = spatial.distance_join(x, y, radius, how=how).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        made.append(found.count())
+        return found
+
+    got = {r.node: r.component for r in graph.widened(nodes, a, b, "u", "v", [8.0, 16.0], links).collect()}
+    every = spatial.distance_join(a, b, 16.0).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    assert got == {r.node: r.component for r in graph.components(nodes, every).collect()}
+    assert sum(made) < every.count()
