@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from .order import global_rank, running_total
 from .spatial import distance_join
 
 
+#: Rows of a side that meet in one task, and of those queries, rows of the pool and near ties at once.
+BLOCK_ROWS, PART_QUERIES, PART_ROWS, PART_TIES = 1 << 16, 8_192, 512, 1 << 16
+#: Cosines that differ by no more are worked out one by one.
+ROUNDING = 1e-9
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -189,9 +197,67 @@ def held_out_places(tiles: DataFrame, places: DataFrame, label: str, key: str, p
     best = near.join(queries, place).select(place, cosine(F.col(vector), F.col("_q")).alias("s"), key)
     best = best.groupBy(place).agg(F.max(F.struct("s", (-F.col(key)).alias("k"))).alias("_best"))
     asked = cut(queries.join(best, place))
-    scored = against(tiles.select(key, vector), asked, place).withColumn("s", cosine(F.col(vector), F.col("_q")))
-    better = (F.col("s") > F.col("_best.s")) | ((F.col("s") == F.col("_best.s")) & (-F.col(key) > F.col("_best.k")))
-    return scored.groupBy(place, "removed").agg((F.count_if(better) + 1).alias("first_hit"))
+    better = better_counts(tiles, asked, place, key, vector)
+    return asked.select(place, "removed").join(better.withColumnRenamed(place, "_place"), F.col(place) == F.col("_place"), "left").select(place, "removed", (F.coalesce("better", F.lit(0)) + 1).cast("long").alias("first_hit"))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """cosine() of the rows of x and y, added up in the same order, so that equal scores are equal."""
+    xy, xx, yy = (np.zeros(len(x)) for _ in range(3))
+    for i in range(x.shape[1]):
+        xy, xx, yy = xy + x[:, i] * y[:, i], xx + x[:, i] * x[:, i], yy + y[:, i] * y[:, i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return xy / (np.sqrt(xx) * np.sqrt(yy))
+
+
+def better_counts(pool: DataFrame, asked: DataFrame, query: str, key: str, vector: str) -> DataFrame:
+    """asked (query, _q, _best struct(s, k = -key)) -> (query, better): how many rows of the pool have a larger cosine to _q than _best.s, or the same and a
+    smaller key.
+
+    Every row meets every query, in blocks: a task multiplies BLOCK_ROWS of the pool with BLOCK_ROWS of the queries at most, a part at a time, and sends
+    a count a query. What is closer to the best score than rounding is worked out again as cosine() does. Vectors of other lengths, with nulls, or zero, have no cosine."""
+    spark = pool.sparkSession
+    queries, rows = asked.count(), pool.count()
+    q_blocks = max(1, -(-queries // BLOCK_ROWS))
+    p_blocks = max(1, -(-rows // BLOCK_ROWS), min(-(-rows // 1_000), -(-2 * spark.sparkContext.defaultParallelism // q_blocks)))
+    own = lambda name, n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(name)
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = asked.select(own("_qb", q_blocks, query), every("_pb", p_blocks), F.col(query).alias("_query"), "_q", F.col("_best.s").alias("_s"), (-F.col("_best.k")).alias("_k"))
+    right = pool.where(F.col(vector).isNotNull()).select(own("_pb", p_blocks, key, vector), every("_qb", q_blocks), F.col(key).alias("_key"), F.col(vector).alias("_v"))
+
+    def matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that have dim numbers, these as rows of doubles)."""
+        whole = column.combine_chunks()
+        whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+        fits = np.flatnonzero(np.asarray(pc.equal(pc.list_value_length(whole), dim).fill_null(False).to_numpy(zero_copy_only=False), bool))
+        x = whole.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), dim)
+        return fits, x
+
+    def count(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        dim = len(mine["_q"][0]) if mine.num_rows else 0
+        of, q = matrix(mine["_q"], dim)
+        at, v = matrix(theirs["_v"], dim) if theirs.num_rows else (np.zeros(0, int), np.zeros((0, dim)))
+        least, best = (mine[c].to_numpy()[of] for c in ("_s", "_k"))
+        keys = theirs["_key"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            uq, uv = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (q, v))
+        better = np.zeros(len(q), np.int64)
+        for i in range(0, len(q), PART_QUERIES):
+            mine_ = slice(i, i + PART_QUERIES)
+            for j in range(0, len(v), PART_ROWS):
+                s = uv[j : j + PART_ROWS] @ uq[mine_].T
+                s -= least[mine_]
+                better[mine_] += (s > ROUNDING).sum(0)
+                r, c = np.nonzero(np.abs(s) <= ROUNDING)
+                for n in range(0, len(r), PART_TIES):
+                    row, col = r[n : n + PART_TIES] + j, c[n : n + PART_TIES] + i
+                    exact = _cosines(v[row], q[col])
+                    ahead = (exact > least[col]) | ((exact == least[col]) & (keys[row] < best[col]))
+                    better += np.bincount(col[ahead], minlength=len(q))
+        return pa.table({"_query": mine["_query"].take(pa.array(of)), "better": pa.array(better)})
+
+    found = left.groupBy("_qb", "_pb").cogroup(right.groupBy("_qb", "_pb")).applyInArrow(count, f"_query {asked.schema[query].dataType.simpleString()}, better long")
+    return found.groupBy(F.col("_query").alias(query)).agg(F.sum("better").alias("better"))
 
 
 def recall_at(hits: DataFrame, rank: str, ks: tuple[int, ...]) -> DataFrame:

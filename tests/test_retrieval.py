@@ -92,6 +92,22 @@ def test_places_are_found_by_other_tiles(spark):
     assert got == expected and len(got) >= 8
 
 
+def test_many_places_meet_tiles_in_blocks(spark, monkeypatch):
+    """Places are not broadcast one pass over the tiles a thousand; equal scores go by key, in whatever blocks they are; vectors without a cosine to a place count for nothing."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-2, 3, (150, 4)).astype(float) + 0.5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0]), (502, [None, 1.0, 1.0, 1.0])]
+    q = x[rng.integers(0, 150, 130)]
+    cos = np.array([V._cosines(x, np.tile(one, (150, 1))) for one in q])
+    best = rng.integers(0, 150, 130)
+    asked = spark.createDataFrame([(i, one.tolist(), (float(cos[i, best[i]]), -int(best[i]))) for i, one in enumerate(q)], "place long, _q array<double>, _best struct<s:double,k:long>")
+    found = V.better_counts(spark.createDataFrame(rows, "k long, v array<double>"), asked, "place", "k", "v")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    expected = {i: int(((cos[i] > cos[i, b]) | ((cos[i] == cos[i, b]) & (np.arange(150) < b))).sum()) for i, b in enumerate(best)}
+    assert {r.place: r.better for r in found.collect()} == expected
+
+
 def test_components_are_dropped(spark):
     _, x = clusters(n=300, dim=6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
