@@ -212,6 +212,24 @@ def test_evidence_pairs_are_brute_force(spark):
     assert got == {(a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
 
 
+def test_evidence_pairs_meet_in_blocks_not_by_tokens(spark, monkeypatch):
+    """A word that all documents of a group share makes no pairs, a block is bounded, and sets of all sizes, repeated keys and nulls come out as by brute force."""
+    monkeypatch.setattr(docs, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        base = rng.choice(5_000, int(rng.integers(1, 400)), replace=False)
+        for copy in range(2):
+            own = np.where(rng.random(len(base)) < rng.choice([0.0, 0.1, 0.2]), rng.integers(5_000, 9_000, len(base)), base)
+            rows.append((["g", "h"][k % 2], int(rng.integers(0, 90)), " ".join(map(str, own)) + " word"))
+    rows += [(None, 1, "word"), (None, 2, "word"), ("g", None, "word"), ("g", 3, None), ("g", 4, " . ")]
+    df = docs.near_duplicate_evidence(spark.createDataFrame(rows, "g string, k int, t string"), "g", "k", "t")
+    got = sorted((r.g, r.a, r.b, round(r.jaccard, 9)) for r in df.collect())
+    sets = [(g, k, set(t.split())) for g, k, t in rows[:120]]
+    expected = sorted((g, a, b, round(len(x & y) / len(x | y), 9)) for g, a, x in sets for h, b, y in sets if g == h and a < b and len(x & y) / len(x | y) >= 0.72)
+    assert got == expected and len(got) > 15
+
+
 def test_whitening(spark, data):
     df = vectors.whiten(spark.read.parquet(f"{data}/embeddings.parquet"), "embedding", "w")
     x = np.stack([r.w for r in df.select("w").collect()])
