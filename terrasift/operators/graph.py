@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df dealt out to all cores, `rows` a task at most, for work of much time a row: a small file is one task however long its rows take. What stands
+    before is computed once, and not again in each expression that uses it."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows)))
+
+
 def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
     """The links written, and what their number and the sum of their hashes were on the way, so that no job counts them."""
     seen = Observation()

@@ -19,6 +19,8 @@ SNAP = 1e-6
 SHIFT = 0.3819660113
 #: Rows of a chunk of groups that a Python call handles.
 ROWS = 100_000
+#: Edges of a cell above which it is quartered, and how often at most.
+CROWDED, DEPTH = 256, 16
 #: (point, edge) tests at once.
 TESTS = 1 << 20
 _RING = "g {g}, xs array<bigint>, ys array<bigint>"
@@ -76,13 +78,13 @@ def _covered(x: np.ndarray, y: np.ndarray, e: np.ndarray, starts: np.ndarray, he
     return out
 
 
-def _splits(e: np.ndarray, x0: float, y0: float, size: float) -> tuple[np.ndarray, ...]:
-    """(edge, t, x, y) of where edges are to be split, in whole steps of SNAP: their ends, the cell's sides, and where edges cross or touch; a
+def _splits(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> tuple[np.ndarray, ...]:
+    """(edge, t, x, y) of where edges are to be split, in whole steps of SNAP: their ends, the box's sides, and where edges cross or touch; a
     point that two edges share is worked out once."""
     d = e[:, 2:] - e[:, :2]
     n = len(e)
     found = [(np.arange(n), np.zeros(n), e[:, 0], e[:, 1]), (np.arange(n), np.ones(n), e[:, 2], e[:, 3])]
-    for axis, side in ((0, x0), (0, x0 + size), (1, y0), (1, y0 + size)):
+    for axis, side in ((0, x0), (0, x1), (1, y0), (1, y1)):
         with np.errstate(divide="ignore", invalid="ignore"):
             t = (side - e[:, axis]) / d[:, axis]
         at = np.flatnonzero((t > 0) & (t < 1))
@@ -122,22 +124,21 @@ def _splits(e: np.ndarray, x0: float, y0: float, size: float) -> tuple[np.ndarra
     return edge, t, np.rint(x / SNAP).astype(np.int64), np.rint(y / SNAP).astype(np.int64)
 
 
-def _arranged(p: np.ndarray, e: np.ndarray, corners: np.ndarray, cx: int, cy: int, size: float) -> np.ndarray:
-    """The parts of the edges in a cell that have the union on one side, which is their left."""
+def _arranged(p: np.ndarray, e: np.ndarray, corners: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """The parts of the edges in a box that have the union on one side, which is their left."""
     none = np.empty((0, 4), np.int64)
     names, of = np.unique(p, return_inverse=True)
     if len(corners) and not np.isin(corners, names).all():  # a polygon covers the whole cell
         return none
     order = np.argsort(of, kind="stable")
     e, starts, held = e[order], np.searchsorted(of[order], np.arange(len(names))), np.isin(names, corners)
-    x0, y0 = (cx + SHIFT) * size, (cy + SHIFT) * size
-    edge, t, x, y = _splits(e, x0, y0, size)
+    edge, t, x, y = _splits(e, x0, y0, x1, y1)
     by = np.lexsort((t, edge))
     edge, x, y = edge[by], x[by], y[by]
     step = (edge[1:] == edge[:-1]) & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
     a, b = np.stack([x[:-1], y[:-1]], 1)[step], np.stack([x[1:], y[1:]], 1)[step]
     middle = (a + b) * (SNAP / 2)
-    inside = (middle[:, 0] >= x0) & (middle[:, 0] < x0 + size) & (middle[:, 1] >= y0) & (middle[:, 1] < y0 + size)
+    inside = (middle[:, 0] >= x0) & (middle[:, 0] < x1) & (middle[:, 1] >= y0) & (middle[:, 1] < y1)
     a, b = a[inside], b[inside]
     if not len(a):
         return none
@@ -150,6 +151,56 @@ def _arranged(p: np.ndarray, e: np.ndarray, corners: np.ndarray, cx: int, cy: in
     return np.vstack([parts[left & ~right], parts[right & ~left][:, [2, 3, 0, 1]]])
 
 
+def _different(p: np.ndarray, e: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p and e without the edges of polygons that have the same edges here, and the corner or not, as another: they cover the same."""
+    order = np.argsort(p, kind="stable")
+    p, e = p[order], e[order]
+    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    mixed = np.full(len(p), 0x9E3779B97F4A7C15, np.uint64)
+    for axis in range(4):
+        mixed = (mixed ^ (e[:, axis] + 0.0).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    sums = np.stack([np.add.reduceat(mixed, starts), np.add.reduceat(mixed * mixed, starts), np.isin(p[starts], corners).astype(np.uint64)], 1)
+    first = np.unique(sums, axis=0, return_index=True)[1]
+    kept = np.isin(p, p[starts[first]])
+    return p[kept], e[kept]
+
+
+def _quarters(p: np.ndarray, e: np.ndarray, corners: np.ndarray, x0: float, y0: float, x1: float, y1: float, depth: int = 0) -> Iterator[np.ndarray]:
+    """_arranged() of a box, quarter by quarter while it has over CROWDED edges. A quarter that a polygon covers ends there, so of many polygons
+    that lie over one another only what is near the outline is worked out."""
+    if len(corners) and not np.isin(corners, p).all():  # a polygon covers all of it
+        return
+    if len(e) > CROWDED:
+        p, e = _different(p, e, corners)
+        corners = corners[np.isin(corners, p)]
+    if not len(e):
+        return
+    if len(e) <= CROWDED or depth == DEPTH or min(x1 - x0, y1 - y0) < 1000 * SNAP:
+        yield _arranged(p, e, corners, x0, y0, x1, y1)
+        return
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    order = np.argsort(p, kind="stable")
+    p, e = p[order], e[order]
+    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    names = p[starts]
+    held = np.isin(names, corners)
+    low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    for left, right, floor, top in ((x0, xm, y0, ym), (xm, x1, y0, ym), (x0, xm, ym, y1), (xm, x1, ym, y1)):
+        own = names[_held_at(left, floor, e, starts, held, x0, y0)]
+        here = (low[:, 0] <= right + SNAP) & (high[:, 0] >= left - SNAP) & (low[:, 1] <= top + SNAP) & (high[:, 1] >= floor - SNAP)
+        yield from _quarters(p[here], e[here], own, left, floor, right, top, depth + 1)
+
+
+def _held_at(px: float, py: float, e: np.ndarray, starts: np.ndarray, held: np.ndarray, x0: float, y0: float) -> np.ndarray:
+    """Which polygons hold a point, from those that hold the corner, see _covered()."""
+    a1, b1, a2, b2 = e.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        across = ((b1 > y0) != (b2 > y0)) & ((fx := a1 + (y0 - b1) * (a2 - a1) / (b2 - b1)) > x0) & (fx <= px)
+        up = ((a1 > px) != (a2 > px)) & ((fy := b1 + (px - a1) * (b2 - b1) / (a2 - a1)) > y0) & (fy <= py)
+    return np.logical_xor.reduceat(across ^ up, starts) ^ held
+
+
 def _chunks(df: DataFrame, *keys: str) -> DataFrame:
     """df with a column of chunks of about ROWS rows; rows that are equal in the keys share a chunk."""
     return df.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(max(1, math.ceil(df.count() / ROWS)))))
@@ -175,8 +226,10 @@ def union_edges(edges: DataFrame, size: float) -> DataFrame:
         for own in np.split(order, new[1:]):
             n = int((~corner[own]).sum())  # edges stand before corners
             if n:
-                found.append(_arranged(p[own[:n]], e[own[:n]], p[own[n:]], int(cx[own[0]]), int(cy[own[0]]), size))
-                at.append(np.full(len(found[-1]), own[0]))
+                x0, y0, x1, y1 = (float((c + SHIFT) * size) for c in (cx[own[0]], cy[own[0]], cx[own[0]] + 1, cy[own[0]] + 1))
+                for part in _quarters(p[own[:n]], e[own[:n]], p[own[n:]], x0, y0, x1, y1):
+                    found.append(part)
+                    at.append(np.full(len(part), own[0]))
         out = pd.DataFrame(np.vstack(found), columns=["x1", "y1", "x2", "y2"])
         out.insert(0, "g", frame["g"].iloc[np.concatenate(at)].to_numpy())
         return out

@@ -152,3 +152,29 @@ def test_spans(spark):
 def test_tidy():
     x, y = overlay._tidy(np.array([2, 1, 0, 0, 0, 1, 2, 2]), np.array([2, 2, 2, 1, 0, 0, 0, 1]), 0.0)
     assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+
+
+def test_crowded_cells_are_quartered(spark, monkeypatch):
+    """Polygons that lie over one another by the hundred cost what is near their outline, and come out as if each cell were worked on whole."""
+    rng = np.random.default_rng(11)
+    corner = rng.integers(0, 60, (400, 2)).astype(float)
+    size = rng.integers(3, 25, (400, 2)).astype(float)
+    boxes = [(i, *map(float, (x, y, x + w, y + h))) for i, ((x, y), (w, h)) in enumerate(zip(corner, size, strict=True))]
+    turned = [(i, [[{"x": x0, "y": (y0 + y1) / 2}, {"x": (x0 + x1) / 2, "y": y0}, {"x": x1, "y": (y0 + y1) / 2}, {"x": (x0 + x1) / 2, "y": y1}]]) for i, x0, y0, x1, y1 in boxes]
+    upright = [(i, [[{"x": x0, "y": y0}, {"x": x1, "y": y0}, {"x": x1, "y": y1}, {"x": x0, "y": y1}]]) for i, x0, y0, x1, y1 in boxes]
+    looked = []
+    arranged = overlay._arranged
+    monkeypatch.setattr(overlay, "_arranged", lambda p, e, *rest: looked.append(len(e)) or arranged(p, e, *rest))
+    for shapes in (turned, upright):
+        edges = np.array([(*a.values(), *b.values()) for _, (ring,) in shapes for a, b in zip(ring, ring[1:] + ring[:1], strict=True)])
+        p = np.repeat(np.arange(len(shapes)), 4)
+        box = (-1.31, -1.27, 98.71, 98.73)
+        monkeypatch.setattr(overlay, "CROWDED", 10**9)
+        whole = np.vstack(list(overlay._quarters(p, edges, np.empty(0, int), *box)))
+        looked.clear()
+        monkeypatch.setattr(overlay, "CROWDED", 40)
+        parts = np.vstack(list(overlay._quarters(p, edges, np.empty(0, int), *box)))
+        area = lambda e: float((e[:, 0] * 1e-6 * e[:, 3] * 1e-6 - e[:, 2] * 1e-6 * e[:, 1] * 1e-6).sum() / 2)
+        length = lambda e: float(np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]).sum() * 1e-6)
+        assert area(parts) == pytest.approx(area(whole), abs=1e-3) and length(parts) == pytest.approx(length(whole), abs=1e-3)
+        assert sum(n * n for n in looked) < len(edges) ** 2 / 2
