@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance
-from .graph import cut
+from .graph import components, cut
 
 
 #: Rows of a key that meet in one task on either side, and right points of a cell in the first ring of a nearest search.
@@ -63,6 +63,42 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, left_point:
     return dealt_join(near, there, [("_lx", "_rx"), ("_ly", "_ry")], on).withColumn("distance_m", away).drop("_lx", "_ly", "_rx", "_ry")
 
 
+def near_components(points: DataFrame, key: str, point: str, radius: float) -> DataFrame:
+    """(node, component) of the points that chains of steps no longer than the radius join, as components() of all pairs within it, which are not made.
+
+    Points of one cell, whose diagonal is below the radius, are one group. Cells up to two apart are linked if any two of their outermost points are near; only
+    those that are in different groups even then are looked at point by point, and of these only points near the other cell's bounds."""
+    size = radius * 0.7
+    spots = cut(_in_cell(points.select(F.col(key).alias("node"), F.struct((F.col(point)["x"]).alias("x"), (F.col(point)["y"]).alias("y")).alias("p")), "p", size, "c"))
+    x, y = F.col("p.x"), F.col("p.y")
+    outermost = [f("p", by) for by in (x, y, x + y, x - y) for f in (F.min_by, F.max_by)]
+    cells = spots.where("cx is not null and cy is not null").groupBy("cx", "cy").agg(F.min("node").alias("rep"), F.array_distinct(F.array(*outermost)).alias("out"), F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+    cells = cut(cells)
+    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if i or j > 0]
+    a = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns], F.explode(F.array(*steps)).alias("s"))
+    b = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns])
+    pairs = cut(a.join(b, (F.col("a_cx") + F.col("s.i") == F.col("b_cx")) & (F.col("a_cy") + F.col("s.j") == F.col("b_cy"))).drop("s"))
+    near = F.exists("a_out", lambda p: F.exists("b_out", lambda q: distance(p, q) <= radius))
+    groups = components(cells.select(F.col("rep").alias("node")), pairs.where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+    of = lambda side: groups.select(F.col("node").alias(f"{side}_rep"), F.col("component").alias(f"{side}_g"))
+    apart = cut(pairs.join(of("a"), "a_rep").join(of("b"), "b_rep").where("a_g <> b_g").drop("a_out", "b_out"))
+    if not apart.isEmpty():
+        keys = ["a_cx", "a_cy", "b_cx", "b_cy"]
+
+        def side(own: str, other: str) -> DataFrame:
+            met = apart.select(*[F.col(k).alias(f"{own}{k}") for k in keys], F.col(f"{own}_g").alias(f"g{own}"), *[F.col(f"{other}_{c}").alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+            met = spots.join(met, (F.col("cx") == F.col(f"{own}{own}_cx")) & (F.col("cy") == F.col(f"{own}{own}_cy")))
+            dx, dy = (F.greatest(F.lit(0.0), F.col(f"_{axis}min") - F.col(f"p.{axis}"), F.col(f"p.{axis}") - F.col(f"_{axis}max")) for axis in "xy")
+            return met.where(F.sqrt(dx * dx + dy * dy) <= radius * (1 + 1e-9)).select(*[f"{own}{k}" for k in keys], f"g{own}", F.col("p").alias(f"p{own}"))
+
+        links = dealt_join(side("a", "b"), side("b", "a"), [(f"a{k}", f"b{k}") for k in keys], distance(F.col("pa"), F.col("pb")) <= radius)
+        more = components(groups.select(F.col("component").alias("node")), links.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+        groups = groups.join(more.select(F.col("node").alias("_g"), F.col("component").alias("_c")), F.col("component") == F.col("_g")).select("node", F.col("_c").alias("component"))
+    known = cells.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep").drop("rep")
+    labelled = spots.join(known, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")), "left")
+    return cut(labelled.select("node", F.coalesce("component", "node").alias("component")).distinct())
+
+
 def k_nearest(left: DataFrame, right: DataFrame, key: str, other_key: str, k: int, first_radius: float, last_radius: float, grow: float = 4.0) -> DataFrame:
     """(key, other_key, distance_m, rank): the k nearest right points of every left point no farther than last_radius, ties by smallest other_key.
 

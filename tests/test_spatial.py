@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def test_widened_groups_are_those_of_all_links(spark):
     every = spatial.distance_join(a, b, 16.0).select(F.col("u").alias("a"), F.col("v").alias("b"))
     assert got == {r.node: r.component for r in graph.components(nodes, every).collect()}
     assert sum(made) < every.count()
+
+
+def test_near_components_make_no_pairs_of_dense_points(spark, monkeypatch):
+    """The groups of all pairs within the radius, of dense heaps as of chains, of rows of points across a gap of just the radius or just more, and of points without a place."""
+    rng = np.random.default_rng(17)
+    at = [*rng.normal((0, 0), 4, (400, 2)), *rng.uniform(-60, 60, (120, 2)), *[(200.0 + i, 0.0) for i in range(20)], *[(200.0 + i, 10.0) for i in range(5, 9)], *[(200.0 + i, -10.001) for i in range(20)]]
+    rows = [(i, (float(x), float(y))) for i, (x, y) in enumerate(at)] + [(10_000, None)]
+    df = spark.createDataFrame(rows, "k long, p struct<x:double,y:double>")
+    xy = np.array(at, float)
+    near = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)) <= 10
+    label = np.arange(len(xy))
+    while (new := np.where(near, label[None], len(xy)).min(1)).tolist() != label.tolist():
+        label = new
+    joined = []
+    dealt = spatial.dealt_join
+    monkeypatch.setattr(spatial, "dealt_join", lambda left, right, *rest: joined.append(left.count()) or dealt(left, right, *rest))
+    got = {r.node: r.component for r in spatial.near_components(df, "k", "p", 10.0).collect()}
+    assert got == dict(enumerate(label.tolist())) | {10_000: 10_000}
+    assert sum(joined) < 200
