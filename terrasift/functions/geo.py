@@ -108,7 +108,9 @@ def box_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 def _edges(ring: Column) -> Column:
     """struct(a, b) of consecutive corners, the last with the first."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.pmod(i + 1, F.size(ring))).alias("b")))
+    # not by F.get(ring, i + 1), which works the ring out again for each of its corners
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(ring, after, lambda p, q: F.struct(p.alias("a"), q.alias("b")))
 
 
 def _cross(e: Column) -> Column:

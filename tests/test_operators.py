@@ -230,6 +230,18 @@ def test_evidence_pairs_meet_in_blocks_not_by_tokens(spark, monkeypatch):
     assert got == expected and len(got) > 15
 
 
+def test_texts_of_one_file_are_many_tasks(spark, tmp_path):
+    """A small file is one partition, but its texts are read by all cores, and a ring is worked out once and not again for each of its corners."""
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    one = spark.read.parquet(f"{tmp_path}/t")
+    found = equipment.equipment(one.select("id", F.lit("===== PAGE 1 =====\n(3) 2,000 kW emergency generators").alias("t")), "id", "t")
+    tasks = found.select(F.spark_partition_id().alias("p"), "quantity").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) >= 8 and sum(r.n for r in tasks) == 100
+    ring = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(F.cos(i + F.col("id")).alias("x"), F.sin(i + F.col("id")).alias("y")))
+    plan = one.select(G.ring_area(ring).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("COS(") <= 5 and "get(" not in plan
+
+
 def test_whitening(spark, data):
     df = vectors.whiten(spark.read.parquet(f"{data}/embeddings.parquet"), "embedding", "w")
     x = np.stack([r.w for r in df.select("w").collect()])
