@@ -426,7 +426,7 @@ def _offset_pieces(rings: list, radius: float, segments: int) -> Iterator[np.nda
 
 def buffered(polygons: DataFrame, key: str, rings: str, radius: float, size: float, segments: int = 16) -> DataFrame:
     """(g, rings, area): each polygon grown by the radius with round corners, as polygons; concave corners, holes and parts that close up come out
-    right, as a buffer is the union of simple pieces. The key must tell polygons apart."""
+    right, as a buffer is the union of simple pieces. The key must tell polygons apart. Polygons of equal rings are grown once."""
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -443,9 +443,14 @@ def buffered(polygons: DataFrame, key: str, rings: str, radius: float, size: flo
 
     spark = polygons.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    named = polygons.select(F.col(key).alias("g"), F.col(rings).alias("rings")).repartition(tasks, "g")  # each grows a hundredfold
+    each = polygons.select(F.col(key).alias("g"), F.col(rings).alias("rings"))
+    named = cut(each.where(F.col("rings").isNotNull()).groupBy("rings").agg(F.count(F.lit(1)).alias("_n")).select(F.monotonically_increasing_id().alias("g"), "rings"))
+    shapes = named.select(F.col("g").alias("_shape"), F.col("rings").alias("_rings"))
+    named = named.repartition(tasks, "g")  # each grows a hundredfold
     around = named.mapInPandas(edges, f"g {_kind(named)}, p long, x1 double, y1 double, x2 double, y2 double").where("x1 <> x2 or y1 <> y2")
-    return dissolve_edges(polygon_edges(named.withColumn("p", F.lit(0).cast("long")), "g", "p", "rings").union(around), size)
+    grown = dissolve_edges(polygon_edges(named.withColumn("p", F.lit(0).cast("long")), "g", "p", "rings").union(around), size)
+    grown = cut(shapes.join(grown.withColumnRenamed("g", "_of"), F.col("_shape") == F.col("_of")).select("_rings", F.col("rings").alias("_grown"), "area"))
+    return each.join(grown, F.col("rings") == F.col("_rings")).select("g", F.col("_grown").alias("rings"), "area")
 
 
 def point_buffer(point: Column, radius: float, segments: int = 16, square: bool = False) -> Column:

@@ -178,3 +178,17 @@ def test_crowded_cells_are_quartered(spark, monkeypatch):
         length = lambda e: float(np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]).sum() * 1e-6)
         assert area(parts) == pytest.approx(area(whole), abs=1e-3) and length(parts) == pytest.approx(length(whole), abs=1e-3)
         assert sum(n * n for n in looked) < len(edges) ** 2 / 2
+
+
+def test_equal_polygons_are_grown_once(spark, monkeypatch):
+    """A thousand polygons of two shapes are worked on as two, and each gets its own row; null and empty ones get none."""
+    shape = lambda w: [[{"x": 0.0, "y": 0.0}, {"x": w, "y": 0.0}, {"x": w, "y": 3.0}, {"x": 0.0, "y": 3.0}]]
+    rows = [(k, shape(5.0 + k % 2)) for k in range(1000)] + [(2000, None), (2001, [])]
+    df = spark.createDataFrame(rows, "k long, rings array<array<struct<x:double,y:double>>>")
+    worked = []
+    union = overlay.union_edges
+    monkeypatch.setattr(overlay, "union_edges", lambda edges, size: worked.append(edges.select("g").distinct().count()) or union(edges, size))
+    got = overlay.buffered(df, "k", "rings", 1.0, 50.0).select("g", F.round("area", 4).alias("area")).collect()
+    round_part = 32 * math.sin(math.pi / 32)
+    assert worked == [2] and sorted(r.g for r in got) == list(range(1000))
+    assert all(abs(r.area - ((5 + r.g % 2) * 3 + 2 * (5 + r.g % 2 + 3) + round_part)) < 1e-3 for r in got)
