@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import TEXTS_AT_ONCE, materialize, small_batches, table
 
 #: Characters of a q-gram; items that are too short for it at the full rate of edits go by shorter ones.
 Q, SHORT_Q = 8, 5
@@ -272,8 +272,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key has no benchmark item in it; rows of a null key stay if no null-key row is hit. The hit keys are
-    written first, so that Spark knows their size and broadcasts them below its limit only."""
-    hit = materialize(find_contamination(docs, benchmark, key).select(F.col(key).alias("__hit")).distinct(), "hits")
+    written first, so that Spark knows their size and broadcasts them below its limit only, while workers are handed few texts at a time."""
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        hit = materialize(find_contamination(docs, benchmark, key).select(F.col(key).alias("__hit")).distinct(), "hits")
     return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]), "left_anti")
 
 

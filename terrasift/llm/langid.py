@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import TEXTS_AT_ONCE, materialize, plus, small_batches, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -137,12 +137,14 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
     """The rows of docs, columns as they are, whose language is determined with a score of `least` at least. Learns from all labelled
-    rows of docs, sampled as in fit(). Without any label no language can be told, and every row with a letter stays."""
-    model = fit(docs.select(F.col(key).alias("doc_id"), "text", "lang"))
-    if not model.labels:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = plus(docs, __found=predicted(docs.sparkSession, F.col("text"), model))
-    return found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least)).select(*docs.columns)
+    rows of docs, sampled as in fit(). Without any label no language can be told, and every row with a letter stays. The result is written
+    here, while workers are handed few texts at a time."""
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        model = fit(docs.select(F.col(key).alias("doc_id"), "text", "lang"))
+        if not model.labels:
+            return docs.where(F.col("text").rlike(r"\p{L}"))
+        found = plus(docs, __found=predicted(docs.sparkSession, F.col("text"), model))
+        return materialize(found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least)).select(*docs.columns), "accepted")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .buckets import bucket_groups, meetings
-from .common import Scratch, bucketed, small_batches
+from .common import TEXTS_AT_ONCE, Scratch, bucketed, small_batches
 from .simhash import HASH_SEED, fingerprint_links, majority_bits, shingle_hashes
 
 SHINGLE = 5
@@ -35,8 +35,8 @@ _FIRST = np.arange(ORDERS * BINS, dtype=np.uint64) << np.uint64(54)
 _NONE = np.uint64((1 << 64) - 1)
 #: The bins that an empty bin looks into, one after another.
 _PROBES = np.stack([np.random.default_rng(i).permutation(BINS) for i in range(BINS)])
-#: Hashes that are put in order at once, rows that a worker is handed at once.
-_AT_ONCE, ROWS_AT_ONCE = 1 << 14, 1_000
+#: Hashes that are put in order at once.
+_AT_ONCE = 1 << 14
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -205,7 +205,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     SimHash alone misses most pairs near 0.8, where some 10 of 64 bits differ. All candidates are verified by whole sets, so no link is wrong. Texts are read
     again for those that meet another only. Equal sets are one class under its smallest id; texts without words are one such class. Rows of a
     null id get the component of their set, null if there is no other; repeated rows each get a row."""
-    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession, ROWS_AT_ONCE):
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession, TEXTS_AT_ONCE):
         rows = scratch.keep(_prints(docs, id_col), "prints")
         classes = rows.where(F.col(id_col).isNotNull()).groupBy("code").agg(F.min(id_col).cast("long").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         classes = scratch.keep(classes, "classes")

@@ -1,10 +1,14 @@
-"""What the operators leave on disk while they run."""
+"""What the operators leave on disk while they run, and hand to workers at once."""
 
 import os
 
-from terrasift.llm import buckets, line_dedup
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from terrasift.llm import buckets, decontam, langid, line_dedup
 from terrasift.llm.common import Scratch
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,3 +46,14 @@ def test_pairs_are_verified_in_slices(spark):
         got = buckets._verified(spark.createDataFrame(pairs, "a long, b long"), similar, scratch, 40)
         assert sorted(map(tuple, got.collect())) == sorted(p for p in pairs if sum(p) % 2 == 0)
     assert len(seen) == 5 and sum(seen) == 190 and max(seen) < 80
+
+
+def test_stages_hand_out_few_texts(spark, data, monkeypatch):
+    """What a stage writes with whole texts in Python is planned with batches of 1,000 rows; the session's own setting stays."""
+    docs, seen, before = spark.read.parquet(f"{data}/documents.parquet"), [], spark.conf.get(BATCH)
+    for module in (langid, decontam):
+        monkeypatch.setattr(module, "materialize", lambda df, name, to=module.materialize: (seen.append((name, spark.conf.get(BATCH))), to(df, name))[1])
+    stages = dict(corpus_pipeline.STAGES)
+    stages["language_id"](spark, docs, data)
+    stages["decontamination"](spark, docs.where(F.col("doc_id") < 50), data)
+    assert seen == [("accepted", "1000"), ("hits", "1000")] and spark.conf.get(BATCH) == before
