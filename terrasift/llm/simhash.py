@@ -69,9 +69,10 @@ class GrayIndex:
 
     Sorted by Gray rank, neighbours differ in few bits. A node over FANOUT nodes keeps the groups it spans, and the mask and
     pattern of the bits in which all below agree, less those that its parent keeps already; a query adds up its differences on
-    the way down and leaves a whole node as soon as they exceed the limit or its own group is not below."""
+    the way down and leaves a whole node as soon as they exceed the limit or its own group is not below. If labels are given, it also
+    leaves what has but its own label below, so that pairs of one label are not met one by one."""
 
-    def __init__(self, codes: np.ndarray, groups: np.ndarray):
+    def __init__(self, codes: np.ndarray, groups: np.ndarray, labels: np.ndarray | None = None):
         rank = codes.copy()
         for shift in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(shift)
@@ -88,6 +89,11 @@ class GrayIndex:
             new = mask if above is None else mask & ~above[np.arange(len(mask)) // FANOUT]
             self.levels.append((new, ones, low, high))
             above = mask
+        self.labels = None if labels is None else labels[self.order]
+        self.spans = [] if labels is None else [(self.labels, self.labels)]  # the least and the greatest label below each node
+        while self.spans and len(self.spans) < len(self.levels):
+            starts = np.arange(0, len(self.spans[0][0]), FANOUT)
+            self.spans.insert(0, (np.minimum.reduceat(self.spans[0][0], starts), np.maximum.reduceat(self.spans[0][1], starts)))
 
     def walk(self, first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, places) of all pairs of a place in `first` and a later one of its group that differ in at most `most` bits, in batches. Never
@@ -106,6 +112,10 @@ class GrayIndex:
             q, node, sum_ = q[there], node[there], sum_[there]
             there = (low[node] <= groups[q]) & (groups[q] <= high[node])
             q, node, sum_ = q[there], node[there], sum_[there]
+            if self.spans:
+                least, greatest = self.spans[depth]
+                there = (least[node] != self.labels[first[q]]) | (greatest[node] != self.labels[first[q]])
+                q, node, sum_ = q[there], node[there], sum_[there]
             sum_ = sum_ + np.bitwise_count((codes[q] ^ pattern[node]) & mask[node])
             near = sum_ <= most
             q, node, sum_ = q[near], node[near], sum_[near]
