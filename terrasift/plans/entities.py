@@ -323,10 +323,41 @@ def site_summary(t: Tables) -> DataFrame:
 @query("er_match_notes", f"WITH {GROUPS_SQL} SELECT component AS group_id, array_to_string(list_sort(list_distinct(list(rule))), '|') AS notes FROM (SELECT left_uid AS u, rule FROM cand UNION ALL SELECT right_uid, rule FROM cand) x JOIN comp ON node = u GROUP BY component")
 def match_notes(t: Tables) -> DataFrame:
     """Rules seen at either end of a group's candidate pairs."""
-    c = candidates(t)
-    # a record's rules are few, so they are gathered where pairs are made
-    ends = graph.cut(c.select(F.explode(F.array("left_uid", "right_uid")).alias("u"), "rule").distinct())
-    return ends.join(groups(t), F.col("u") == F.col("node")).groupBy(F.col("component").alias("group_id")).agg(survive.joined(F.col("rule")).alias("notes"))
+    ahead = _rules_ahead(t)
+    if ahead is None:
+        c = candidates(t)
+        # a record's rules are few, so they are gathered where pairs are made
+        ends = graph.cut(c.select(F.explode(F.array("left_uid", "right_uid")).alias("u"), "rule").distinct())
+        return ends.join(groups(t), F.col("u") == F.col("node")).groupBy(F.col("component").alias("group_id")).agg(survive.joined(F.col("rule")).alias("notes"))
+    labels = graph.components(curated(t).select("uid").union(registry(t).select("uid")), _links_ahead(*ahead), node="uid")
+    seen = _rules_seen(*ahead).join(labels, F.col("uid") == F.col("node")).groupBy(F.col("component").alias("group_id")).agg(F.bit_or("seen").alias("seen"))
+    notes = F.array(*[F.when(F.col("seen").bitwiseAND(1 << i) > 0, rule) for i, rule in enumerate(match.RULES)])
+    return seen.select("group_id", F.array_join(notes, "|").alias("notes"))
+
+
+def _rules_seen(left: DataFrame, right: DataFrame, rules: DataFrame) -> DataFrame:
+    """(uid, seen): rules of a record's pairs within 1 km as bits in the order of match.RULES, a row for each block that it met."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*map(F.lit, match.RULES)), F.col("rules")[i]).cast("int") - 1)
+    said = [_per_kinds(rules, bit(i), np.uint8) for i in range(len(match.BANDS))]
+
+    def see(a: pa.Table, b: pa.Table) -> pa.Table:
+        (ax, ay, ak), (bx, by, bk) = _arrays(a), _arrays(b)
+        seen, there = np.zeros(len(ax), np.uint8), np.zeros(len(bx), np.uint8)
+        for chunk in spatial.chunks(ax, ay):
+            near = spatial.within_bounds(bx, by, ax[chunk], ay[chunk], match.BANDS[-1])
+            dx, dy = ax[chunk][:, None] - bx[near], ay[chunk][:, None] - by[near]
+            away = np.sqrt(dx * dx + dy * dy)
+            bits = np.zeros(away.shape, np.uint8)
+            for of, radius in reversed(list(zip(said, match.BANDS, strict=True))):
+                np.copyto(bits, np.take(of[ak[chunk]], bk[near], axis=1), where=away <= radius)
+            seen[chunk] = np.bitwise_or.reduce(bits, axis=1)
+            there[near] |= np.bitwise_or.reduce(bits, axis=0)
+        uid = pa.chunked_array([*a.column("uid").chunks, *b.column("uid").chunks], type=a.schema.field("uid").type)
+        seen = np.concatenate([seen, there])
+        found = np.flatnonzero(seen)
+        return pa.table({"uid": uid.take(pa.array(found)), "seen": pa.array(seen[found].astype(np.int32))})
+
+    return spatial.met_in_blocks(left, right, match.BANDS[-1], see, "uid string, seen int")
 
 
 @query("er_same_id_noop", "SELECT count(*) AS records, count(*) AS groups FROM supplier")

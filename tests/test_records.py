@@ -31,6 +31,15 @@ def test_links_of_a_crowd_are_few(crowd, monkeypatch):
     assert ahead == sorted(map(tuple, entities.candidates(crowd).collect()))
 
 
+def test_notes_are_those_of_all_pairs(crowd, monkeypatch):
+    asked = []
+    monkeypatch.setattr(entities, "candidates", lambda t, to=entities.candidates: (asked.append(t), to(t))[1])
+    got = sorted(map(tuple, entities.match_notes(crowd).collect()))
+    assert not asked
+    monkeypatch.setattr(entities, "RULES_AHEAD", 0)
+    assert got == sorted(map(tuple, entities.match_notes(crowd).collect())) and asked
+
+
 def test_blocks_meet_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "ARRAY_BLOCK", 7)
     a, b = (spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(30)] + [(99, None, 1.0)], "k long, x double, y double") for _ in "ab")
