@@ -14,6 +14,11 @@ def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_of(df: DataFrame, keys: list[str], columns: list[str], order: list[Column]) -> DataFrame:
+    """The columns of each key's first row in a total order, of the first ones of each task, so that no task sorts a large group."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")).select(*keys, "_first.*")
+
+
 def priority(layer: Column) -> Column:
     ranks = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
     return F.coalesce(F.element_at(ranks, layer), F.lit(9))

@@ -304,7 +304,7 @@ _REC_SQL = f"WITH {GROUPS_SQL}, rec AS (SELECT component AS group_id, x.* FROM (
 def survivorship(t: Tables) -> DataFrame:
     """The record that stands for its group."""
     order = [survive.priority(F.col("layer")), F.when(F.col("name") != "", 0).otherwise(1), F.col("ord")]
-    return survive.first_wins(_grouped_records(t), ["group_id"], order).select("group_id", "record_id", "name", "status")
+    return survive.first_of(_grouped_records(t), ["group_id"], ["record_id", "name", "status"], order)
 
 
 @query(
